@@ -659,6 +659,53 @@ def _telemetry() -> dict[str, str]:
     return out
 
 
+FUNNEL_EVENTS = """
+    fe AS (SELECT event_id, user_id, ts, CASE event_type WHEN 'view' THEN 'cta_shown' WHEN 'click' THEN 'cta_clicked'
+        WHEN 'signup' THEN 'signup_started' WHEN 'purchase' THEN 'signup_completed' WHEN 'error' THEN 'signup_abandoned' END AS kind
+      FROM events),
+    wm AS (SELECT MAX(ts) - INTERVAL 24 HOUR AS closed FROM fe WHERE kind IS NOT NULL)"""
+
+
+def _jobs() -> dict[str, str]:
+    out = {}
+    out["ingest_trips"] = f"""{TABLES}
+    SELECT ride_id AS trip_id, station_id AS start_station_id, started_at,
+      started_at + INTERVAL 1 MINUTE * CAST(duration_min AS INT) AS ended_at,
+      CAST(CAST(duration_min AS INT) AS DOUBLE) AS duration_min, user_type, bike_type AS bike_id FROM rides"""
+    out["persona_writeback"] = f"""{TABLES}, {RIDER_PROFILE}
+    SELECT user_id, persona_segment, conversion_priority_score, {AS_OF} AS run_date FROM named"""
+    out["funnel_feed"] = f"SELECT *, {AS_OF} AS run_date FROM ({_funnel_daily()})"
+    out["stream_funnel"] = f"""WITH {FUNNEL_EVENTS}
+    SELECT CAST(ts AS DATE) AS event_day, kind AS event_type, COUNT(DISTINCT user_id) AS riders
+    FROM fe, wm WHERE kind IS NOT NULL AND CAST(CAST(ts AS DATE) + INTERVAL 1 DAY AS TIMESTAMP) <= closed GROUP BY 1, 2"""
+    out["stream_event_dedup"] = f"""WITH {FUNNEL_EVENTS}
+    SELECT DISTINCT event_id, user_id, kind AS event_type, ts AS event_at FROM fe WHERE kind IS NOT NULL"""
+    out["stream_signup_sessions"] = f"""WITH {FUNNEL_EVENTS},
+    flow AS (SELECT *, MAX(ts) OVER (PARTITION BY user_id ORDER BY ts ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS before
+          FROM fe WHERE kind LIKE 'signup%'),
+    cut AS (SELECT *, SUM(CASE WHEN before IS NULL OR ts > before + INTERVAL 30 MINUTE THEN 1 ELSE 0 END)
+              OVER (PARTITION BY user_id ORDER BY ts ROWS UNBOUNDED PRECEDING) AS no FROM flow),
+    fin AS (SELECT MAX(ts) - INTERVAL 24 HOUR AS closed FROM flow)
+    SELECT user_id, MIN(ts) AS session_start, MAX(ts) + INTERVAL 30 MINUTE AS session_end, COUNT(*) AS events,
+      COUNT(*) FILTER (kind = 'signup_completed') = 0 AS abandoned
+    FROM cut GROUP BY user_id, no
+    HAVING COUNT(*) FILTER (kind = 'signup_started') > 0 AND MAX(ts) + INTERVAL 30 MINUTE <= (SELECT closed FROM fin)"""
+    out["stream_nudge_trigger"] = f"""{TABLES},
+    en AS (SELECT *, started_at + INTERVAL 1 MINUTE * CAST(duration_min AS INT) AS at_end FROM rides),
+    cs AS (SELECT * FROM en WHERE {CASUAL}),
+    win AS (SELECT a.user_id, a.ride_id, a.at_end, COUNT(*) AS k, CAST(SUM(b.ride_cost_cad) AS DOUBLE) AS s
+      FROM cs a JOIN cs b ON b.user_id = a.user_id AND (b.at_end, b.ride_id) <= (a.at_end, a.ride_id)
+        AND date_diff('day', CAST(b.at_end AS DATE), CAST(a.at_end AS DATE)) < 30 GROUP BY 1, 2, 3),
+    ok AS (SELECT w.*, ROW_NUMBER() OVER (PARTITION BY user_id ORDER BY at_end, ride_id) AS impression FROM win w
+      WHERE k >= 2
+        AND NOT EXISTS (SELECT 1 FROM en e WHERE e.user_id = w.user_id AND e.h = 36 AND e.at_end < w.at_end)
+        AND (SELECT COUNT(*) FROM en e WHERE e.user_id = w.user_id AND e.h BETWEEN 32 AND 35 AND e.at_end < w.at_end) < 3
+        AND NOT EXISTS (SELECT 1 FROM en e WHERE e.user_id = w.user_id AND e.h BETWEEN 32 AND 35
+                        AND e.at_end < w.at_end AND e.at_end + INTERVAL 7 DAY > w.at_end))
+    SELECT user_id, ride_id, at_end AS nudge_at, k AS rides_30d, s AS spend_30d, impression FROM ok WHERE impression <= 3"""
+    return out
+
+
 def oracle_queries() -> dict[str, str]:
     out = {
         "funnel_daily": _funnel_daily(),
@@ -682,6 +729,6 @@ def oracle_queries() -> dict[str, str]:
         "priority_nudge_targets": _priority_nudge_targets(False, 10_000),
         "priority_nudge_targets_grain_safe": _priority_nudge_targets(True, 10_000),
     }
-    for group in (_exploration, _economics, _growth, _nudges, _experiments, _telemetry):
+    for group in (_exploration, _economics, _growth, _nudges, _experiments, _telemetry, _jobs):
         out.update(group())
     return out

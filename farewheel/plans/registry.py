@@ -4,14 +4,18 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from farewheel.model import Tables
 from farewheel.operators import (
     clustering, economics, experiments, exploration, funnel, growth, nudges, retention,
     segmentation, telemetry,
 )
-from farewheel.sources.warehouse import open_tables
+from farewheel.params import DEFAULTS
+from farewheel.sources import storage, trips
+from farewheel.sources.storage import scratch_dir
+from farewheel.sources.warehouse import open_tables, tables_root
+from farewheel.streaming import events as live_events, nudges as live_nudges, runtime
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -103,5 +107,73 @@ TABLE_QUERIES: dict[str, Callable[[Tables], DataFrame]] = {
 }
 
 
+def ingest_trips(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Rides written in the published CSV layout and read back."""
+    path = scratch_dir(spark, "trips")
+    trips.write_trips(open_tables(spark, sf_dir).rides, path)
+    return trips.read_trips(spark, path)
+
+
+def persona_writeback(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The nightly job: classify, replace the run's partition, read it back."""
+    path = scratch_dir(spark, "user_persona")
+    run = str(DEFAULTS.as_of)
+    personas = segmentation.classify_riders(open_tables(spark, sf_dir).rides).select(
+        "user_id", "persona_segment", "conversion_priority_score"
+    )
+    storage.write_run(personas, "run_date", run, path)
+    return spark.read.parquet(path).filter(f"run_date = DATE'{run}'")
+
+
+def funnel_feed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The daily feed of a dashboard, written per run and read back."""
+    path = scratch_dir(spark, "funnel_feed")
+    run = str(DEFAULTS.as_of)
+    tables = open_tables(spark, sf_dir)
+    storage.write_run(funnel.funnel_daily(tables.rides, tables.membership_events), "run_date", run, path)
+    return spark.read.parquet(path).filter(f"run_date = DATE'{run}'")
+
+
+def _event_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return live_events.funnel_events(runtime.stream_files(spark, sf_dir, "events*.parquet"))
+
+
+def stream_funnel(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return runtime.result_of(live_events.stream_funnel(_event_stream(spark, sf_dir)), "funnel")
+
+
+def stream_signup_sessions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return runtime.result_of(live_events.stream_signup_sessions(_event_stream(spark, sf_dir)), "sessions")
+
+
+def stream_event_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every event is delivered twice and must come out once."""
+    once = _event_stream(spark, sf_dir)
+    twice = once.unionByName(_event_stream(spark, sf_dir))
+    return runtime.result_of(live_events.stream_event_dedup(twice), "dedup")
+
+
+def stream_nudge_trigger(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Rides as a stream; the ride's own event suppresses or snoozes later nudges."""
+    rides = runtime.stream_files(spark, f"{tables_root(spark, sf_dir)}/rides")
+    with_events = rides.withColumn("event_type", F.expr(
+        "CASE WHEN h BETWEEN 32 AND 35 THEN 'signup_abandoned' WHEN h = 36 THEN 'signup_completed' END"
+    ))
+    signals = live_nudges.ride_signals(with_events, None, dismissed="signup_abandoned")
+    return runtime.result_of(live_nudges.stream_nudge_trigger(signals), "nudges", rocksdb=True)
+
+
+# Queries with their own source or sink.
+JOB_QUERIES: dict[str, Query] = {
+    "ingest_trips": ingest_trips,
+    "persona_writeback": persona_writeback,
+    "funnel_feed": funnel_feed,
+    "stream_funnel": stream_funnel,
+    "stream_signup_sessions": stream_signup_sessions,
+    "stream_event_dedup": stream_event_dedup,
+    "stream_nudge_trigger": stream_nudge_trigger,
+}
+
+
 def all_queries() -> dict[str, Query]:
-    return {name: on_tables(build) for name, build in TABLE_QUERIES.items()}
+    return {name: on_tables(build) for name, build in TABLE_QUERIES.items()} | JOB_QUERIES

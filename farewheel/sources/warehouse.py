@@ -43,10 +43,15 @@ def build(spark: SparkSession, sf_dir: str, root: str) -> None:
     ).write.parquet(f"{root}/users")
 
 
-def open_tables(spark: SparkSession, sf_dir: str) -> Tables:
+def tables_root(spark: SparkSession, sf_dir: str) -> str:
+    """Folder of the canonical tables of ``sf_dir``, derived on first use in a session."""
     key = (spark.sparkContext.applicationId, sf_dir.rstrip("/"))
     if key not in _OPENED:
         root = scratch_dir(spark, "tables")
         build(spark, sf_dir, root)
         _OPENED[key] = root
-    return _stored(spark, _OPENED[key])
+    return _OPENED[key]
+
+
+def open_tables(spark: SparkSession, sf_dir: str) -> Tables:
+    return _stored(spark, tables_root(spark, sf_dir))
