@@ -8,8 +8,11 @@ has the same objective as plain k-means on the rides.
 
 from __future__ import annotations
 
+from collections.abc import Iterable
+from multiprocessing.pool import ThreadPool
+
 import numpy as np
-from pyspark import StorageLevel
+from pyspark import StorageLevel, inheritable_thread_target
 from pyspark.ml.clustering import KMeans, KMeansModel
 from pyspark.ml.evaluation import ClusteringEvaluator
 from pyspark.ml.feature import VectorAssembler
@@ -68,30 +71,43 @@ def weighted_points(rides: DataFrame) -> DataFrame:
     ).sortWithinPartitions(*FEATURES)
 
 
-def best_fit(points: DataFrame, k: int, n_init: int, seed: int) -> KMeansModel:
-    """Lowest cost of several seeded runs."""
-    models = [
-        KMeans(k=k, seed=seed + i, weightCol="n", featuresCol="features", predictionCol="cluster", maxIter=50).fit(points)
-        for i in range(n_init)
-    ]
-    return min(models, key=lambda m: m.summary.trainingCost)
+# Fits are many small jobs; a few at a time keep the executors busy between them.
+FITS_AT_ONCE = 4
+
+
+def fits(points: DataFrame, ks: Iterable[int], n_init: int, seed: int) -> dict[int, KMeansModel]:
+    """For each k the model with the lowest cost of ``n_init`` seeded runs."""
+    def fit(task: tuple[int, int]) -> tuple[int, KMeansModel]:
+        k, run = task
+        return k, KMeans(
+            k=k, seed=seed + run, weightCol="n", featuresCol="features", predictionCol="cluster", maxIter=50
+        ).fit(points)
+
+    tasks = [(k, run) for k in ks for run in range(n_init)]
+    points.count()  # fills the cache before the fits share it
+    with ThreadPool(FITS_AT_ONCE) as pool:
+        done = pool.map(inheritable_thread_target(points.sparkSession)(fit), tasks, chunksize=1)
+    best: dict[int, KMeansModel] = {}
+    for k, model in done:
+        if k not in best or model.summary.trainingCost < best[k].summary.trainingCost:
+            best[k] = model
+    return best
 
 
 def cluster_k_sweep(
     rides: DataFrame, ks: range = range(2, 8), n_init: int = 2, seed: int = 42
 ) -> DataFrame:
     """Inertia and silhouette per k over all rides, and which k is best."""
-    spark = rides.sparkSession
     points = weighted_points(rides).persist(StorageLevel.MEMORY_AND_DISK)
     evaluator = ClusteringEvaluator(
         featuresCol="features", predictionCol="cluster", weightCol="n", metricName="silhouette"
     )
-    rows = []
-    for k in ks:
-        model = best_fit(points, k, n_init, seed)
-        rows.append((k, model.summary.trainingCost, evaluator.evaluate(model.transform(points))))
+    models = fits(points, ks, n_init, seed)
+    rows = [
+        (k, models[k].summary.trainingCost, evaluator.evaluate(models[k].transform(points))) for k in ks
+    ]
     points.unpersist()
-    result = spark.createDataFrame(rows, "k long, inertia double, silhouette double")
+    result = rides.sparkSession.createDataFrame(rows, "k long, inertia double, silhouette double")
     return result.withColumn(
         "is_best", F.col("silhouette") == F.max("silhouette").over(Window.partitionBy())
     ).orderBy("k")
@@ -99,7 +115,7 @@ def cluster_k_sweep(
 
 def _clustered(rides: DataFrame, k: int, n_init: int, seed: int) -> DataFrame:
     points = weighted_points(rides).persist(StorageLevel.MEMORY_AND_DISK)
-    model = best_fit(points, k, n_init, seed)
+    model = fits(points, [k], n_init, seed)[k]
     points.unpersist()
     return model.transform(points)
 

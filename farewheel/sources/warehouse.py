@@ -14,7 +14,9 @@ from farewheel.model import Tables
 from farewheel.sources import mapping
 from farewheel.sources.storage import scratch_dir, write_by_month
 
-_OPENED: dict[tuple[str, str], str] = {}
+# folder per application and source directory; table handles per session
+_ROOTS: dict[tuple[str, str], str] = {}
+_TABLES: dict[tuple[SparkSession, str], Tables] = {}
 
 
 def source_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -46,12 +48,17 @@ def build(spark: SparkSession, sf_dir: str, root: str) -> None:
 def tables_root(spark: SparkSession, sf_dir: str) -> str:
     """Folder of the canonical tables of ``sf_dir``, derived on first use in a session."""
     key = (spark.sparkContext.applicationId, sf_dir.rstrip("/"))
-    if key not in _OPENED:
+    if key not in _ROOTS:
         root = scratch_dir(spark, "tables")
         build(spark, sf_dir, root)
-        _OPENED[key] = root
-    return _OPENED[key]
+        _ROOTS[key] = root
+    return _ROOTS[key]
 
 
 def open_tables(spark: SparkSession, sf_dir: str) -> Tables:
-    return _stored(spark, tables_root(spark, sf_dir))
+    """Lazy handles of the written tables. They never change after they are written, so
+    the handles are kept and their files are listed once."""
+    key = (spark, tables_root(spark, sf_dir))
+    if key not in _TABLES:
+        _TABLES[key] = _stored(spark, key[1])
+    return _TABLES[key]

@@ -72,7 +72,7 @@ class NudgeProcessor(StatefulProcessor):
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
         rules = self.rules
-        saved = self.state.get() if self.state.exists() else None
+        saved = self.state.get()
         impressions, dismissals, snooze, member = saved[:4] if saved else (0, 0, 0, False)
         if member or impressions >= rules.impression_cap or dismissals >= rules.dismissal_cap:
             # suppressed for good: nothing this rider does later can matter
@@ -80,10 +80,12 @@ class NudgeProcessor(StatefulProcessor):
                 pass
             return
         # the rows of one rider in one micro-batch, whose size the source bounds
-        batch = pd.concat(rows).sort_values(["at_us", "kind", "ride_id"], kind="stable")
+        batch = sorted(
+            row for part in rows for row in zip(part.at_us, part.kind, part.ride_id, part.cents)
+        )
         days = {d: (n, c) for d, n, c in zip(*saved[4:])} if saved else {}
         shown = []
-        for at, kind, cost, ride in zip(batch.at_us, batch.kind, batch.cents, batch.ride_id):
+        for at, kind, ride, cost in batch:
             if kind == DISMISSED:
                 dismissals, snooze = dismissals + 1, at + rules.snooze_days * DAY_US
                 continue
@@ -107,9 +109,10 @@ class NudgeProcessor(StatefulProcessor):
             int(impressions), int(dismissals), int(snooze), bool(member),
             [int(d) for d in kept], [int(days[d][0]) for d in kept], [int(days[d][1]) for d in kept],
         ))
-        yield pd.DataFrame(
-            shown, columns=["user_id", "ride_id", "at_us", "rides_30d", "spend_cents", "impression"]
-        )
+        if shown:
+            yield pd.DataFrame(
+                shown, columns=["user_id", "ride_id", "at_us", "rides_30d", "spend_cents", "impression"]
+            )
 
     def close(self) -> None:
         pass

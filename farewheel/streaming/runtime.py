@@ -14,7 +14,7 @@ ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvi
 
 
 def stream_files(
-    spark: SparkSession, path: str, glob: str = "*.parquet", max_files_per_trigger: int = 1000
+    spark: SparkSession, path: str, glob: str = "*.parquet", max_files_per_trigger: int = 64
 ) -> DataFrame:
     """Parquet files below ``path`` as a stream. The schema comes from the files at
     hand; ``max_files_per_trigger`` bounds how much one micro-batch holds."""
