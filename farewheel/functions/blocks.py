@@ -23,10 +23,13 @@ def running_sums(
     when: str,
     order: list[Column],
     totals: dict[str, str],
+    attach: DataFrame,
 ) -> DataFrame:
     """Add ``totals`` = {new column: column to sum} accumulated in ``order``.
 
     Rows that tie in ``order`` all see the total of the whole tie, like a RANGE frame.
+    The columns of ``attach`` (one row per user) are added as well; they travel with the
+    block rows, so the detail rows are never joined on the user alone.
     """
     blocked = rows.withColumn("_block", block_of(F.col(when)))
     within = (
@@ -43,7 +46,7 @@ def running_sums(
     carry = per_block.select(
         user, "_block",
         *[F.coalesce(F.sum(f"_b_{name}").over(earlier), F.lit(0)).alias(f"_c_{name}") for name in totals],
-    )
+    ).join(attach, user, "left")
     out = blocked.join(carry, [user, "_block"])
     for name, source in totals.items():
         out = out.withColumn(name, F.sum(source).over(within) + F.col(f"_c_{name}"))

@@ -42,8 +42,9 @@ def hashed_user_events(
     summed = running_sums(
         timeline, "user_id", "at", [F.col("at"), F.col("rank")],
         {"rides_before": "ride", "spend_before": "spend"},
+        attach=users.select("user_id", "persona_segment"),
     ).filter(F.col("rank") == 1)
-    return summed.join(users.select("user_id", "persona_segment"), "user_id", "left").select(
+    return summed.select(
         "event_id", "event_type", F.col("at").alias("event_at"),
         F.sha2(F.concat(F.lit(salt), F.col("user_id").cast("string")), 256).alias("user_hash"),
         "persona_segment",

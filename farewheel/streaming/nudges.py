@@ -2,16 +2,21 @@
 
 from __future__ import annotations
 
+import sys
 from collections.abc import Iterator
 from dataclasses import dataclass
 
 import pandas as pd
+from pyspark import cloudpickle
 from pyspark.sql import DataFrame, functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
 from farewheel.functions.columns import cents
 from farewheel.params import CASUAL, SIGNUP_COMPLETED
 
+# executors get this module with the processor and need not have the package installed
+cloudpickle.register_pickle_by_value(sys.modules[__name__])
+
 DAY_US = 86_400_000_000
 RIDE, DISMISSED, CONVERTED = 0, 1, 2
 
