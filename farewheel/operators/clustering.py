@@ -8,7 +8,7 @@ has the same objective as plain k-means on the rides.
 
 from __future__ import annotations
 
-from collections.abc import Iterable
+from collections.abc import Callable, Iterable
 from multiprocessing.pool import ThreadPool
 
 import numpy as np
@@ -41,15 +41,20 @@ def feature_moments(rows: DataFrame, weight: Column) -> DataFrame:
     return sums.select(*out)
 
 
+def with_moments(rows: DataFrame, weight: Column) -> DataFrame:
+    """Rows with the moments of all of them as a struct, a scalar subquery run once."""
+    moments = feature_moments(rows, weight).select(F.struct("*").alias("m"))
+    return rows.withColumn("m", moments.scalar())
+
+
 def scaled(feature: str) -> Column:
     """z-score; a constant feature becomes 0."""
-    return F.coalesce(ratio(F.col(feature) - F.col(f"mean_{feature}"), F.col(f"std_{feature}")), F.lit(0.0))
+    return F.coalesce(ratio(F.col(feature) - F.col(f"m.mean_{feature}"), F.col(f"m.std_{feature}")), F.lit(0.0))
 
 
 def feature_scaling(rides: DataFrame) -> DataFrame:
-    """Every casual ride with its standardised features. The moments are one row."""
-    rows = cluster_features(rides)
-    return rows.crossJoin(F.broadcast(feature_moments(rows, F.lit(1)))).select(
+    """Every casual ride with its standardised features."""
+    return with_moments(cluster_features(rides), F.lit(1)).select(
         "ride_id", *[rnd(scaled(f), 6).alias(f) for f in FEATURES]
     )
 
@@ -62,8 +67,7 @@ def weighted_points(rides: DataFrame) -> DataFrame:
         F.sum(cents(F.col("ride_cost_cad"))).alias("cents"),
         F.count("ride_cost_cad").alias("priced"),
     )
-    moments = feature_moments(points, F.col("n"))
-    ready = points.crossJoin(F.broadcast(moments)).select(
+    ready = with_moments(points, F.col("n")).select(
         *FEATURES, "n", "cents", "priced", *[scaled(f).alias(f"z_{f}") for f in FEATURES]
     )
     return VectorAssembler(inputCols=[f"z_{f}" for f in FEATURES], outputCol="features").transform(
@@ -73,6 +77,19 @@ def weighted_points(rides: DataFrame) -> DataFrame:
 
 # Fits are many small jobs; a few at a time keep the executors busy between them.
 FITS_AT_ONCE = 4
+# The grid of points is far smaller than the rides it came from; tasks are sized to it.
+POINTS_PER_TASK = 20_000
+
+
+def at_once(points: DataFrame, work: Callable, tasks: list) -> list:
+    with ThreadPool(FITS_AT_ONCE) as pool:
+        return pool.map(inheritable_thread_target(points.sparkSession)(work), tasks, chunksize=1)
+
+
+def cached_points(rides: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """The points kept in memory or on disk, and the same in few partitions."""
+    cached = weighted_points(rides).persist(StorageLevel.MEMORY_AND_DISK)
+    return cached, cached.coalesce(cached.count() // POINTS_PER_TASK + 1)
 
 
 def fits(points: DataFrame, ks: Iterable[int], n_init: int, seed: int) -> dict[int, KMeansModel]:
@@ -83,12 +100,8 @@ def fits(points: DataFrame, ks: Iterable[int], n_init: int, seed: int) -> dict[i
             k=k, seed=seed + run, weightCol="n", featuresCol="features", predictionCol="cluster", maxIter=50
         ).fit(points)
 
-    tasks = [(k, run) for k in ks for run in range(n_init)]
-    points.count()  # fills the cache before the fits share it
-    with ThreadPool(FITS_AT_ONCE) as pool:
-        done = pool.map(inheritable_thread_target(points.sparkSession)(fit), tasks, chunksize=1)
     best: dict[int, KMeansModel] = {}
-    for k, model in done:
+    for k, model in at_once(points, fit, [(k, run) for k in ks for run in range(n_init)]):
         if k not in best or model.summary.trainingCost < best[k].summary.trainingCost:
             best[k] = model
     return best
@@ -98,15 +111,17 @@ def cluster_k_sweep(
     rides: DataFrame, ks: range = range(2, 8), n_init: int = 2, seed: int = 42
 ) -> DataFrame:
     """Inertia and silhouette per k over all rides, and which k is best."""
-    points = weighted_points(rides).persist(StorageLevel.MEMORY_AND_DISK)
+    cached, points = cached_points(rides)
+    models = fits(points, ks, n_init, seed)
     evaluator = ClusteringEvaluator(
         featuresCol="features", predictionCol="cluster", weightCol="n", metricName="silhouette"
     )
-    models = fits(points, ks, n_init, seed)
-    rows = [
-        (k, models[k].summary.trainingCost, evaluator.evaluate(models[k].transform(points))) for k in ks
-    ]
-    points.unpersist()
+
+    def score(k: int) -> tuple[int, float, float]:
+        return k, models[k].summary.trainingCost, evaluator.evaluate(models[k].transform(points))
+
+    rows = at_once(points, score, list(ks))
+    cached.unpersist()
     result = rides.sparkSession.createDataFrame(rows, "k long, inertia double, silhouette double")
     return result.withColumn(
         "is_best", F.col("silhouette") == F.max("silhouette").over(Window.partitionBy())
@@ -114,10 +129,10 @@ def cluster_k_sweep(
 
 
 def _clustered(rides: DataFrame, k: int, n_init: int, seed: int) -> DataFrame:
-    points = weighted_points(rides).persist(StorageLevel.MEMORY_AND_DISK)
+    cached, points = cached_points(rides)
     model = fits(points, [k], n_init, seed)[k]
-    points.unpersist()
-    return model.transform(points)
+    cached.unpersist()
+    return model.transform(weighted_points(rides))
 
 
 def weighted_mean(feature: str) -> Column:

@@ -2,40 +2,31 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F, types as T
+from typing import NamedTuple
+
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from farewheel.functions.columns import cents, minutes, money, ratio, rnd, since, tenths
 from farewheel.operators.exploration import casual_only
-from farewheel.operators.funnel import STEPS, daily_step_counts
-from farewheel.operators.profiles import ride_totals, is_event
+from farewheel.operators.funnel import STEPS
+from farewheel.operators.profiles import is_event
 from farewheel.params import CASUAL, DEFAULTS, EBIKE, Params
 
-# Published operator profiles (id, city, currency, annual price, day pass,
-# minutes per casual and member ride, cost per casual ride, casual and e-bike percent,
-# ride volume per month relative to the best month).
+class Operator(NamedTuple):
+    id: str
+    city: str
+    currency: str
+    annual_price: float
+    casual_ride_cost: float
+
+
+# Published profiles of four operators.
 OPERATORS = [
-    ("toronto", "Toronto, ON", "CAD", 105.0, 15.0, 29.0, 11.0, 4.48, 23.0, 19.0,
-     [8, 11, 28, 55, 78, 88, 95, 100, 82, 50, 22, 10]),
-    ("divvy", "Chicago, IL", "USD", 105.0, 15.0, 22.0, 12.0, 3.30, 30.0, 12.0,
-     [15, 18, 35, 62, 80, 90, 95, 100, 85, 58, 30, 18]),
-    ("citibike", "New York, NY", "USD", 179.0, 15.0, 20.0, 13.0, 4.50, 25.0, 22.0,
-     [22, 25, 40, 65, 82, 90, 95, 100, 88, 65, 38, 25]),
-    ("santander", "London, UK", "GBP", 120.0, 18.0, 24.0, 14.0, 3.20, 35.0, 8.0,
-     [28, 30, 45, 60, 72, 80, 88, 100, 85, 65, 42, 30]),
+    Operator("toronto", "Toronto, ON", "CAD", 105.0, 4.48),
+    Operator("divvy", "Chicago, IL", "USD", 105.0, 3.30),
+    Operator("citibike", "New York, NY", "USD", 179.0, 4.50),
+    Operator("santander", "London, UK", "GBP", 120.0, 3.20),
 ]
-OPERATOR_SCHEMA = T.StructType([
-    T.StructField("operator", T.StringType()),
-    T.StructField("city", T.StringType()),
-    T.StructField("currency", T.StringType()),
-    T.StructField("annual_price", T.DoubleType()),
-    T.StructField("day_pass", T.DoubleType()),
-    T.StructField("avg_casual_ride_min", T.DoubleType()),
-    T.StructField("avg_member_ride_min", T.DoubleType()),
-    T.StructField("avg_casual_ride_cost", T.DoubleType()),
-    T.StructField("casual_pct", T.DoubleType()),
-    T.StructField("ebike_pct", T.DoubleType()),
-    T.StructField("seasonal", T.ArrayType(T.IntegerType())),
-])
 
 # Conversion scenarios.
 SCENARIOS = [
@@ -46,10 +37,6 @@ SCENARIOS = [
 ]
 
 
-def operators(spark: SparkSession) -> DataFrame:
-    return spark.createDataFrame(OPERATORS, OPERATOR_SCHEMA)
-
-
 def _as_rows(names: list[str], rows: list[tuple]) -> Column:
     """A short constant list as an array column, to be exploded next to one result row."""
     return F.array(*[
@@ -92,7 +79,7 @@ def arr_scenarios(rides: DataFrame, p: Params = DEFAULTS, months: int = 12) -> D
     )
     grid = volume.select(
         "monthly",
-        F.explode(_as_rows(["operator", "price"], [(o[0], o[3]) for o in OPERATORS])).alias("o"),
+        F.explode(_as_rows(["operator", "price"], [(o.id, o.annual_price) for o in OPERATORS])).alias("o"),
     ).select("monthly", "o.*", F.explode(_as_rows(["scenario", "rate"], SCENARIOS)).alias("s"))
     members = F.floor(F.col("monthly") * F.col("s.rate"))
     return grid.select(
@@ -103,16 +90,19 @@ def arr_scenarios(rides: DataFrame, p: Params = DEFAULTS, months: int = 12) -> D
     ).orderBy("operator", "rate")
 
 
-def operator_breakeven(spark: SparkSession, rides: DataFrame, p: Params = DEFAULTS) -> DataFrame:
+def operator_breakeven(rides: DataFrame, p: Params = DEFAULTS) -> DataFrame:
     """Break-even rides of each operator at its published and at the observed ride cost,
-    and the price of its weekend tier. The mean is one row, the operators are four."""
+    and the price of its weekend tier."""
     observed = casual_only(rides).agg(
         ratio(money(F.sum(cents(F.col("ride_cost_cad")))), F.count("ride_cost_cad")).alias("cost")
     )
+    names = ["operator", "city", "currency", "annual_price", "ride_cost"]
     price = F.col("annual_price")
-    return operators(spark).crossJoin(F.broadcast(observed)).select(
+    return observed.select(
+        "cost", F.inline(_as_rows(names, [(o.id, o.city, o.currency, o.annual_price, o.casual_ride_cost) for o in OPERATORS]))
+    ).select(
         "operator", "city", "currency", "annual_price",
-        F.ceil(price / F.col("avg_casual_ride_cost")).alias("breakeven_rides_published"),
+        F.ceil(price / F.col("ride_cost")).alias("breakeven_rides_published"),
         rnd(F.col("cost"), 2).alias("observed_ride_cost"),
         F.ceil(ratio(price, F.col("cost"))).alias("breakeven_rides_observed"),
         rnd(price * p.pricing.weekend_tier_share).alias("weekend_tier_price"),

@@ -78,7 +78,7 @@ TABLE_QUERIES: dict[str, Callable[[Tables], DataFrame]] = {
     # economics
     "funnel_shares": lambda t: economics.funnel_shares(t.rides, t.membership_events),
     "arr_scenarios": lambda t: economics.arr_scenarios(t.rides),
-    "operator_breakeven": lambda t: economics.operator_breakeven(t.rides.sparkSession, t.rides),
+    "operator_breakeven": lambda t: economics.operator_breakeven(t.rides),
     "ebike_price_gap": lambda t: economics.ebike_price_gap(t.rides),
     # growth
     "north_star_90d": lambda t: growth.north_star_90d(t.rides, t.users, t.membership_events),

@@ -8,9 +8,10 @@ written tables also survive the loss of executors.
 
 from __future__ import annotations
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 
-from farewheel.model import Tables
+from farewheel.model import Tables, USERS
 from farewheel.sources import mapping
 from farewheel.sources.storage import scratch_dir, write_by_month
 
@@ -45,10 +46,19 @@ def build(spark: SparkSession, sf_dir: str, root: str) -> None:
     ).write.parquet(f"{root}/users")
 
 
+def _is_there(spark: SparkSession, root: str) -> bool:
+    try:
+        spark.read.schema(USERS).parquet(f"{root}/users")
+        return True
+    except AnalysisException:
+        return False
+
+
 def tables_root(spark: SparkSession, sf_dir: str) -> str:
-    """Folder of the canonical tables of ``sf_dir``, derived on first use in a session."""
+    """Folder of the canonical tables of ``sf_dir``, derived on first use in a session
+    and again if someone has cleared the shared folder."""
     key = (spark.sparkContext.applicationId, sf_dir.rstrip("/"))
-    if key not in _ROOTS:
+    if key not in _ROOTS or not _is_there(spark, _ROOTS[key]):
         root = scratch_dir(spark, "tables")
         build(spark, sf_dir, root)
         _ROOTS[key] = root

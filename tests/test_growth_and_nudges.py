@@ -109,8 +109,8 @@ def test_readout_with_an_empty_arm_has_no_statistic(build):
     assert row.control_users == 0 and row.z_statistic is None and row.significant is None
 
 
-def test_operator_breakeven_rounds_up(spark, build):
-    rows = {r.operator: r for r in economics.operator_breakeven(spark, build.rides((1, "2023-12-10T00:00"))).collect()}
+def test_operator_breakeven_rounds_up(build):
+    rows = {r.operator: r for r in economics.operator_breakeven(build.rides((1, "2023-12-10T00:00"))).collect()}
     assert {k: r.breakeven_rides_published for k, r in rows.items()} == {"toronto": 24, "divvy": 32, "citibike": 40, "santander": 38}
     assert rows["toronto"].weekend_tier_price == 63.0 and rows["toronto"].breakeven_rides_observed == 48
 
