@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from datetime import timedelta
+
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from farewheel.functions.columns import (
@@ -108,15 +110,16 @@ def conversion_by_persona(
     recent = since(events, "event_at", start).groupBy("user_id", "source_channel").agg(
         F.max(flag(is_event(SIGNUP_COMPLETED))).alias("converted")
     )
-    base = kept.join(casual, "user_id", "left_semi")
-    by_persona = base.join(
-        recent.groupBy("user_id").agg(F.max("converted").alias("converted")), "user_id", "left"
-    ).select(F.lit("persona").alias("dimension"), F.col("persona_segment").alias("segment"), "converted")
-    by_channel = base.join(recent, "user_id").select(
-        F.lit("channel").alias("dimension"), F.col("source_channel").alias("segment"), "converted"
-    )
-    return by_persona.unionByName(by_channel).groupBy("dimension", "segment").agg(
-        F.count(F.lit(1)).alias("riders"), F.sum(zero("converted")).alias("converted")
+    riders = kept.join(casual, "user_id", "left_semi").join(recent, "user_id", "left")
+    # one row per rider and channel counts for its persona and for its channel
+    views = riders.select("user_id", "source_channel", zero("converted").alias("converted"), F.explode(F.array(
+        F.struct(F.lit("persona").alias("dimension"), F.col("persona_segment").alias("segment")),
+        F.struct(F.lit("channel").alias("dimension"), F.col("source_channel").alias("segment")),
+    )).alias("v")).filter((F.col("v.dimension") == "persona") | F.col("source_channel").isNotNull())
+    return views.groupBy("v.dimension", "v.segment", "user_id").agg(
+        F.max("converted").alias("converted")
+    ).groupBy("dimension", "segment").agg(
+        F.count(F.lit(1)).alias("riders"), F.sum("converted").alias("converted")
     ).select(
         "*", rnd(ratio(F.col("converted"), F.col("riders")), 4).alias("conversion_rate")
     ).orderBy("dimension", "segment")
@@ -220,7 +223,8 @@ def guardrail_thresholds(
         ratio(F.col("t") - F.col("c"), F.col("c")).alias("value"),
         F.lit(0.05).alias("threshold"), F.lit(1).alias("sign"),
     )
-    monthly = rides.filter(F.col("user_type") == CASUAL).groupBy(
+    last_month = (p.month_start - timedelta(days=1)).replace(day=1)
+    monthly = since(rides, "started_at", last_month).filter(F.col("user_type") == CASUAL).groupBy(
         month_of(F.col("started_at")).alias("month")
     ).agg(F.count(F.lit(1)).alias("n"))
     before = F.lag("n").over(Window.orderBy("month"))

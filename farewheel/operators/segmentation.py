@@ -87,6 +87,14 @@ def classify_riders(rides: DataFrame, p: Params = DEFAULTS, lookback: int = 60)
     )
 
 
+def users_with_personas(users: DataFrame, personas: DataFrame) -> DataFrame:
+    """Users with the persona of the latest classification; riders it did not cover
+    have none. ``personas`` has one row per rider."""
+    return users.drop("persona_segment").join(
+        personas.select("user_id", "persona_segment"), "user_id", "left"
+    ).select(users.columns)
+
+
 def persona_summary(
     users: DataFrame, rides: DataFrame, p: Params = DEFAULTS, lookback: int = 90
 ) -> DataFrame:

@@ -31,7 +31,10 @@ def _funnel_daily() -> str:
     """
 
 
-def _funnel_by_persona(grain_safe: bool) -> str:
+def _funnel_by_persona(grain_safe: bool, classified: bool = False) -> str:
+    personas = f"""{RIDER_PROFILE},
+    who AS (SELECT user_id, n.persona_segment FROM users LEFT JOIN named n USING (user_id)),""" if classified else \
+        " who AS (SELECT user_id, persona_segment FROM users),"
     if grain_safe:
         means = """means AS (SELECT persona_segment, SUM(duration_min) / COUNT(duration_min) AS d,
           CAST(SUM(ride_cost_cad) AS DOUBLE) / COUNT(ride_cost_cad) AS c
@@ -40,10 +43,10 @@ def _funnel_by_persona(grain_safe: bool) -> str:
     else:
         means = """means AS (SELECT persona_segment, SUM(duration_min) / COUNT(duration_min) AS d,
           CAST(SUM(ride_cost_cad) AS DOUBLE) / COUNT(ride_cost_cad) AS c FROM pairs GROUP BY 1)"""
-    return f"""{TABLES},
+    return f"""{TABLES}, {personas}
     pairs AS (
       SELECT persona_segment, r.user_id, duration_min, ride_cost_cad, event_type
-      FROM rides r JOIN users u USING (user_id) LEFT JOIN membership_events e ON e.user_id = r.user_id
+      FROM rides r JOIN who u USING (user_id) LEFT JOIN membership_events e ON e.user_id = r.user_id
       WHERE r.user_type = 'Casual Member' AND r.started_at >= {days_ago(90)}),
     {means},
     f AS (
@@ -674,6 +677,7 @@ def _jobs() -> dict[str, str]:
       CAST(CAST(duration_min AS INT) AS DOUBLE) AS duration_min, user_type, bike_type AS bike_id FROM rides"""
     out["persona_writeback"] = f"""{TABLES}, {RIDER_PROFILE}
     SELECT user_id, persona_segment, conversion_priority_score, {AS_OF} AS run_date FROM named"""
+    out["persona_funnel_after_writeback"] = _funnel_by_persona(False, classified=True)
     out["funnel_feed"] = f"SELECT *, {AS_OF} AS run_date FROM ({_funnel_daily()})"
     out["stream_funnel"] = f"""WITH {FUNNEL_EVENTS}
     SELECT CAST(ts AS DATE) AS event_day, kind AS event_type, COUNT(DISTINCT user_id) AS riders

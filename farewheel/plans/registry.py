@@ -125,6 +125,13 @@ def persona_writeback(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(path).filter(f"run_date = DATE'{run}'")
 
 
+def persona_funnel_after_writeback(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Funnel per persona on the personas the nightly job has written."""
+    tables = open_tables(spark, sf_dir)
+    users = segmentation.users_with_personas(tables.users, persona_writeback(spark, sf_dir))
+    return funnel.funnel_by_persona(tables.rides, users, tables.membership_events)
+
+
 def funnel_feed(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The daily feed of a dashboard, written per run and read back."""
     path = scratch_dir(spark, "funnel_feed")
@@ -167,6 +174,7 @@ def stream_nudge_trigger(spark: SparkSession, sf_dir: str) -> DataFrame:
 JOB_QUERIES: dict[str, Query] = {
     "ingest_trips": ingest_trips,
     "persona_writeback": persona_writeback,
+    "persona_funnel_after_writeback": persona_funnel_after_writeback,
     "funnel_feed": funnel_feed,
     "stream_funnel": stream_funnel,
     "stream_signup_sessions": stream_signup_sessions,

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
+from pyspark.sql.streaming import StreamingQuery
 
 from farewheel.sources.storage import scratch_dir
 
@@ -41,25 +42,31 @@ def utc_as_wall_clock(when: Column) -> Column:
     )
 
 
-def run_available(df: DataFrame, path: str, checkpoint: str, rocksdb: bool = False) -> None:
-    """Process everything available now into a parquet table, then stop. The file sink
-    and the checkpoint make a rerun after a failure write each row once."""
+def start(
+    df: DataFrame, path: str, checkpoint: str, rocksdb: bool = False, **trigger: str | bool
+) -> StreamingQuery:
+    """Start writing a stream to a parquet table, e.g. with processingTime="10 seconds".
+    The file sink and the checkpoint make a restart write each row once."""
     spark = df.sparkSession
     before = spark.conf.get(STATE_STORE, None)
     if rocksdb:
         spark.conf.set(STATE_STORE, ROCKSDB)
     try:
-        query = (
+        return (
             df.writeStream.outputMode("append").format("parquet").option("path", path)
-            .option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+            .option("checkpointLocation", checkpoint).trigger(**trigger).start()
         )
     finally:
-        if rocksdb:
-            if before is None:
-                spark.conf.unset(STATE_STORE)
-            else:
-                spark.conf.set(STATE_STORE, before)
-    query.awaitTermination()
+        # a running query keeps the settings it was started with
+        if rocksdb and before is None:
+            spark.conf.unset(STATE_STORE)
+        elif rocksdb:
+            spark.conf.set(STATE_STORE, before)
+
+
+def run_available(df: DataFrame, path: str, checkpoint: str, rocksdb: bool = False) -> None:
+    """Process everything available now, then stop."""
+    start(df, path, checkpoint, rocksdb, availableNow=True).awaitTermination()
 
 
 def result_of(df: DataFrame, name: str, rocksdb: bool = False) -> DataFrame:
