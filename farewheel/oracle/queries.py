@@ -1,3 +1,9 @@
+"""SQL per query name.
+
+Fixed values (texts, codes, thresholds) are written out as literals here, so that the
+statements depend on nothing but the tables.
+"""
+
 from __future__ import annotations
 
 from statistics import NormalDist

@@ -161,13 +161,14 @@ def stream_event_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def stream_nudge_trigger(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Rides as a stream; the ride's own event suppresses or snoozes later nudges."""
-    rides = runtime.stream_files(spark, f"{tables_root(spark, sf_dir)}/rides")
+    """Rides as a stream; the ride's own event suppresses or snoozes later nudges. The
+    micro-batches are bounded, since the processor holds one rider's rows of a batch."""
+    rides = runtime.stream_files(spark, f"{tables_root(spark, sf_dir)}/rides", max_files_per_trigger=64)
     with_events = rides.withColumn("event_type", F.expr(
         "CASE WHEN h BETWEEN 32 AND 35 THEN 'signup_abandoned' WHEN h = 36 THEN 'signup_completed' END"
     ))
     signals = live_nudges.ride_signals(with_events, None, dismissed="signup_abandoned")
-    return runtime.result_of(live_nudges.stream_nudge_trigger(signals), "nudges", rocksdb=True)
+    return runtime.result_of(live_nudges.stream_nudge_trigger(signals), "nudges")
 
 
 # Queries with their own source or sink.

@@ -15,15 +15,19 @@ ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvi
 
 
 def stream_files(
-    spark: SparkSession, path: str, glob: str = "*.parquet", max_files_per_trigger: int = 64
+    spark: SparkSession, path: str, glob: str = "*.parquet", max_files_per_trigger: int | None = None
 ) -> DataFrame:
-    """Parquet files below ``path`` as a stream. The schema comes from the files at
-    hand; ``max_files_per_trigger`` bounds how much one micro-batch holds."""
+    """Parquet files below ``path`` as a stream, with the schema of the files at hand.
+
+    Without ``max_files_per_trigger`` a run over stored history is one micro-batch, in
+    which nothing can be late, so no row is dropped however the files are ordered. With
+    it, a micro-batch holds that many files and lateness counts between them.
+    """
     schema = spark.read.option("pathGlobFilter", glob).parquet(path).schema
-    return (
-        spark.readStream.schema(schema).option("pathGlobFilter", glob)
-        .option("maxFilesPerTrigger", max_files_per_trigger).parquet(path)
-    )
+    reader = spark.readStream.schema(schema).option("pathGlobFilter", glob)
+    if max_files_per_trigger:
+        reader = reader.option("maxFilesPerTrigger", max_files_per_trigger)
+    return reader.parquet(path)
 
 
 def wall_clock_as_utc(when: str) -> Column:
@@ -43,14 +47,14 @@ def utc_as_wall_clock(when: Column) -> Column:
 
 
 def start(
-    df: DataFrame, path: str, checkpoint: str, rocksdb: bool = False, **trigger: str | bool
+    df: DataFrame, path: str, checkpoint: str, **trigger: str | bool
 ) -> StreamingQuery:
     """Start writing a stream to a parquet table, e.g. with processingTime="10 seconds".
-    The file sink and the checkpoint make a restart write each row once."""
+    State lives in RocksDB, on disk and not on the heap. The file sink and the checkpoint
+    make a restart write each row once."""
     spark = df.sparkSession
     before = spark.conf.get(STATE_STORE, None)
-    if rocksdb:
-        spark.conf.set(STATE_STORE, ROCKSDB)
+    spark.conf.set(STATE_STORE, ROCKSDB)
     try:
         return (
             df.writeStream.outputMode("append").format("parquet").option("path", path)
@@ -58,19 +62,19 @@ def start(
         )
     finally:
         # a running query keeps the settings it was started with
-        if rocksdb and before is None:
+        if before is None:
             spark.conf.unset(STATE_STORE)
-        elif rocksdb:
+        else:
             spark.conf.set(STATE_STORE, before)
 
 
-def run_available(df: DataFrame, path: str, checkpoint: str, rocksdb: bool = False) -> None:
+def run_available(df: DataFrame, path: str, checkpoint: str) -> None:
     """Process everything available now, then stop."""
-    start(df, path, checkpoint, rocksdb, availableNow=True).awaitTermination()
+    start(df, path, checkpoint, availableNow=True).awaitTermination()
 
 
-def result_of(df: DataFrame, name: str, rocksdb: bool = False) -> DataFrame:
+def result_of(df: DataFrame, name: str) -> DataFrame:
     spark = df.sparkSession
     root = scratch_dir(spark, f"streams/{name}")
-    run_available(df, f"{root}/table", f"{root}/checkpoint", rocksdb)
+    run_available(df, f"{root}/table", f"{root}/checkpoint")
     return spark.read.schema(df.schema).parquet(f"{root}/table")

@@ -29,9 +29,9 @@ class Feed:
     def stream(self):
         return self.spark.readStream.schema(self.schema).option("maxFilesPerTrigger", 1).parquet(self.source)
 
-    def run(self, build, rocksdb=False):
+    def run(self, build):
         df = build(self.stream())
-        runtime.run_available(df, self.table, self.checkpoint, rocksdb)
+        runtime.run_available(df, self.table, self.checkpoint)
         return sorted(tuple(r) for r in self.spark.read.schema(df.schema).parquet(self.table).collect())
 
 
@@ -99,7 +99,7 @@ def test_nudge_state_survives_batches_and_restart(spark):
     feed = Feed(spark, SIGNALS)
 
     def fired():
-        return [(r[0], r[1], r[3], r[4], r[5]) for r in feed.run(nudges.stream_nudge_trigger, rocksdb=True)]
+        return [(r[0], r[1], r[3], r[4], r[5]) for r in feed.run(nudges.stream_nudge_trigger)]
 
     feed.add(signal(1, "a", 10.1), signal(1, "b", 12.0), signal(2, "x", 10.0), signal(2, "y", 45.0), signal(3, "m", 10.0))
     # rider 1: second ride in 30 days fires; rider 2's rides are too far apart
@@ -118,7 +118,7 @@ def test_nudge_state_survives_batches_and_restart(spark):
 def test_third_dismissal_ends_it(spark):
     feed = Feed(spark, SIGNALS)
     feed.add(signal(1, "a", 1.0), *[signal(1, f"d{i}", 1.1 + i, nudges.DISMISSED) for i in range(3)], signal(1, "b", 20.0), signal(1, "c", 21.0))
-    assert feed.run(nudges.stream_nudge_trigger, rocksdb=True) == []
+    assert feed.run(nudges.stream_nudge_trigger) == []
 
 
 def test_signals_from_separate_streams_and_fractions_of_a_second(spark, build):
