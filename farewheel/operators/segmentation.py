@@ -69,7 +69,9 @@ def persona_rule() -> Column:
     )
 
 
-def classify_riders(rides: DataFrame, p: Params = DEFAULTS, lookback: int = 60) -> DataFrame:
+def score_riders(rides: DataFrame, p: Params = DEFAULTS, lookback: int = 60) -> DataFrame:
+    """Persona and conversion score of every rider with at least three rides, unsorted
+    as the nightly job writes it."""
     frequency = F.when(F.col("total_rides") >= 8, 0.20).otherwise(F.col("total_rides") * 0.025)
     recency = F.when(F.col("days_since_last_ride") <= 7, 0.10).otherwise(0.0)
     score = (
@@ -83,10 +85,13 @@ def classify_riders(rides: DataFrame, p: Params = DEFAULTS, lookback: int = 60)
         .withColumn("persona_segment", persona_rule())
         .withColumn("conversion_priority_score", rnd(score, 3))
         .filter(F.col("persona_segment") != TOO_FEW)
-        .orderBy(F.col("conversion_priority_score").desc_nulls_last())
     )
 
 
+def classify_riders(rides: DataFrame, p: Params = DEFAULTS, lookback: int = 60) -> DataFrame:
+    return score_riders(rides, p, lookback).orderBy(F.col("conversion_priority_score").desc_nulls_last())
+
+
 def users_with_personas(users: DataFrame, personas: DataFrame) -> DataFrame:
     """Users with the persona of the latest classification; riders it did not cover
     have none. ``personas`` has one row per rider."""

@@ -118,7 +118,7 @@ def persona_writeback(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The nightly job: classify, replace the run's partition, read it back."""
     path = scratch_dir(spark, "user_persona")
     run = str(DEFAULTS.as_of)
-    personas = segmentation.classify_riders(open_tables(spark, sf_dir).rides).select(
+    personas = segmentation.score_riders(open_tables(spark, sf_dir).rides).select(
         "user_id", "persona_segment", "conversion_priority_score"
     )
     storage.write_run(personas, "run_date", run, path)
