@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from farewheel.functions.columns import cents, is_weekend, minutes, money, ratio, rnd, tenths
+from farewheel.functions.columns import cents, is_weekend, money, ratio, rnd, tenths
 from farewheel.params import CASUAL, CLASSIC, DEFAULTS, EBIKE, MEMBER, Params
 
 RIDER_TYPES = [MEMBER, CASUAL]

@@ -7,7 +7,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 from farewheel.functions.columns import (
     cents, day, flag, is_commute, is_weekend, minutes, money, ratio, rnd, since, tenths, ts,
 )
-from farewheel.operators.profiles import event_totals, is_event, ride_totals, zero
+from farewheel.operators.profiles import is_event, ride_totals, zero
 from farewheel.params import (
     CASUAL, CTA_SHOWN, DEFAULTS, EBIKE, EBIKE_ADOPTER, Params, RELUCTANT_COMMUTER,
     SEASONAL_VISITOR, SIGNUP_COMPLETED, WEEKEND_EXPLORER,
