@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from farewheel.llm import rank_array_bpe, token_planes
+from farewheel.llm import fair_mixing, impact_topk, paragraph_iblt, rank_array_bpe, token_planes
 
 
 def tokenizer(name: str) -> str:
@@ -21,13 +21,81 @@ def op3_token_planes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_planes.write_and_read(documents(spark, sf_dir), tokenizer("byte_bpe_50k.json"), end_id=2)
 
 
+def op6_fair_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    mixed = fair_mixing.mix_documents(documents(spark, sf_dir))
+    return mixed.select("doc_id", "size", "source_size", "target", "taken")
+
+
+def op7_impact_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return impact_topk.top_k_embeddings(spark.read.parquet(f"{sf_dir.rstrip('/')}/embeddings.parquet"))
+
+
+def op8_paragraph_iblt(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return paragraph_iblt.fingerprint_versions(documents(spark, sf_dir))
+
+
 def op10_rank_array_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rank_array_bpe.bpe_encode(documents(spark, sf_dir), tokenizer("word_bpe_49k.json"), digests=True)
 
 
 QUERIES = {
     "op3_token_planes": op3_token_planes,
+    "op6_fair_mixing": op6_fair_mixing,
+    "op7_impact_topk": op7_impact_topk,
+    "op8_paragraph_iblt": op8_paragraph_iblt,
     "op10_rank_array_bpe": op10_rank_array_bpe,
 }
 
-ORACLE_SQL: dict[str, str] = {}
+_MIX = r"""
+WITH sizes AS (
+  SELECT doc_id, source, coalesce(len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')), 0) AS size FROM documents
+), sources AS (
+  SELECT source, sum(size) AS source_size FROM sizes GROUP BY source
+), weighed AS (
+  SELECT source, source_size, 2 * source_size::DOUBLE AS most,
+         [3, 1, 2][((row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3 + 1)::INT]::DOUBLE AS weight
+  FROM sources
+), filled AS (
+  SELECT *, coalesce(sum(most) OVER earlier, 0) AS fixed, sum(weight) OVER (ORDER BY most / weight, source ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS open_weight,
+         1.5 * sum(source_size) OVER () AS wanted
+  FROM weighed WINDOW earlier AS (ORDER BY most / weight, source ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)
+), capped AS (
+  SELECT *, weight * (wanted - fixed) / open_weight >= most AS full_up FROM filled
+), rest AS (
+  SELECT any_value(wanted) - coalesce(sum(CASE WHEN full_up THEN most END), 0) AS words,
+         sum(CASE WHEN NOT full_up THEN weight END) AS open_weight
+  FROM capped
+), targets AS (
+  SELECT source, source_size, CASE WHEN full_up THEN most ELSE least(most, weight * words / rest.open_weight) END AS target
+  FROM capped, rest
+), queued AS (
+  SELECT doc_id, source, size, round, md5('mix:' || round || ':' || coalesce(doc_id::VARCHAR, '')) AS ticket,
+         sum(size) OVER (PARTITION BY source ORDER BY round, md5('mix:' || round || ':' || coalesce(doc_id::VARCHAR, '')), doc_id, size ROWS UNBOUNDED PRECEDING) AS queued
+  FROM sizes, (VALUES (0), (1)) AS r(round) WHERE size > 0
+), taken AS (
+  SELECT doc_id, size, sum(size) OVER (ORDER BY queued / target, ticket, round, doc_id, size ROWS UNBOUNDED PRECEDING) AS total
+  FROM queued JOIN targets ON queued.source IS NOT DISTINCT FROM targets.source
+), mixed AS (
+  SELECT doc_id, sum(size) AS taken FROM taken WHERE total <= (SELECT sum(target) FROM targets) GROUP BY doc_id
+)
+SELECT sizes.doc_id, size::BIGINT AS size, source_size::BIGINT AS source_size, target, coalesce(taken, 0)::BIGINT AS taken
+FROM sizes JOIN targets ON sizes.source IS NOT DISTINCT FROM targets.source LEFT JOIN mixed ON sizes.doc_id = mixed.doc_id
+"""
+
+_TOP_K = """
+WITH vectors AS (
+  SELECT vec_id, list_transform(embedding, lambda x: floor(256 * x::DOUBLE)::BIGINT) AS v FROM embeddings
+  WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+), pairs AS (
+  SELECT q.vec_id AS query_id, c.vec_id, list_dot_product(q.v::DOUBLE[], c.v::DOUBLE[])::BIGINT AS score
+  FROM vectors q JOIN vectors c ON q.vec_id % 50 = 0 AND q.vec_id <> c.vec_id
+), ranked AS (
+  SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id)::INT AS rank FROM pairs
+)
+SELECT query_id, rank, vec_id, score FROM ranked WHERE rank <= 5
+"""
+
+ORACLE_SQL: dict[str, str] = {
+    "op6_fair_mixing": _MIX,
+    "op7_impact_topk": _TOP_K,
+}
