@@ -4,7 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from farewheel.llm import fair_mixing, impact_topk, paragraph_iblt, rank_array_bpe, token_planes
+from farewheel.llm import (
+    fair_mixing, impact_topk, langid_fusion, paragraph_iblt, quality_gam, rank_array_bpe, token_planes, toxicity_pu,
+)
 
 
 def tokenizer(name: str) -> str:
@@ -13,21 +15,37 @@ def tokenizer(name: str) -> str:
     return public_tokenizers.path(name)
 
 
+def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
+
+
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir.rstrip('/')}/documents.parquet")
+    return table(spark, sf_dir, "documents")
+
+
+def op1_quality_gam(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality_gam.score_quality(documents(spark, sf_dir), table(spark, sf_dir, "labels"))
+
+
+def op2_toxicity_pu(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity_pu.score_toxicity(documents(spark, sf_dir), table(spark, sf_dir, "labels"))
 
 
 def op3_token_planes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_planes.write_and_read(documents(spark, sf_dir), tokenizer("byte_bpe_50k.json"), end_id=2)
 
 
+def op5_langid_fusion(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return langid_fusion.identify(table(spark, sf_dir, "pages"), documents(spark, sf_dir))
+
+
 def op6_fair_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     mixed = fair_mixing.mix_documents(documents(spark, sf_dir))
     return mixed.select("doc_id", "size", "source_size", "target", "taken")
 
 
 def op7_impact_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return impact_topk.top_k_embeddings(spark.read.parquet(f"{sf_dir.rstrip('/')}/embeddings.parquet"))
+    return impact_topk.top_k_embeddings(table(spark, sf_dir, "embeddings"))
 
 
 def op8_paragraph_iblt(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -39,7 +57,10 @@ def op10_rank_array_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
+    "op1_quality_gam": op1_quality_gam,
+    "op2_toxicity_pu": op2_toxicity_pu,
     "op3_token_planes": op3_token_planes,
+    "op5_langid_fusion": op5_langid_fusion,
     "op6_fair_mixing": op6_fair_mixing,
     "op7_impact_topk": op7_impact_topk,
     "op8_paragraph_iblt": op8_paragraph_iblt,
