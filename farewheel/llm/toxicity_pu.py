@@ -20,10 +20,10 @@ from farewheel.llm.labelled import first_by_hash, held_out, training_labels
 from farewheel.llm.words import hash_words, lower_ascii, slices, text_buffer
 
 POSITIVES, UNLABELLED = 3000, 9000   # training documents at most
-LEAST = 5            # positives that must hold a feature
-TIMES = 3.0          # how much commoner a feature must be among positives
+LEAST = 8            # positives that must hold a feature
+TIMES = 4.0          # how much commoner a feature must be among positives
 FEATURES = 50_000    # weights at most
-STEPS, RATE, RIDGE = 400, 0.05, 1e-4
+STEPS, RATE, RIDGE = 600, 0.05, 3e-4
 PREFIX = 4           # bytes of a word beginning
 THRESHOLD = 0.5
 _PREFIX_MARK = np.uint64(0xA24BAED4963EE407)
@@ -50,6 +50,19 @@ def _distinct(batches):
         yield pa.RecordBatch.from_arrays([batch.column("positive"), pa.array([p.tobytes() for p in parts], pa.binary())], ["positive", "features"])
 
 
+def without_copies(docs: list[np.ndarray], width: int = 6) -> list[np.ndarray]:
+    """The documents that share none of two min-hash bands with an earlier one: families of
+    near copies would make their chance words look like evidence. Empty ones stay."""
+    seen: set[tuple] = set()
+    kept = []
+    for d in docs:
+        marks = [(i, *np.sort(d * np.uint64(m))[:width].tolist()) for i, m in enumerate((1, 0x9E3779B97F4A7C15))] if len(d) else []
+        if not seen.intersection(marks):
+            kept.append(d)
+        seen.update(marks)
+    return kept
+
+
 class PuModel:
     """Sorted feature hashes, their weights and a bias."""
 
@@ -60,6 +73,7 @@ class PuModel:
     def fit(cls, positives: list[np.ndarray], unlabelled: list[np.ndarray], prior: float) -> PuModel:
         """A constant model (the prior) if either side is empty."""
         prior = float(np.clip(prior, 1e-3, 0.999))
+        positives, unlabelled = without_copies(positives), without_copies(unlabelled)
         none = cls(np.zeros(0, np.uint64), np.zeros(0), float(np.log(prior / (1 - prior))))
         if not positives or not unlabelled:
             return none
