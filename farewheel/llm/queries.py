@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from farewheel.llm import (
     fair_mixing, impact_topk, langid_fusion, paragraph_iblt, quality_gam, rank_array_bpe, token_planes, toxicity_pu,
+    trie_join,
 )
 
 
@@ -52,6 +53,10 @@ def op8_paragraph_iblt(spark: SparkSession, sf_dir: str) -> DataFrame:
     return paragraph_iblt.fingerprint_versions(documents(spark, sf_dir))
 
 
+def op9_trie_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return trie_join.jaccard_components(documents(spark, sf_dir))
+
+
 def op10_rank_array_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rank_array_bpe.bpe_encode(documents(spark, sf_dir), tokenizer("word_bpe_49k.json"), digests=True)
 
@@ -64,6 +69,7 @@ QUERIES = {
     "op6_fair_mixing": op6_fair_mixing,
     "op7_impact_topk": op7_impact_topk,
     "op8_paragraph_iblt": op8_paragraph_iblt,
+    "op9_trie_join": op9_trie_join,
     "op10_rank_array_bpe": op10_rank_array_bpe,
 }
 
@@ -116,7 +122,29 @@ WITH vectors AS (
 SELECT query_id, rank, vec_id, score FROM ranked WHERE rank <= 5
 """
 
+_JACCARD = r"""
+WITH RECURSIVE texts AS (
+  SELECT doc_id, coalesce(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+'), []) AS words
+  FROM documents
+), sets AS (
+  SELECT doc_id, CASE WHEN len(words) >= 5 THEN list_distinct(list_transform(range(1, len(words) - 3), lambda i: array_to_string(words[i:i + 4], ' ')))
+                      WHEN len(words) > 0 THEN [array_to_string(words, ' ')] ELSE [] END AS shingles
+  FROM texts
+), rows_ AS (
+  SELECT doc_id, len(shingles) AS n, unnest(shingles) AS shingle FROM sets
+), links AS (
+  SELECT a.doc_id AS a, b.doc_id AS b FROM rows_ a JOIN rows_ b ON a.shingle = b.shingle AND a.doc_id <> b.doc_id
+  GROUP BY a.doc_id, b.doc_id HAVING 100 * count(*) >= 75 * (any_value(a.n) + any_value(b.n) - count(*))
+), reach AS (
+  SELECT doc_id AS start, doc_id AS there FROM sets
+  UNION SELECT reach.start, links.b FROM reach JOIN links ON reach.there = links.a
+)
+SELECT sets.doc_id, len(any_value(shingles))::BIGINT AS n_shingles, min(there) AS component_id
+FROM sets JOIN reach ON sets.doc_id = reach.start GROUP BY sets.doc_id
+"""
+
 ORACLE_SQL: dict[str, str] = {
     "op6_fair_mixing": _MIX,
     "op7_impact_topk": _TOP_K,
+    "op9_trie_join": _JACCARD,
 }
