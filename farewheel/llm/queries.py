@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from farewheel.llm import (
-    fair_mixing, impact_topk, langid_fusion, paragraph_iblt, quality_gam, rank_array_bpe, token_planes, toxicity_pu,
+    fair_mixing, fm_dedup, impact_topk, langid_fusion, paragraph_iblt, quality_gam, rank_array_bpe, token_planes, toxicity_pu,
     trie_join,
 )
 
@@ -36,6 +36,10 @@ def op3_token_planes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_planes.write_and_read(documents(spark, sf_dir), tokenizer("byte_bpe_50k.json"), end_id=2)
 
 
+def op4_fm_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fm_dedup.remove_repeats(documents(spark, sf_dir))
+
+
 def op5_langid_fusion(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid_fusion.identify(table(spark, sf_dir, "pages"), documents(spark, sf_dir))
 
@@ -65,6 +69,7 @@ QUERIES = {
     "op1_quality_gam": op1_quality_gam,
     "op2_toxicity_pu": op2_toxicity_pu,
     "op3_token_planes": op3_token_planes,
+    "op4_fm_dedup": op4_fm_dedup,
     "op5_langid_fusion": op5_langid_fusion,
     "op6_fair_mixing": op6_fair_mixing,
     "op7_impact_topk": op7_impact_topk,
@@ -73,6 +78,30 @@ QUERIES = {
     "op10_rank_array_bpe": op10_rank_array_bpe,
 }
 
+_REPEATS = r"""
+WITH texts AS (
+  SELECT doc_id, coalesce(regexp_extract_all(text, '[^\x20\x09-\x0D]+'), []) AS words FROM documents
+), places AS (
+  SELECT doc_id, words, unnest(range(1, len(words) - 11)) AS place FROM texts WHERE len(words) >= 13
+), windows AS (
+  SELECT doc_id, place, array_to_string(words[place:place + 12], ' ') AS window_ FROM places
+), first AS (
+  SELECT window_, min(doc_id) AS doc_id FROM windows GROUP BY window_
+), gone AS (
+  SELECT doc_id, list(DISTINCT place) AS gone FROM (
+    SELECT windows.doc_id, unnest(range(windows.place, windows.place + 13)) AS place
+    FROM windows JOIN first ON windows.window_ = first.window_ AND first.doc_id < windows.doc_id
+  ) GROUP BY doc_id
+), kept AS (
+  SELECT texts.doc_id, words, CASE WHEN gone IS NULL THEN words ELSE
+    list_transform(list_filter(range(1, len(words) + 1), lambda i: NOT list_contains(gone, i)), lambda i: words[i]) END AS kept
+  FROM texts LEFT JOIN gone ON texts.doc_id = gone.doc_id
+)
+SELECT doc_id, len(words)::BIGINT AS n_words, (len(words) - len(kept))::BIGINT AS n_removed,
+       sha256(coalesce(array_to_string(kept, ' '), '')) AS kept_sha256
+FROM kept
+"""
+
 _MIX = r"""
 WITH sizes AS (
   SELECT doc_id, source, coalesce(len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')), 0) AS size FROM documents
@@ -144,6 +173,7 @@ FROM sets JOIN reach ON sets.doc_id = reach.start GROUP BY sets.doc_id
 """
 
 ORACLE_SQL: dict[str, str] = {
+    "op4_fm_dedup": _REPEATS,
     "op6_fair_mixing": _MIX,
     "op7_impact_topk": _TOP_K,
     "op9_trie_join": _JACCARD,

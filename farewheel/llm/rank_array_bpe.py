@@ -241,7 +241,7 @@ SCHEMA = "n_tokens long, ids binary, decoded string"
 DIGESTS = "n_tokens long, ids_sha256 string, decoded_sha256 string"
 
 
-def _encoded(path: str, column: str, keep: list[str], digests: bool):
+def _encoded(path: str, column: str, keep: list[str], digests: bool, with_ids: bool = False):
     def run(batches):
         coder = _coder(path)
         for batch in slices(batches, 10_000, 6 << 20):
@@ -255,22 +255,25 @@ def _encoded(path: str, column: str, keep: list[str], digests: bool):
                 second = [str(x, "utf-8") for x in texts]
             made = [pa.array(np.diff(at), pa.int64()), pa.array(first, pa.string() if digests else pa.binary()), pa.array(second, pa.string())]
             names = ["n_tokens", "ids_sha256", "decoded_sha256"] if digests else ["n_tokens", "ids", "decoded"]
+            if digests and with_ids:
+                made.append(pa.array([x.tobytes() for x in np.split(ids.astype("<u4"), at[1:-1])], pa.binary()))
+                names.append("ids")
             yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in keep), *made], [*keep, *names])
     return run
 
 
-def bpe_encode(docs: DataFrame, tokenizer: str, text: str = "text", keep: tuple[str, ...] = ("doc_id",), digests: bool = False) -> DataFrame:
+def bpe_encode(docs: DataFrame, tokenizer: str, text: str = "text", keep: tuple[str, ...] = ("doc_id",), digests: bool = False, with_ids: bool = False) -> DataFrame:
     """Token ids (little-endian unsigned 32-bit) and decoded text of every whole text.
 
     ``tokenizer`` is the path of the tokenizer file on every executor. A null or empty text
     has no token and decodes to an empty string; each row is encoded for itself, so repeated
     rows and ids stay as they are. Other columns than ``keep`` are dropped, whatever their names.
     With ``digests``, hashes take the place of ids and text: of the decimal ids joined by one
-    space, and of the decoded text.
+    space, and of the decoded text; ``with_ids`` adds the ids to them.
     """
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema if f.name in keep)
     return docs.select(*keep, F.col(text).alias("_text")).mapInArrow(
-        _encoded(tokenizer, "_text", list(keep), digests), f"{schema}, {DIGESTS if digests else SCHEMA}")
+        _encoded(tokenizer, "_text", list(keep), digests, with_ids), f"{schema}, {DIGESTS if digests else SCHEMA}" + (", ids binary" if digests and with_ids else ""))
 
 
 def bpe_decode(encoded: DataFrame, tokenizer: str, ids: str = "ids", keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
