@@ -16,7 +16,7 @@ SMALL = "/root/testdata/sf0.001"
 
 
 @pytest.fixture(scope="session")
-def spark():
+def spark(tmp_path_factory):
     session = (
         SparkSession.builder.master("local[8]").appName("farewheel-tests")
         .config("spark.sql.shuffle.partitions", "4")
@@ -24,6 +24,7 @@ def spark():
         .config("spark.driver.memory", "4g")
         # a zone with summer time: results must not depend on it
         .config("spark.sql.session.timeZone", "America/Toronto")
+        .config("spark.checkpoint.dir", str(tmp_path_factory.mktemp("shared")))
         .config("spark.python.sql.dataFrameDebugging.enabled", "false")
         .getOrCreate()
     )
