@@ -47,11 +47,17 @@ def paragraph_digests(text: str) -> np.ndarray:
     return np.array(out, _U)
 
 
+_SALTS = (np.arange(1, 5, dtype=_U) * _U(0x9E3779B97F4A7C15))[:, None]
+
+
 def _places(digests: np.ndarray, cells: int) -> tuple[np.ndarray, np.ndarray]:
     """One cell in each third, and the check sum, of every digest."""
     third = cells // 3
-    where = np.stack([(mix(digests + _U((i + 1) * 0x9E3779B97F4A7C15 % 2**64)) % _U(third)).astype(np.int64) + i * third for i in range(3)], 1)
-    return where, mix(digests ^ _U(0xD1B54A32D192ED03)) >> _U(32)
+    hashes = mix(digests + _SALTS)
+    where = (hashes[:3] % _U(third)).astype(np.int64)
+    where[1] += third
+    where[2] += 2 * third
+    return where, hashes[3] >> _U(32)
 
 
 class Sketch:
@@ -72,9 +78,9 @@ class Sketch:
         if len(digests):
             where, check = _places(digests, len(self.count))
             flat = where.ravel()
-            np.add.at(self.count, flat, np.repeat(sign, 3) if np.ndim(sign) else sign)
-            np.bitwise_xor.at(self.key, flat, np.repeat(digests, 3))
-            np.bitwise_xor.at(self.check, flat, np.repeat(check, 3))
+            np.add.at(self.count, flat, np.tile(sign, 3) if np.ndim(sign) else sign)
+            np.bitwise_xor.at(self.key, flat, np.tile(digests, 3))
+            np.bitwise_xor.at(self.check, flat, np.tile(check, 3))
 
     def minus(self, other: Sketch) -> Sketch:
         out = Sketch(len(self.count))
@@ -86,8 +92,7 @@ class Sketch:
         rest = self.minus(Sketch(len(self.count)))
         found, signs = [], []
         for _ in range(len(self.count) + 1):
-            live = (rest.count != 0) | (rest.key != 0)
-            if not live.any():
+            if not (rest.count.any() or rest.key.any()):
                 digests = np.concatenate(found) if found else np.zeros(0, _U)
                 sign = np.concatenate(signs) if signs else np.zeros(0, np.int64)
                 return digests[sign > 0], digests[sign < 0]
@@ -95,6 +100,7 @@ class Sketch:
             lone = lone[_places(rest.key[lone], len(rest.count))[1] == rest.check[lone]]
             if not len(lone):
                 return None
+            # a digest may lie alone in several of its cells
             digests, first = np.unique(rest.key[lone], return_index=True)
             sign = rest.count[lone[first]]
             found.append(digests)
@@ -117,21 +123,24 @@ class Sketch:
         return own
 
 
-def reconcile(left: np.ndarray, right: np.ndarray, cells: int = CELLS) -> tuple[np.ndarray, np.ndarray, int]:
-    """Digests only on either side, and the cells it took. Digests of one side are distinct."""
+def reconcile(left: np.ndarray, right: np.ndarray, tables: tuple[Sketch, Sketch] | None = None) -> tuple[np.ndarray, np.ndarray, int]:
+    """Digests only on either side, and the cells it took; ``tables`` are the first sketches,
+    if they are there already. Digests of one side are distinct."""
+    first, second = tables or (Sketch.of(left), Sketch.of(right))
     most = 8 * (len(left) + len(right)) + 3 * CELLS
     while True:
-        found = Sketch.of(left, cells).minus(Sketch.of(right, cells)).peel()
+        cells = len(first.count)
+        found = first.minus(second).peel()
         if found is not None:
             return *found, cells
         if cells > 64 * most:  # equal check sums by chance: compare the sets themselves
             return np.setdiff1d(left, right), np.setdiff1d(right, left), cells
-        cells *= GROW
+        first, second = Sketch.of(left, cells * GROW), Sketch.of(right, cells * GROW)
 
 
-def likeness(left: np.ndarray, right: np.ndarray) -> float:
+def likeness(left: np.ndarray, right: np.ndarray, tables: tuple[Sketch, Sketch] | None = None) -> float:
     """Shared paragraphs over all paragraphs, from the recovered differences; 1 for two empty sets."""
-    only_left, only_right, _ = reconcile(left, right)
+    only_left, only_right, _ = reconcile(left, right, tables)
     shared = len(left) - len(only_left)
     whole = shared + len(only_left) + len(only_right)
     return shared / whole if whole else 1.0
@@ -178,14 +187,16 @@ def _versions(batches):
         rows = []
         for shard, doc_id, text, guest in zip(*(batch.column(c).to_pylist() for c in ("shard", "doc_id", "text", "guest"))):
             text = text or ""
-            now = (shard, doc_id, text, paragraph_digests(text))
+            digests = paragraph_digests(text)
+            now = (shard, doc_id, text, digests, Sketch.of(digests))
             if held is not None and held[0] == shard:
-                _, own_id, own, digests = held
+                _, own_id, own, digests, sketch = held
                 edited = edited_text(own, text)
                 changed = digests if edited == own else paragraph_digests(edited)
+                other = sketch if edited == own else Sketch.of(changed)
                 rows.append((
-                    own_id, len(own), hashlib.sha256(edited.encode()).hexdigest(), Sketch.of(digests).text(),
-                    Sketch.of(changed).text(), likeness(digests, changed), likeness(digests, now[3])))
+                    own_id, len(own), hashlib.sha256(edited.encode()).hexdigest(), sketch.text(), other.text(),
+                    likeness(digests, changed, (sketch, other)), likeness(digests, now[3], (sketch, now[4]))))
             held = None if guest else now
         columns = list(zip(*rows)) or [()] * 7
         kinds = [pa.int64(), pa.int64(), pa.string(), pa.string(), pa.string(), pa.float64(), pa.float64()]
