@@ -32,17 +32,18 @@ def cents(amount: Column) -> Column:
     return F.round(amount * 100).cast("long")
 
 
-def tenths(minutes: Column) -> Column:
-    """Minutes as whole tenths, the precision trip durations are published in."""
-    return F.round(minutes * 10).cast("long")
+def millis(minutes: Column) -> Column:
+    """Minutes as whole milliseconds: finer than any clock that trips are timed with, and
+    sums stay exact and order-free in one long."""
+    return F.round(minutes * 60_000).cast("long")
 
 
 def money(cents_col: Column) -> Column:
     return cents_col.cast("double") / 100.0
 
 
-def minutes(tenths_col: Column) -> Column:
-    return tenths_col.cast("double") / 10.0
+def minutes(millis_col: Column) -> Column:
+    return millis_col.cast("double") / 60_000.0
 
 
 def ts(day: date | str) -> Column:

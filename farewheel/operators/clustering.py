@@ -1,6 +1,6 @@
 """Persona discovery by k-means on the casual rides.
 
-The seven features take few distinct values (tenths of minutes, hours, months, flags),
+The seven features take few distinct values (durations in seconds, hours, months, flags),
 so equal rides are merged into one weighted point before any iteration. The number of
 points is set by that grid, not by the ride volume, and weighted k-means on the points
 has the same objective as plain k-means on the rides.

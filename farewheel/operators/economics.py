@@ -6,7 +6,7 @@ from typing import NamedTuple
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from farewheel.functions.columns import cents, minutes, money, ratio, rnd, since, tenths
+from farewheel.functions.columns import cents, minutes, money, ratio, rnd, since
 from farewheel.operators.exploration import casual_only
 from farewheel.operators.funnel import STEPS
 from farewheel.operators.profiles import is_event
@@ -112,13 +112,11 @@ def operator_breakeven(rides: DataFrame, p: Params = DEFAULTS) -> DataFrame:
 def ebike_price_gap(rides: DataFrame, p: Params = DEFAULTS) -> DataFrame:
     """Casual and member price by e-bike ride length, over the lengths really ridden."""
     price = p.pricing
-    lengths = rides.filter(F.col("bike_type") == EBIKE).groupBy(
-        tenths(F.col("duration_min")).alias("t")
-    ).agg(F.count(F.lit(1)).alias("rides"))
-    length = minutes(F.col("t"))
+    lengths = rides.filter(F.col("bike_type") == EBIKE).groupBy("duration_min").agg(F.count(F.lit(1)).alias("rides"))
+    length = F.col("duration_min")
     casual, member = length * price.ebike_per_min, length * price.member_ebike_per_min
-    return lengths.filter(F.col("t").isNotNull()).select(
-        length.alias("duration_min"), "rides",
+    return lengths.filter(length.isNotNull()).select(
+        "duration_min", "rides",
         rnd(casual, 2).alias("casual_cost"),
         rnd(member, 2).alias("member_cost"),
         rnd(casual - member, 2).alias("gap"),

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from farewheel.functions.columns import cents, is_weekend, money, ratio, rnd, tenths
+from farewheel.functions.columns import cents, is_weekend, millis, minutes, money, ratio, rnd
 from farewheel.params import CASUAL, CLASSIC, DEFAULTS, EBIKE, MEMBER, Params
 
 RIDER_TYPES = [MEMBER, CASUAL]
@@ -13,9 +13,10 @@ RIDER_TYPES = [MEMBER, CASUAL]
 def value_counts(rows: DataFrame, group: str, value: Column) -> DataFrame:
     """Rows per group and value.
 
-    Durations have one decimal and costs two, so the number of distinct values is set
-    by that precision and not by the ride volume. Percentiles and histograms run on
-    these counts; the scan of the rides is one map-side combined aggregate.
+    Durations are timed in seconds and costs in cents, so the number of distinct values
+    is set by that precision and the longest ride, not by the ride volume. Percentiles
+    and histograms run on these counts; the scan of the rides is one map-side combined
+    aggregate. Values that are NULL are left out.
     """
     return rows.filter(value.isNotNull()).groupBy(group, value.alias("v")).agg(
         F.count(F.lit(1)).alias("n")
@@ -32,24 +33,24 @@ def casual_only(rides: DataFrame) -> DataFrame:
 
 def duration_stats(rides: DataFrame) -> DataFrame:
     """Count, mean, quantiles and sample deviation of the duration per rider type."""
-    counts = value_counts(rides, "user_type", tenths(F.col("duration_min")))
+    counts = value_counts(rides, "user_type", millis(F.col("duration_min")))
     n, total = F.sum("n"), F.sum(F.col("v") * F.col("n"))
     squares = F.sum((F.col("v") * F.col("v") * F.col("n")).cast("decimal(38,0)"))
     # n * sum(v^2) - sum(v)^2 is exact in integers; one division and one root follow
     spread = F.col("n") * F.col("sq") - F.col("total") * F.col("total")
     q = percentiles("v", "n", 0.5, 0.25, 0.75, 0.95)
     return counts.groupBy("user_type").agg(
-        n.cast("decimal(18,0)").alias("n"), total.cast("decimal(18,0)").alias("total"),
-        squares.cast("decimal(20,0)").alias("sq"), q.alias("q"),
+        n.cast("decimal(12,0)").alias("n"), total.cast("decimal(18,0)").alias("total"),
+        squares.cast("decimal(25,0)").alias("sq"), q.alias("q"),
     ).select(
         "user_type",
         F.col("n").cast("long").alias("count"),
-        rnd(ratio(F.col("total"), F.col("n")) / 10.0, 2).alias("mean"),
-        rnd(F.col("q")[0] / 10.0, 2).alias("median"),
-        rnd(F.sqrt(ratio(spread, F.col("n") * (F.col("n") - 1))) / 10.0, 2).alias("std"),
-        rnd(F.col("q")[1] / 10.0, 2).alias("p25"),
-        rnd(F.col("q")[2] / 10.0, 2).alias("p75"),
-        rnd(F.col("q")[3] / 10.0, 2).alias("p95"),
+        rnd(minutes(ratio(F.col("total"), F.col("n"))), 2).alias("mean"),
+        rnd(minutes(F.col("q")[0]), 2).alias("median"),
+        rnd(minutes(F.sqrt(ratio(spread, F.col("n") * (F.col("n") - 1)))), 2).alias("std"),
+        rnd(minutes(F.col("q")[1]), 2).alias("p25"),
+        rnd(minutes(F.col("q")[2]), 2).alias("p75"),
+        rnd(minutes(F.col("q")[3]), 2).alias("p95"),
     ).orderBy("user_type")
 
 
@@ -79,13 +80,19 @@ def breakeven(rides: DataFrame, p: Params = DEFAULTS, rides_per_month: int = 8)
     ).orderBy("bike_type")
 
 
-def histogram(rows: DataFrame, group: str, value: Column, top: float, bins: int, unit: float) -> DataFrame:
+def clip(value: Column, top: int) -> Column:
+    """0..top; NULL stays NULL (least and greatest would skip it)."""
+    return F.when(value.isNotNull(), F.least(F.greatest(value, F.lit(0)), F.lit(top).cast("long")))
+
+
+def histogram(rows: DataFrame, group: str, value: Column, top: float, bins: int, per_unit: int) -> DataFrame:
     """Density histogram per group after clipping to 0..top.
 
-    ``value`` is in whole ``unit`` steps (tenths of minutes, cents). Bins are equal
-    between the group's own minimum and maximum; the maximum falls into the last bin.
+    ``value`` is whole, ``per_unit`` of them make one (milliseconds in a minute, cents).
+    Bins are equal between the group's own minimum and maximum; the maximum falls into
+    the last bin. NULL values are in no bin.
     """
-    clipped = F.least(F.greatest(value, F.lit(0)), F.lit(round(top / unit)).cast("long"))
+    clipped = clip(value, round(top * per_unit))
     per_group = Window.partitionBy(group)
     counts = value_counts(rows, group, clipped)
     bounds = counts.groupBy(group).agg(
@@ -96,14 +103,14 @@ def histogram(rows: DataFrame, group: str, value: Column, top: float, bins: int,
     position = F.when(span == 0, F.lit(0)).otherwise(
         F.least(F.floor(F.try_divide((F.col("v") - F.col("lo")) * bins, span)), F.lit(bins - 1))
     ).cast("long")
-    width = span * F.lit(unit) / F.lit(float(bins))
+    width = span / F.lit(float(per_unit)) / F.lit(float(bins))
     return (
         counts.join(bounds, group)
         .groupBy(group, "lo", "hi", "rows", position.alias("bin"))
         .agg(F.sum("n").alias("rides"))
         .select(
             group, "bin",
-            rnd(F.col("lo") * F.lit(unit) + F.col("bin") * width, 6).alias("bin_start"),
+            rnd(F.col("lo") / F.lit(float(per_unit)) + F.col("bin") * width, 6).alias("bin_start"),
             "rides",
             rnd(ratio(F.col("rides"), F.col("rows") * width), 6).alias("density"),
         )
@@ -112,17 +119,17 @@ def histogram(rows: DataFrame, group: str, value: Column, top: float, bins: int,
 
 
 def duration_histogram(rides: DataFrame, top: float = 60.0, bins: int = 60) -> DataFrame:
-    return histogram(rides, "user_type", tenths(F.col("duration_min")), top, bins, 0.1)
+    return histogram(rides, "user_type", millis(F.col("duration_min")), top, bins, 60_000)
 
 
 def cost_histogram(rides: DataFrame, top: float = 15.0, bins: int = 40) -> DataFrame:
-    return histogram(casual_only(rides), "bike_type", cents(F.col("ride_cost_cad")), top, bins, 0.01)
+    return histogram(casual_only(rides), "bike_type", cents(F.col("ride_cost_cad")), top, bins, 100)
 
 
 def duration_box(rides: DataFrame, top: float = 60.0) -> DataFrame:
     """Box plot numbers per rider type: quartiles, whiskers at the last value inside
     1.5 interquartile ranges, mean, and the number of values outside."""
-    clipped = F.least(F.greatest(tenths(F.col("duration_min")), F.lit(0)), F.lit(round(top * 10)).cast("long"))
+    clipped = clip(millis(F.col("duration_min")), round(top * 60_000))
     counts = value_counts(rides, "user_type", clipped)
     boxes = counts.groupBy("user_type").agg(
         percentiles("v", "n", 0.25, 0.5, 0.75).alias("q"),
@@ -139,7 +146,7 @@ def duration_box(rides: DataFrame, top: float = 60.0) -> DataFrame:
         F.sum(F.when(~inside, F.col("n")).otherwise(0)).alias("outliers"),
     ).select(
         "user_type",
-        *[rnd(F.col(c) / 10.0, 2).alias(name) for c, name in [
+        *[rnd(minutes(F.col(c)), 2).alias(name) for c, name in [
             ("q1", "q1"), ("q2", "median"), ("q3", "q3"), ("low", "whisker_low"), ("high", "whisker_high"), ("mean", "mean"),
         ]],
         "outliers",

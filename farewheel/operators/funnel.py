@@ -81,7 +81,7 @@ def funnel_by_persona(
         F.sum(zero("shown")).alias("cta_shown"),
         F.sum(zero("clicked")).alias("cta_clicked"),
         F.sum(zero("completed")).alias("converted"),
-        rnd(ratio(minutes(F.sum(F.col("tenths") * weight)), F.sum(F.col("timed_rides") * weight)), 1)
+        rnd(ratio(minutes(F.sum(F.col("millis") * weight)), F.sum(F.col("timed_rides") * weight)), 1)
         .alias("avg_ride_duration"),
         rnd(ratio(money(F.sum(F.col("cents") * weight)), F.sum(F.col("priced_rides") * weight)), 2)
         .alias("avg_ride_cost"),

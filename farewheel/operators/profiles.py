@@ -10,7 +10,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from farewheel.functions.columns import cents, flag, tenths
+from farewheel.functions.columns import cents, flag, millis
 from farewheel.params import (
     CTA_CLICKED, CTA_SHOWN, EBIKE, SIGNUP_COMPLETED,
 )
@@ -25,7 +25,7 @@ def ride_totals(rides: DataFrame) -> DataFrame:
         F.count(F.lit(1)).alias("rides"),
         F.count("duration_min").alias("timed_rides"),
         F.count("ride_cost_cad").alias("priced_rides"),
-        F.sum(tenths(F.col("duration_min"))).alias("tenths"),
+        F.sum(millis(F.col("duration_min"))).alias("millis"),
         F.sum(cents(F.col("ride_cost_cad"))).alias("cents"),
         F.sum(flag(F.col("bike_type") == EBIKE)).alias("ebike_rides"),
         F.max("started_at").alias("last_ride_at"),

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from farewheel.functions.columns import (
-    day, flag, minutes, month_of, months_between_firsts, ratio, rnd, since, tenths, ts,
+    day, flag, millis, minutes, month_of, months_between_firsts, ratio, rnd, since, ts,
 )
 from farewheel.operators.profiles import is_event, zero
 from farewheel.operators.segmentation import days_since, whole
@@ -166,14 +166,15 @@ def member_ytd_savings(
     the rider repeats the rides; ``grain_safe`` counts them once."""
     price = p.pricing
     per_bike = since(rides, "started_at", p.year_start).filter(F.col("user_type") == MEMBER)
-    tenth = tenths(F.col("duration_min"))
+    length = millis(F.col("duration_min"))
     ebike, classic = F.col("bike_type") == EBIKE, F.col("bike_type") == CLASSIC
     totals = per_bike.groupBy("user_id").agg(
         F.count(F.lit(1)).alias("rides"),
-        F.sum(tenth).alias("tenths"),
-        F.sum(F.when(ebike, tenth).otherwise(0)).alias("ebike_tenths"),
-        F.sum(F.when(classic, tenth).otherwise(0)).alias("classic_tenths"),
-        F.sum(flag(ebike | classic)).alias("known_bikes"),
+        F.sum(length).alias("millis"),
+        F.sum(F.when(ebike, length).otherwise(0)).alias("ebike_millis"),
+        F.sum(F.when(classic, length).otherwise(0)).alias("classic_millis"),
+        # a ride without duration has no price, not even the unlock fee
+        F.sum(flag((ebike | classic) & F.col("duration_min").isNotNull())).alias("priced"),
     )
     signups = events.filter(is_event(SIGNUP_COMPLETED)).groupBy("user_id").agg(
         F.count(F.lit(1)).alias("signups")
@@ -186,12 +187,12 @@ def member_ytd_savings(
         .select(
             "user_id", "persona_segment",
             (F.col("rides") * weight).alias("ytd_rides"),
-            minutes(F.col("tenths") * weight).alias("min"),
-            (minutes(F.col("ebike_tenths") * weight) * price.member_ebike_per_min).alias("charges"),
+            minutes(F.col("millis") * weight).alias("min"),
+            (minutes(F.col("ebike_millis") * weight) * price.member_ebike_per_min).alias("charges"),
             (
-                F.col("known_bikes") * weight * price.unlock
-                + minutes(F.col("classic_tenths") * weight) * price.classic_per_min
-                + minutes(F.col("ebike_tenths") * weight) * price.ebike_per_min
+                F.col("priced") * weight * price.unlock
+                + minutes(F.col("classic_millis") * weight) * price.classic_per_min
+                + minutes(F.col("ebike_millis") * weight) * price.ebike_per_min
             ).alias("casual_cost"),
         )
         .withColumn("member_cost", F.col("charges") + fee)
@@ -206,7 +207,7 @@ def member_ytd_savings(
         "user_id", "persona_segment", "ytd_rides",
         rnd(F.col("min") / 60.0, 1).alias("ytd_hours_ridden"),
         rnd(F.col("charges"), 2).alias("actual_ebike_charges_cad"),
-        F.lit(int(fee)).alias("annual_membership_fee"),
+        F.lit(fee).alias("annual_membership_fee"),
         rnd(F.col("member_cost"), 2).alias("total_member_cost_cad"),
         rnd(F.col("casual_cost"), 2).alias("equivalent_casual_cost_cad"),
         rnd(F.col("net"), 2).alias("net_savings_cad"),

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from farewheel.functions.columns import (
-    cents, day, flag, is_commute, is_weekend, minutes, money, ratio, rnd, since, tenths, ts,
+    cents, day, flag, is_commute, is_weekend, millis, minutes, money, ratio, rnd, since, ts,
 )
 from farewheel.operators.profiles import is_event, ride_totals, zero
 from farewheel.params import (
@@ -16,6 +16,11 @@ from farewheel.params import (
 TOO_FEW = "Insufficient data"
 UNCLASSIFIED = "Unclassified"
 
+# revenue potential: thousands a year if this percentage of riders converts
+MONTHS = 12
+CONVERTED_PCT = 5
+THOUSAND = 1000.0
+
 
 def days_since(last: Column, p: Params) -> Column:
     return F.datediff(day(p.as_of), F.to_date(last)).cast("long")
@@ -32,7 +37,7 @@ def rider_profiles(rides: DataFrame, p: Params, lookback: int) -> DataFrame:
     started = F.col("started_at")
     sums = casual.groupBy("user_id").agg(
         F.count(F.lit(1)).alias("total_rides"),
-        F.sum(tenths(F.col("duration_min"))).alias("tenths"),
+        F.sum(millis(F.col("duration_min"))).alias("millis"),
         F.count("duration_min").alias("timed"),
         F.sum(cents(F.col("ride_cost_cad"))).alias("cents"),
         F.count("ride_cost_cad").alias("priced"),
@@ -45,7 +50,7 @@ def rider_profiles(rides: DataFrame, p: Params, lookback: int) -> DataFrame:
     n = F.col("total_rides")
     return sums.select(
         "user_id", "total_rides",
-        rnd(ratio(minutes(F.col("tenths")), F.col("timed")), 1).alias("avg_duration_min"),
+        rnd(ratio(minutes(F.col("millis")), F.col("timed")), 1).alias("avg_duration_min"),
         rnd(ratio(money(F.col("cents")), F.col("priced")), 2).alias("avg_ride_cost"),
         money(F.col("cents")).alias("total_spend_60d"),
         rnd(ratio(F.col("weekend"), n), 3).alias("pct_weekend"),
@@ -109,14 +114,14 @@ def persona_summary(
         users.filter(F.col("persona_segment").isNotNull()).select("user_id", "persona_segment"), "user_id"
     ).select(
         "persona_segment", "rides", "cents",
-        rnd(ratio(minutes(F.col("tenths")), F.col("timed_rides")), 1).alias("avg_duration"),
+        rnd(ratio(minutes(F.col("millis")), F.col("timed_rides")), 1).alias("avg_duration"),
         rnd(ratio(money(F.col("cents")), F.col("priced_rides")), 2).alias("avg_cost"),
     )
-    # the rounded means are carried as whole tenths and cents, so their sums are exact
+    # the rounded means are carried as whole milliseconds and cents, so their sums are exact
     sums = riders.groupBy("persona_segment").agg(
         F.count(F.lit(1)).alias("rider_count"),
         ratio(F.sum("rides"), F.count(F.lit(1))).alias("mean_rides"),
-        ratio(minutes(F.sum(tenths(F.col("avg_duration")))), F.count("avg_duration")).alias("mean_duration"),
+        ratio(minutes(F.sum(millis(F.col("avg_duration")))), F.count("avg_duration")).alias("mean_duration"),
         ratio(money(F.sum(cents(F.col("avg_cost")))), F.count("avg_cost")).alias("mean_cost"),
         ratio(money(F.sum("cents")), F.count("cents")).alias("mean_spend"),
     )
@@ -132,7 +137,7 @@ def persona_summary(
         rnd(F.col("mean_spend"), 2).alias("avg_spend_90d_cad"),
         rnd(ratio(F.lit(fee), F.col("mean_cost"))).alias("breakeven_rides"),
         rnd(ratio(F.lit(fee), F.col("mean_cost") * F.col("mean_rides") / 3.0), 1).alias("months_to_breakeven"),
-        rnd(F.col("rider_count") * fee * 12 * 5 / 100000.0).alias("arr_opportunity_at_5pct_k"),
+        rnd(F.col("rider_count") * fee * MONTHS * CONVERTED_PCT / (100 * THOUSAND)).alias("arr_opportunity_at_5pct_k"),
     ).orderBy(F.col("arr_opportunity_at_5pct_k").desc_nulls_last())
 
 
@@ -145,7 +150,7 @@ def ebike_savings(rides: DataFrame, p: Params = DEFAULTS, lookback: int = 90) ->
     ).agg(
         F.count(F.lit(1)).alias("n"),
         F.count("duration_min").alias("timed"),
-        minutes(F.sum(tenths(F.col("duration_min")))).alias("min"),
+        minutes(F.sum(millis(F.col("duration_min")))).alias("min"),
     )
     casual = F.col("user_type") == CASUAL
     mean_min = ratio(F.col("min"), F.col("timed"))
@@ -165,7 +170,7 @@ def ebike_savings(rides: DataFrame, p: Params = DEFAULTS, lookback: int = 90) ->
 
 # Texts shown to the rider, with the numbers put between them.
 EBIKE_HINT = ("E-bike nudge: Member rate saves ~C$", "/mo")
-SPEND_HINT = ("Spend nudge: C$", " spent — membership = C$8.75/mo")
+SPEND_HINT = ("Spend nudge: C$", " spent — membership = C$", "/mo")
 COMMUTER_HINT = ("Commuter nudge: ", " rides → break-even in ", " more rides")
 STANDARD_HINT = "Standard membership CTA"
 
@@ -200,7 +205,7 @@ def priority_nudge_targets(
             "user_id", "persona_segment", "total_rides_30d",
             money(F.col("cents") * weight).alias("spend"),
             days_since(F.col("last_ride_at"), p).alias("days_since_last_ride"),
-            rnd(ratio(minutes(F.col("tenths")), F.col("timed_rides")), 1).alias("avg_duration"),
+            rnd(ratio(minutes(F.col("millis")), F.col("timed_rides")), 1).alias("avg_duration"),
             rnd(ratio(F.col("ebike_rides"), F.col("rides")), 2).alias("pct_ebike"),
         )
     )
@@ -212,7 +217,7 @@ def priority_nudge_targets(
             F.col("pct_ebike") >= 0.50,
             F.concat(F.lit(EBIKE_HINT[0]), whole((price.unlock + F.col("avg_duration") * member_gain) * n), F.lit(EBIKE_HINT[1])),
         )
-        .when(spend >= 30, F.concat(F.lit(SPEND_HINT[0]), whole(spend), F.lit(SPEND_HINT[1])))
+        .when(spend >= 30, F.concat(F.lit(SPEND_HINT[0]), whole(spend), F.lit(f"{SPEND_HINT[1]}{price.annual_fee / MONTHS:.2f}{SPEND_HINT[2]}")))
         .when(
             F.col("persona_segment") == RELUCTANT_COMMUTER,
             F.concat(F.lit(COMMUTER_HINT[0]), n.cast("string"), F.lit(COMMUTER_HINT[1]),

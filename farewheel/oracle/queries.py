@@ -89,7 +89,7 @@ def _funnel_by_channel_variant() -> str:
     SELECT source_channel, nudge_variant, users_exposed, cta_clicks, conversions,
       {r(q('cta_clicks', 'users_exposed'), 4)} AS ctr, {r(rate, 4)} AS conversion_rate,
       {r(q('CAST(sec AS DOUBLE) / 86400.0', 'done'), 1)} AS avg_days_to_convert,
-      {r(f'{rate} * CAST(167580.0 AS DOUBLE)')} AS projected_annual_arr_k
+      {r(f'{rate} * (133000 * 105.0::DOUBLE * 12 / 1000)')} AS projected_annual_arr_k
     FROM cells"""
 
 
@@ -203,17 +203,17 @@ def _churn_early_warning() -> str:
     j AS (SELECT user_id, persona_segment, renewal_date,
         date_diff('day', {AS_OF}, CAST(renewal_date AS DATE)) AS days_to_renewal,
         rides_prior_30d, rides_recent_30d, days_since_last_ride,
-        rides_recent_30d * 2 < rides_prior_30d AS falling
+        rides_recent_30d < rides_prior_30d * 0.5 AS falling
       FROM t JOIN w USING (user_id) JOIN users USING (user_id))
     SELECT * EXCLUDE (falling),
       {r(f"{q('rides_recent_30d - rides_prior_30d', 'rides_prior_30d')} * 100")} AS ride_frequency_change_pct,
-      CASE WHEN days_since_last_ride > 20 AND days_to_renewal < 61 THEN 'High — dormant + renewal imminent'
+      CASE WHEN days_since_last_ride >= 21 AND days_to_renewal <= 60 THEN 'High — dormant + renewal imminent'
            WHEN falling THEN 'Medium — declining engagement near renewal'
            ELSE 'Medium — extended inactivity' END AS churn_risk,
-      CASE WHEN days_since_last_ride > 20 THEN 'Win-back: personalised re-engagement email with nearest station'
+      CASE WHEN days_since_last_ride >= 21 THEN 'Win-back: personalised re-engagement email with nearest station'
            WHEN falling THEN 'Re-engage: highlight member perks + upcoming local events'
-           WHEN days_to_renewal < 31 THEN 'Renewal reminder: show YTD savings vs casual rate' END AS recommended_action
-    FROM j WHERE days_to_renewal BETWEEN 0 AND 90 AND (falling OR days_since_last_ride > 13)"""
+           WHEN days_to_renewal <= 30 THEN 'Renewal reminder: show YTD savings vs casual rate' END AS recommended_action
+    FROM j WHERE days_to_renewal BETWEEN 0 AND 90 AND (falling OR days_since_last_ride >= 14)"""
 
 
 def _member_ytd_savings(grain_safe: bool) -> str:
@@ -230,7 +230,7 @@ def _member_ytd_savings(grain_safe: bool) -> str:
         ytd_rides * CAST(1 AS DOUBLE) + cm * CAST(0.12 AS DOUBLE) + em * CAST(0.20 AS DOUBLE) AS casual FROM g),
     k AS (SELECT *, charges + 105.0::DOUBLE AS mc, casual - (charges + 105.0::DOUBLE) AS net FROM c)
     SELECT user_id, persona_segment, ytd_rides, {r('mins / 60.0::DOUBLE', 1)} AS ytd_hours_ridden,
-      {r('charges', 2)} AS actual_ebike_charges_cad, 105 AS annual_membership_fee,
+      {r('charges', 2)} AS actual_ebike_charges_cad, 105.0::DOUBLE AS annual_membership_fee,
       {r('mc', 2)} AS total_member_cost_cad, {r('casual', 2)} AS equivalent_casual_cost_cad,
       {r('net', 2)} AS net_savings_cad, {r(q('casual', 'mc'), 2)} AS savings_multiple,
       CASE WHEN net >= 50 THEN concat('High value: saved C$', {n(r('net'))}, ' — strong renewal message')
@@ -295,12 +295,12 @@ RIDER_PROFILE = f"""
         CASE WHEN pct_ebike >= 0.5 THEN 'E-bike Adopter'
              WHEN pct_weekend >= 0.6::DOUBLE AND avg_duration_min >= 20 THEN 'Weekend Explorer'
              WHEN pct_commute_hours >= 0.4::DOUBLE AND avg_duration_min <= 15 THEN 'Reluctant Commuter'
-             WHEN total_rides < 7 AND distinct_months_active < 3 THEN 'Seasonal Visitor'
+             WHEN total_rides <= 6 AND distinct_months_active <= 2 THEN 'Seasonal Visitor'
              ELSE 'Unclassified' END AS persona_segment,
         {r('''pct_commute_hours * 0.30::DOUBLE + spend_to_membership_ratio * 0.40::DOUBLE
-            + CASE WHEN total_rides < 8 THEN total_rides * 0.025::DOUBLE ELSE 0.20::DOUBLE END
-            + CASE WHEN days_since_last_ride < 8 THEN 0.10::DOUBLE ELSE 0.0::DOUBLE END''', 3)} AS conversion_priority_score
-      FROM prof WHERE total_rides > 2)"""
+            + CASE WHEN total_rides >= 8 THEN 0.20::DOUBLE ELSE total_rides * 0.025::DOUBLE END
+            + CASE WHEN days_since_last_ride <= 7 THEN 0.10::DOUBLE ELSE 0.0::DOUBLE END''', 3)} AS conversion_priority_score
+      FROM prof WHERE total_rides >= 3)"""
 
 
 def _persona_summary() -> str:
@@ -319,7 +319,7 @@ def _persona_summary() -> str:
       {r('mk', 1)} AS avg_rides_per_rider_90d, {r('md', 1)} AS avg_trip_duration_min,
       {r('mc', 2)} AS avg_ride_cost_cad, {r('ms', 2)} AS avg_spend_90d_cad,
       {r(q('105.0', 'mc'))} AS breakeven_rides, {r(q('105.0', 'mc * mk / 3.0::DOUBLE'), 1)} AS months_to_breakeven,
-      {r('rider_count * 105.0::DOUBLE * 12 * 5 / 100000.0::DOUBLE')} AS arr_opportunity_at_5pct_k
+      {r('rider_count * 105.0::DOUBLE * 12 * 5 / (100 * 1000.0::DOUBLE)')} AS arr_opportunity_at_5pct_k
     FROM g"""
 
 
@@ -364,7 +364,7 @@ def _priority_nudge_targets(grain_safe: bool, limit: int) -> str:
            WHEN persona_segment = 'Reluctant Commuter' THEN concat('Commuter nudge: ', k, ' rides → break-even in ', {n(r(q('105.0', 's / k')))}, ' more rides')
            ELSE 'Standard membership CTA' END AS recommended_nudge_message,
       {r('''least(s / 105.0::DOUBLE, 1.0::DOUBLE) * 40 + least(k / 10.0::DOUBLE, 1.0::DOUBLE) * 25
-          + CASE WHEN idle < 4 THEN 20 WHEN idle < 8 THEN 15 WHEN idle < 15 THEN 5 ELSE 0 END + eb * 15''')} AS priority_score
+          + CASE WHEN idle <= 3 THEN 20 WHEN idle <= 7 THEN 15 WHEN idle <= 14 THEN 5 ELSE 0 END + eb * 15''')} AS priority_score
     FROM g ORDER BY priority_score DESC, user_id LIMIT {limit}"""
 
 
@@ -377,16 +377,12 @@ def _exploration() -> dict[str, str]:
     def pct(expr: str, p: float, div: str = "1.0") -> str:
         return r(f"quantile_cont({expr}, {p}) / {div}::DOUBLE", 2)
 
-    t = "CAST(round(duration_min * 10) AS BIGINT)"
     cents = "CAST(ride_cost_cad * 100 AS BIGINT)"
     out["duration_stats"] = f"""{TABLES},
-    v AS (SELECT user_type, {t} AS t FROM rides),
-    s AS (SELECT user_type, COUNT(*) AS c, SUM(t) AS s1, SUM(t * t) AS s2,
-        {pct('CAST(t AS DOUBLE)', 0.5, '10.0')} AS median, {pct('CAST(t AS DOUBLE)', 0.25, '10.0')} AS p25,
-        {pct('CAST(t AS DOUBLE)', 0.75, '10.0')} AS p75, {pct('CAST(t AS DOUBLE)', 0.95, '10.0')} AS p95
-      FROM v GROUP BY 1)
-    SELECT user_type, c AS count, {r(f"{q('s1', 'c')} / 10.0::DOUBLE", 2)} AS mean, median,
-      {r(f"sqrt({q('c * s2 - s1 * s1', 'CAST(c AS HUGEINT) * (c - 1)')}) / 10.0::DOUBLE", 2)} AS std, p25, p75, p95 FROM s"""
+    timed AS (SELECT user_type, duration_min AS t FROM rides WHERE duration_min IS NOT NULL)
+    SELECT user_type, COUNT(*) AS count, {r(q('SUM(t)', 'COUNT(*)'), 2)} AS mean, {pct('t', 0.5)} AS median,
+      {r('stddev_samp(t)', 2)} AS std, {pct('t', 0.25)} AS p25, {pct('t', 0.75)} AS p75, {pct('t', 0.95)} AS p95
+    FROM timed GROUP BY 1"""
     out["casual_cost_by_bike"] = f"""{TABLES}
     SELECT bike_type, {r(q('CAST(SUM(ride_cost_cad) AS DOUBLE)', 'COUNT(*)'), 2)} AS mean,
       {pct(f'CAST({cents} AS DOUBLE)', 0.5, '100.0')} AS median, {r('CAST(SUM(ride_cost_cad) AS DOUBLE)', 2)} AS total
@@ -399,26 +395,26 @@ def _exploration() -> dict[str, str]:
 
     def hist(group: str, where: str, value: str, top: int, bins: int, unit: str) -> str:
         return f"""{TABLES},
-    v AS (SELECT {group}, least(greatest({value}, 0), {top}) AS v FROM rides WHERE {where}),
+    v AS (SELECT {group}, least(greatest({value}, 0), {top}) AS v FROM rides WHERE {where} AND {value} IS NOT NULL),
     b AS (SELECT {group}, MIN(v) AS lo, MAX(v) AS hi, COUNT(*) AS total FROM v GROUP BY 1),
     p AS (SELECT {group}, lo, hi, total,
-        CASE WHEN hi = lo THEN 0 WHEN v = hi THEN {bins - 1} ELSE (v - lo) * {bins} // (hi - lo) END AS bin
+        CASE WHEN hi = lo THEN 0 WHEN v = hi THEN {bins - 1} ELSE floor((v - lo) * {bins} / (hi - lo)) END AS bin
       FROM v JOIN b USING ({group})),
     c AS (SELECT {group}, bin, COUNT(*) AS rides, ANY_VALUE(lo) AS lo, ANY_VALUE(total) AS total,
         (ANY_VALUE(hi) - ANY_VALUE(lo)) * {unit}::DOUBLE / {bins}::DOUBLE AS w FROM p GROUP BY 1, 2)
     SELECT {group}, {n('bin')} AS bin, {r(f'lo * {unit}::DOUBLE + bin * w', 6)} AS bin_start, rides,
       {r(q('rides', 'total * w'), 6)} AS density FROM c"""
 
-    out["duration_histogram"] = hist("user_type", "TRUE", t, 600, 60, "0.1")
+    out["duration_histogram"] = hist("user_type", "TRUE", "duration_min", 60, 60, "1.0")
     out["cost_histogram"] = hist("bike_type", CASUAL, cents, 1500, 40, "0.01")
     out["duration_box"] = f"""{TABLES},
-    v AS (SELECT user_type, least(greatest({t}, 0), 600) AS v FROM rides),
+    v AS (SELECT user_type, least(greatest(duration_min, 0), 60) AS v FROM rides WHERE duration_min IS NOT NULL),
     b AS (SELECT user_type, quantile_cont(CAST(v AS DOUBLE), 0.25) AS a, quantile_cont(CAST(v AS DOUBLE), 0.5) AS m,
         quantile_cont(CAST(v AS DOUBLE), 0.75) AS z, {q('SUM(v)', 'COUNT(*)')} AS mean FROM v GROUP BY 1),
     f AS (SELECT *, v BETWEEN a - 1.5 * (z - a) AND z + 1.5 * (z - a) AS ok FROM v JOIN b USING (user_type))
-    SELECT user_type, {r('ANY_VALUE(a) / 10.0::DOUBLE', 2)} AS q1, {r('ANY_VALUE(m) / 10.0::DOUBLE', 2)} AS median,
-      {r('ANY_VALUE(z) / 10.0::DOUBLE', 2)} AS q3, {r('MIN(v) FILTER (ok) / 10.0::DOUBLE', 2)} AS whisker_low,
-      {r('MAX(v) FILTER (ok) / 10.0::DOUBLE', 2)} AS whisker_high, {r('ANY_VALUE(mean) / 10.0::DOUBLE', 2)} AS mean,
+    SELECT user_type, {r('ANY_VALUE(a)', 2)} AS q1, {r('ANY_VALUE(m)', 2)} AS median,
+      {r('ANY_VALUE(z)', 2)} AS q3, {r('MIN(v) FILTER (ok)', 2)} AS whisker_low,
+      {r('MAX(v) FILTER (ok)', 2)} AS whisker_high, {r('ANY_VALUE(mean)', 2)} AS mean,
       COUNT(*) FILTER (NOT ok) AS outliers
     FROM f GROUP BY 1"""
     sides = f"COUNT(*) FILTER (user_type = 'Annual Member') AS annual_member, COUNT(*) FILTER ({CASUAL}) AS casual_member"
