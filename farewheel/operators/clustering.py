@@ -19,6 +19,7 @@ from pyspark.ml.feature import VectorAssembler
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from farewheel.functions.columns import cents, money, ratio, rnd
+from farewheel.functions.horizon import until_as_of
 from farewheel.operators.exploration import cluster_features
 from farewheel.params import EBIKE_ADOPTER, RELUCTANT_COMMUTER, SEASONAL_VISITOR, WEEKEND_EXPLORER
 
@@ -52,6 +53,7 @@ def scaled(feature: str) -> Column:
     return F.coalesce(ratio(F.col(feature) - F.col(f"m.mean_{feature}"), F.col(f"m.std_{feature}")), F.lit(0.0))
 
 
+@until_as_of
 def feature_scaling(rides: DataFrame) -> DataFrame:
     """Every casual ride with its standardised features."""
     return with_moments(cluster_features(rides), F.lit(1)).select(
@@ -107,6 +109,7 @@ def fits(points: DataFrame, ks: Iterable[int], n_init: int, seed: int) -> dict[i
     return best
 
 
+@until_as_of
 def cluster_k_sweep(
     rides: DataFrame, ks: range = range(2, 8), n_init: int = 2, seed: int = 42
 ) -> DataFrame:
@@ -156,6 +159,7 @@ def _profile(clustered: DataFrame) -> DataFrame:
     )
 
 
+@until_as_of
 def cluster_profiles(rides: DataFrame, k: int = 4, n_init: int = 3, seed: int = 42) -> DataFrame:
     return _profile(_clustered(rides, k, n_init, seed)).orderBy("cluster")
 
@@ -183,6 +187,7 @@ def _labels(profile: DataFrame) -> DataFrame:
     return named.groupBy("cluster").agg(F.max_by("persona", "turn").alias("persona"))
 
 
+@until_as_of
 def cluster_labels(rides: DataFrame, k: int = 4, n_init: int = 3, seed: int = 42) -> DataFrame:
     """Persona per cluster; clusters that win no feature stay without one."""
     profile = _profile(_clustered(rides, k, n_init, seed))
@@ -191,6 +196,7 @@ def cluster_labels(rides: DataFrame, k: int = 4, n_init: int = 3, seed: int = 42
     ).orderBy("cluster")
 
 
+@until_as_of
 def persona_feature_profile(rides: DataFrame, k: int = 4, n_init: int = 3, seed: int = 42) -> DataFrame:
     """Six means per persona on a common 0 to 10 scale."""
     clustered = _clustered(rides, k, n_init, seed)
@@ -206,6 +212,7 @@ def persona_feature_profile(rides: DataFrame, k: int = 4, n_init: int = 3, seed:
     ).orderBy("persona")
 
 
+@until_as_of
 def cluster_projection(rides: DataFrame) -> DataFrame:
     """Two principal components per distinct feature combination, with the share of
     variance they explain. Only the 7 x 7 matrix of products reaches the driver."""

@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+from datetime import timedelta
 from typing import NamedTuple
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from farewheel.functions.columns import cents, minutes, money, ratio, rnd, since
+from farewheel.functions.horizon import until_as_of
 from farewheel.operators.exploration import casual_only
 from farewheel.operators.funnel import STEPS
 from farewheel.operators.profiles import is_event
@@ -44,12 +46,13 @@ def _as_rows(names: list[str], rows: list[tuple]) -> Column:
     ])
 
 
+@until_as_of
 def funnel_shares(
     rides: DataFrame, events: DataFrame, p: Params = DEFAULTS, lookback: int = 30
 ) -> DataFrame:
     """Riders per funnel stage over the whole window, share of the base, loss per stage."""
     start = p.days_ago(lookback)
-    casual = since(rides, "started_at", start).filter(F.col("user_type") == CASUAL)
+    casual = since(rides, "started_at", start).filter((F.col("user_type") == CASUAL) & F.col("user_id").isNotNull())
     base = casual.groupBy("user_id").agg(F.lit(1).alias("casual_riders"))
     reached = since(events, "event_at", start).groupBy("user_id").agg(
         *[F.max(is_event(step).cast("int")).alias(step) for step in STEPS]
@@ -71,10 +74,11 @@ def funnel_shares(
     ).orderBy("stage_no")
 
 
+@until_as_of
 def arr_scenarios(rides: DataFrame, p: Params = DEFAULTS, months: int = 12) -> DataFrame:
-    """Annual revenue per operator price and scenario at the observed casual volume."""
-    first = p.as_of.replace(year=p.as_of.year - months // 12)
-    volume = casual_only(since(rides, "started_at", first)).agg(
+    """Annual revenue per operator price and scenario at the casual volume of the last
+    ``months`` months, and what a scenario adds to the first one, the current rate."""
+    volume = casual_only(since(rides, "started_at", p.months_ago(months) + timedelta(days=1))).agg(
         (F.count(F.lit(1)) / F.lit(float(months))).alias("monthly")
     )
     grid = volume.select(
@@ -82,14 +86,18 @@ def arr_scenarios(rides: DataFrame, p: Params = DEFAULTS, months: int = 12) -> D
         F.explode(_as_rows(["operator", "price"], [(o.id, o.annual_price) for o in OPERATORS])).alias("o"),
     ).select("monthly", "o.*", F.explode(_as_rows(["scenario", "rate"], SCENARIOS)).alias("s"))
     members = F.floor(F.col("monthly") * F.col("s.rate"))
+    now = F.floor(F.col("monthly") * F.lit(SCENARIOS[0][1]))
     return grid.select(
         "operator", "s.scenario", "s.rate",
         rnd(F.col("monthly"), 1).alias("monthly_casual_rides"),
         members.alias("members_per_month"),
         rnd(members * F.col("price") * 12 / 1000.0, 3).alias("arr_k"),
+        (members - now).alias("incremental_members_per_month"),
+        rnd((members - now) * F.col("price") * 12 / 1000.0, 3).alias("incremental_arr_k"),
     ).orderBy("operator", "rate")
 
 
+@until_as_of
 def operator_breakeven(rides: DataFrame, p: Params = DEFAULTS) -> DataFrame:
     """Break-even rides of each operator at its published and at the observed ride cost,
     and the price of its weekend tier."""
@@ -109,6 +117,7 @@ def operator_breakeven(rides: DataFrame, p: Params = DEFAULTS) -> DataFrame:
     ).orderBy("operator")
 
 
+@until_as_of
 def ebike_price_gap(rides: DataFrame, p: Params = DEFAULTS) -> DataFrame:
     """Casual and member price by e-bike ride length, over the lengths really ridden."""
     price = p.pricing

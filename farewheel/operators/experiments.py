@@ -7,6 +7,7 @@ from statistics import NormalDist
 from pyspark.sql import Column, DataFrame, functions as F
 
 from farewheel.functions.columns import ratio, rnd, since
+from farewheel.functions.horizon import until_as_of
 from farewheel.operators.funnel import channel_exposure
 from farewheel.operators.profiles import event_totals, zero
 from farewheel.params import CASUAL, DEFAULTS, Params
@@ -29,6 +30,7 @@ def sample_size(p1: Column, p2: Column, alpha: float, power: Column) -> Column:
     return F.ceil(ratio(root * root, gap * gap))
 
 
+@until_as_of
 def experiment_sizing(
     rides: DataFrame, users: DataFrame, events: DataFrame, p: Params = DEFAULTS,
     lookback: int = 90, alpha: float = 0.05, powers: tuple[float, ...] = (0.80, 0.90),
@@ -66,6 +68,7 @@ def experiment_sizing(
     ).orderBy("persona_segment", "lift_pct", "power")
 
 
+@until_as_of
 def experiment_readout(
     events: DataFrame, p: Params = DEFAULTS, window_days: int = 28, alpha: float = 0.05,
     treatment: str = "treatment", control: str = "control",

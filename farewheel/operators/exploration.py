@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from farewheel.functions.columns import cents, is_weekend, millis, minutes, money, ratio, rnd
+from farewheel.functions.horizon import until_as_of
 from farewheel.params import CASUAL, CLASSIC, DEFAULTS, EBIKE, MEMBER, Params
 
 RIDER_TYPES = [MEMBER, CASUAL]
@@ -31,6 +32,7 @@ def casual_only(rides: DataFrame) -> DataFrame:
     return rides.filter(F.col("user_type") == CASUAL)
 
 
+@until_as_of
 def duration_stats(rides: DataFrame) -> DataFrame:
     """Count, mean, quantiles and sample deviation of the duration per rider type."""
     counts = value_counts(rides, "user_type", millis(F.col("duration_min")))
@@ -54,6 +56,7 @@ def duration_stats(rides: DataFrame) -> DataFrame:
     ).orderBy("user_type")
 
 
+@until_as_of
 def casual_cost_by_bike(rides: DataFrame) -> DataFrame:
     counts = value_counts(casual_only(rides), "bike_type", cents(F.col("ride_cost_cad")))
     total = F.sum(F.col("v") * F.col("n"))
@@ -64,6 +67,7 @@ def casual_cost_by_bike(rides: DataFrame) -> DataFrame:
     ).orderBy("bike_type")
 
 
+@until_as_of
 def breakeven(rides: DataFrame, p: Params = DEFAULTS, rides_per_month: int = 8) -> DataFrame:
     """Rides until the annual fee is paid back, over all bikes and per bike type."""
     sums = casual_only(rides).groupBy("bike_type").agg(
@@ -118,14 +122,17 @@ def histogram(rows: DataFrame, group: str, value: Column, top: float, bins: int,
     )
 
 
+@until_as_of
 def duration_histogram(rides: DataFrame, top: float = 60.0, bins: int = 60) -> DataFrame:
     return histogram(rides, "user_type", millis(F.col("duration_min")), top, bins, 60_000)
 
 
+@until_as_of
 def cost_histogram(rides: DataFrame, top: float = 15.0, bins: int = 40) -> DataFrame:
     return histogram(casual_only(rides), "bike_type", cents(F.col("ride_cost_cad")), top, bins, 100)
 
 
+@until_as_of
 def duration_box(rides: DataFrame, top: float = 60.0) -> DataFrame:
     """Box plot numbers per rider type: quartiles, whiskers at the last value inside
     1.5 interquartile ranges, mean, and the number of values outside."""
@@ -163,6 +170,7 @@ def rides_by(rides: DataFrame, *keys: Column) -> DataFrame:
     )
 
 
+@until_as_of
 def rides_by_month(rides: DataFrame) -> DataFrame:
     started = F.col("started_at")
     return rides_by(rides, F.month(started).cast("long").alias("month_no")).select(
@@ -172,6 +180,7 @@ def rides_by_month(rides: DataFrame) -> DataFrame:
     ).orderBy("month_no")
 
 
+@until_as_of
 def rides_by_weekday(rides: DataFrame) -> DataFrame:
     """Monday is day 1."""
     number = (F.weekday("started_at") + 1).cast("long")
@@ -183,10 +192,12 @@ def rides_by_weekday(rides: DataFrame) -> DataFrame:
     ).orderBy("day_no")
 
 
+@until_as_of
 def rides_by_hour(rides: DataFrame) -> DataFrame:
     return rides_by(rides, F.hour("started_at").cast("long").alias("hour_of_day")).orderBy("hour_of_day")
 
 
+@until_as_of
 def category_share(rides: DataFrame) -> DataFrame:
     """Percent of rides per rider type and per bike type, from one scan."""
     cells = rides.groupBy("user_type", "bike_type").agg(F.count(F.lit(1)).alias("n"))
@@ -202,6 +213,7 @@ def category_share(rides: DataFrame) -> DataFrame:
     ).orderBy("dimension", F.col("rides").desc())
 
 
+@until_as_of
 def spend_curve(rides: DataFrame, p: Params = DEFAULTS, first: int = 2, last: int = 19) -> DataFrame:
     """Monthly casual spend by ride frequency against the fee per month."""
     def mean_cost(bike: str) -> Column:
@@ -225,6 +237,7 @@ def spend_curve(rides: DataFrame, p: Params = DEFAULTS, first: int = 2, last: in
     ).orderBy("rides_per_month")
 
 
+@until_as_of
 def cluster_features(rides: DataFrame) -> DataFrame:
     """The seven clustering features of every casual ride. Peak hours are the morning
     ones only, and the weekday comes from the timestamp."""

@@ -7,6 +7,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 from farewheel.functions.columns import (
     cents, flag, minutes, money, ratio, rnd, seconds_between, since, ts, whole_days_between,
 )
+from farewheel.functions.horizon import until_as_of
 from farewheel.functions.skew import ROWS_PER_TASK, join_hot_keys
 from farewheel.operators.profiles import (
     event_totals, first_conversion, is_event, ride_totals, zero,
@@ -29,7 +30,7 @@ def daily_step_counts(rides: DataFrame, events: DataFrame, p: Params, lookback:
     start = p.days_ago(lookback)
     ride_days = since(rides, "started_at", start).groupBy(
         "user_id", F.to_date("started_at").alias("event_day")
-    ).agg(F.max(flag(F.col("user_type") == CASUAL)).alias("casual_riders"))
+    ).agg(F.max(flag((F.col("user_type") == CASUAL) & F.col("user_id").isNotNull())).alias("casual_riders"))
     event_days = since(events, "event_at", start).groupBy(
         "user_id", F.to_date("event_at").alias("event_day")
     ).agg(*[F.max(flag(is_event(step))).alias(step) for step in STEPS])
@@ -45,6 +46,7 @@ def daily_step_counts(rides: DataFrame, events: DataFrame, p: Params, lookback:
     )
 
 
+@until_as_of
 def funnel_daily(
     rides: DataFrame, events: DataFrame, p: Params = DEFAULTS, lookback: int = 30
 ) -> DataFrame:
@@ -63,6 +65,7 @@ def funnel_daily(
     ).orderBy(F.col("event_date").desc_nulls_last())
 
 
+@until_as_of
 def funnel_by_persona(
     rides: DataFrame, users: DataFrame, events: DataFrame, p: Params = DEFAULTS,
     lookback: int = 90, grain_safe: bool = False,
@@ -104,7 +107,7 @@ def channel_exposure(events: DataFrame, p: Params, window_days: int) -> DataFram
     start = p.days_ago(window_days)
     recent = F.col("event_at") >= ts(start)
     done = recent & is_event(SIGNUP_COMPLETED)
-    per_cell = events.groupBy("user_id", "source_channel", "nudge_variant").agg(
+    per_cell = events.filter(F.col("user_id").isNotNull()).groupBy("user_id", "source_channel", "nudge_variant").agg(
         F.min(F.when(is_event(CTA_SHOWN), F.col("event_at"))).alias("shown_at"),
         F.max(flag(recent)).alias("exposed"),
         F.max(flag(recent & is_event(CTA_CLICKED))).alias("clicked"),
@@ -121,6 +124,7 @@ def channel_exposure(events: DataFrame, p: Params, window_days: int) -> DataFram
     )
 
 
+@until_as_of
 def funnel_by_channel_variant(
     events: DataFrame, p: Params = DEFAULTS, window_days: int = 28
 ) -> DataFrame:
@@ -163,6 +167,7 @@ def rider_steps(events: DataFrame, p: Params, lookback: int) -> DataFrame:
     )
 
 
+@until_as_of
 def signup_step_dropoff(
     events: DataFrame, p: Params = DEFAULTS, lookback: int = 30, grain_safe: bool = False
 ) -> DataFrame:
@@ -245,6 +250,7 @@ def conversion_journeys(
     ).withColumn("days", whole_days_between(F.col("first_ride_at"), F.col("converted_at")))
 
 
+@until_as_of
 def time_to_convert(
     users: DataFrame, events: DataFrame, rides: DataFrame, p: Params = DEFAULTS, lookback: int = 180
 ) -> DataFrame:

@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 from farewheel.functions.columns import (
     day, flag, month_of, ratio, rnd, since, ts,
 )
+from farewheel.functions.horizon import until_as_of
 from farewheel.functions.skew import ROWS_PER_TASK, join_hot_keys
 from farewheel.operators.funnel import json_step
 from farewheel.operators.profiles import first_conversion, is_event, zero
@@ -19,6 +20,7 @@ from farewheel.params import (
 from farewheel.operators.retention import nudge_days
 
 
+@until_as_of
 def north_star_90d(
     rides: DataFrame, users: DataFrame, events: DataFrame, p: Params = DEFAULTS, days: int = 90
 ) -> DataFrame:
@@ -40,9 +42,10 @@ def north_star_90d(
     ).orderBy(F.col("first_ride_month").asc_nulls_first())
 
 
+@until_as_of
 def cta_exposure_monthly(rides: DataFrame, events: DataFrame) -> DataFrame:
     """Share of a month's casual riders who saw the call to action in that month."""
-    casual = rides.filter(F.col("user_type") == CASUAL).select(
+    casual = rides.filter((F.col("user_type") == CASUAL) & F.col("user_id").isNotNull()).select(
         "user_id", month_of(F.col("started_at")).alias("month")
     ).distinct()
     shown = events.filter(is_event(CTA_SHOWN)).select(
@@ -56,6 +59,7 @@ def cta_exposure_monthly(rides: DataFrame, events: DataFrame) -> DataFrame:
     ).orderBy("month")
 
 
+@until_as_of
 def ctr_by_surface(events: DataFrame) -> DataFrame:
     """Clicks per impression and clicking riders per reached rider, by channel."""
     shown, clicked = is_event(CTA_SHOWN), is_event(CTA_CLICKED)
@@ -65,8 +69,9 @@ def ctr_by_surface(events: DataFrame) -> DataFrame:
     sums = per_rider.groupBy("source_channel").agg(
         F.sum("impressions").alias("impressions"),
         F.sum("clicks").alias("clicks"),
-        F.sum(flag(F.col("impressions") > 0)).alias("users_shown"),
-        F.sum(flag(F.col("clicks") > 0)).alias("users_clicked"),
+        # events without a rider count, but are nobody
+        F.sum(flag((F.col("impressions") > 0) & F.col("user_id").isNotNull())).alias("users_shown"),
+        F.sum(flag((F.col("clicks") > 0) & F.col("user_id").isNotNull())).alias("users_clicked"),
     )
     return sums.select(
         "*",
@@ -75,6 +80,7 @@ def ctr_by_surface(events: DataFrame) -> DataFrame:
     ).orderBy("source_channel")
 
 
+@until_as_of
 def step_completion(events: DataFrame, p: Params = DEFAULTS, lookback: int = 30) -> DataFrame:
     """Riders who enter and finish each sign-up step. Starting is entering step 1, a
     completed step event names the step that was reached, completion ends step 4."""
@@ -85,7 +91,7 @@ def step_completion(events: DataFrame, p: Params = DEFAULTS, lookback: int = 30)
     )
     per_step = (
         since(events, "event_at", p.days_ago(lookback))
-        .select("user_id", reached.alias("step")).filter(F.col("step").isNotNull())
+        .select("user_id", reached.alias("step")).filter(F.col("step").isNotNull() & F.col("user_id").isNotNull())
         .distinct().groupBy("step").agg(F.count(F.lit(1)).alias("riders"))
     )
     wide = per_step.agg(*[
@@ -100,6 +106,7 @@ def step_completion(events: DataFrame, p: Params = DEFAULTS, lookback: int = 30)
     ).orderBy("step")
 
 
+@until_as_of
 def conversion_by_persona(
     rides: DataFrame, users: DataFrame, events: DataFrame, p: Params = DEFAULTS, lookback: int = 90
 ) -> DataFrame:
@@ -125,6 +132,7 @@ def conversion_by_persona(
     ).orderBy("dimension", "segment")
 
 
+@until_as_of
 def active_members(
     rides: DataFrame, users: DataFrame, events: DataFrame, p: Params = DEFAULTS, lookback: int = 30
 ) -> DataFrame:
@@ -158,6 +166,7 @@ def renewals(events: DataFrame, p: Params, first_day: int, last_day: int) -> Dat
     )
 
 
+@until_as_of
 def renewal_rate(
     events: DataFrame, p: Params = DEFAULTS, first_day: int = 330, last_day: int = 400
 ) -> DataFrame:
@@ -171,6 +180,7 @@ def renewal_rate(
     ).orderBy("cohort_month")
 
 
+@until_as_of
 def post_conversion_rides_90d(
     rides: DataFrame, users: DataFrame, events: DataFrame, p: Params = DEFAULTS,
     days: int = 90, target: int = 12, rows_per_task: int = ROWS_PER_TASK,
@@ -203,6 +213,7 @@ def post_conversion_rides_90d(
     )
 
 
+@until_as_of
 def guardrail_thresholds(
     events: DataFrame, rides: DataFrame, app_events: DataFrame, p: Params = DEFAULTS,
     window_days: int = 28, treatment: str = "treatment", control: str = "control",
@@ -246,10 +257,12 @@ def guardrail_thresholds(
     ).orderBy("metric")
 
 
+@until_as_of
 def tier_cannibalisation(events: DataFrame, p: Params = DEFAULTS, lookback: int = 365) -> DataFrame:
     """Mix of annual and weekend memberships per test arm."""
     done = is_event(SIGNUP_COMPLETED)
-    per_rider = since(events, "event_at", p.days_ago(lookback)).groupBy("nudge_variant", "user_id").agg(
+    known = since(events, "event_at", p.days_ago(lookback)).filter(F.col("user_id").isNotNull())
+    per_rider = known.groupBy("nudge_variant", "user_id").agg(
         F.max(flag(done)).alias("converted"),
         F.sum(flag(done & (F.col("membership_tier") == "annual"))).alias("annual"),
         F.sum(flag(done & (F.col("membership_tier") == "weekend"))).alias("weekend"),

@@ -7,6 +7,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 from farewheel.functions.columns import (
     cents, day, flag, is_weekend, money, month_of, ratio, rnd, since, ts,
 )
+from farewheel.functions.horizon import until_as_of
 from farewheel.operators.profiles import is_event, zero
 from farewheel.operators.segmentation import whole
 from farewheel.params import CASUAL, CTA_SHOWN, DEFAULTS, MEMBER, Params, SIGNUP_COMPLETED
@@ -34,6 +35,7 @@ def recent_spend(rides: DataFrame, p: Params, lookback: int) -> DataFrame:
     )
 
 
+@until_as_of
 def nudge_eligibility(
     rides: DataFrame, events: DataFrame, p: Params = DEFAULTS, lookback: int = 30,
     dismissed: str = DISMISSED, min_rides: int = 2, impression_cap: int = 3,
@@ -59,14 +61,17 @@ def nudge_eligibility(
 
 # Message texts of the nudge.
 SPENT_MORE_TEXT = "You've already spent more than a membership costs this year"
-REMAINING_TEXT = ("Annual membership: $8.75/month. You're ", " rides from breaking even.")
-PROJECTED_TEXT = ("At this pace single rides cost $", " a year")
+REMAINING_TEXT = ("Annual membership: $", "/month. You're ", " rides from breaking even.")
+SAVING_TEXT = ("At this pace a membership saves you $", " a year")
+NO_SAVING_TEXT = ("At this pace single rides cost $", " a year")
 
 
+@until_as_of
 def nudge_message(
     rides: DataFrame, events: DataFrame, p: Params = DEFAULTS, lookback: int = 30
 ) -> DataFrame:
-    """Break-even text per casual rider who is not a member yet."""
+    """Break-even text per casual rider who is not a member yet. After a single ride the
+    text projects the savings of a year; a rider who spent nothing has no break-even."""
     members = events.filter(is_event(SIGNUP_COMPLETED)).select("user_id").distinct()
     fee = p.pricing.annual_fee
     spend, n = money(F.col("cents")), F.col("rides_30d")
@@ -74,17 +79,21 @@ def nudge_message(
     per_year = spend * 365.0 / float(lookback)
     text = (
         F.when(spend > fee, SPENT_MORE_TEXT)
-        .when(n == 1, F.concat(F.lit(PROJECTED_TEXT[0]), whole(per_year), F.lit(PROJECTED_TEXT[1])))
-        .otherwise(F.concat(F.lit(REMAINING_TEXT[0]), remaining.cast("string"), F.lit(REMAINING_TEXT[1])))
+        .when((n == 1) & (per_year > fee), F.concat(F.lit(SAVING_TEXT[0]), whole(per_year - fee), F.lit(SAVING_TEXT[1])))
+        .when(n == 1, F.concat(F.lit(NO_SAVING_TEXT[0]), whole(per_year), F.lit(NO_SAVING_TEXT[1])))
+        .when(spend == 0, F.concat(F.lit(NO_SAVING_TEXT[0]), whole(per_year), F.lit(NO_SAVING_TEXT[1])))
+        .otherwise(F.concat(
+            F.lit(f"{REMAINING_TEXT[0]}{fee / 12:.2f}{REMAINING_TEXT[1]}"), remaining.cast("string"), F.lit(REMAINING_TEXT[2])))
     )
     return recent_spend(rides, p, lookback).join(members, "user_id", "left_anti").select(
         "user_id", "rides_30d", spend.alias("spend_30d"),
         rnd(F.lit(fee / 12), 2).alias("membership_per_month"),
-        F.greatest(remaining, F.lit(0)).alias("rides_to_breakeven"),
+        F.when(remaining.isNotNull(), F.greatest(remaining, F.lit(0))).alias("rides_to_breakeven"),
         text.alias("message"),
     ).orderBy("user_id")
 
 
+@until_as_of
 def breakeven_calculator(
     rides: DataFrame, p: Params = DEFAULTS, lookback: int = 30, most_per_week: int = 7
 ) -> DataFrame:
@@ -111,6 +120,7 @@ def breakeven_calculator(
     ).orderBy("user_id", "rides_per_week")
 
 
+@until_as_of
 def weekday_credit_balance(
     rides: DataFrame, events: DataFrame, p: Params = DEFAULTS, monthly_credits: int = 10
 ) -> DataFrame:
@@ -124,7 +134,7 @@ def weekday_credit_balance(
         is_event(SIGNUP_COMPLETED) & (F.col("membership_tier") == "weekend")
     ).groupBy("user_id").agg(month_of(F.min("event_at")).alias("start_month"))
     used = rides.filter(
-        (F.col("user_type") == MEMBER) & ~is_weekend(F.col("started_at")) & (F.col("started_at") < ts(p.as_of))
+        (F.col("user_type") == MEMBER) & ~is_weekend(F.col("started_at"))
     ).groupBy("user_id", month_of(F.col("started_at")).alias("month")).agg(F.count(F.lit(1)).alias("used"))
     per_rider = members.join(
         used.groupBy("user_id").agg(F.map_from_entries(F.collect_list(F.struct("month", "used"))).alias("usage")),

@@ -7,6 +7,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 from farewheel.functions.columns import (
     day, flag, millis, minutes, month_of, months_between_firsts, ratio, rnd, since, ts,
 )
+from farewheel.functions.horizon import until_as_of
 from farewheel.operators.profiles import is_event, zero
 from farewheel.operators.segmentation import days_since, whole
 from farewheel.params import (
@@ -27,6 +28,7 @@ def signup_cohorts(events: DataFrame) -> DataFrame:
     )
 
 
+@until_as_of
 def cohort_retention(events: DataFrame, rides: DataFrame, grain_safe: bool = False) -> DataFrame:
     """Active members per cohort and month since sign-up.
 
@@ -59,6 +61,7 @@ def cohort_retention(events: DataFrame, rides: DataFrame, grain_safe: bool = Fal
     ).orderBy("cohort_month", "months_since_conversion")
 
 
+@until_as_of
 def retention_by_persona(
     events: DataFrame, users: DataFrame, rides: DataFrame, p: Params = DEFAULTS, horizon: int = 6
 ) -> DataFrame:
@@ -99,6 +102,7 @@ ACTION_RE_ENGAGE = "Re-engage: highlight member perks + upcoming local events"
 ACTION_REMIND = "Renewal reminder: show YTD savings vs casual rate"
 
 
+@until_as_of
 def churn_early_warning(
     rides: DataFrame, users: DataFrame, events: DataFrame, p: Params = DEFAULTS
 ) -> DataFrame:
@@ -159,6 +163,7 @@ PAID_OFF_TEXT = "Positive ROI: membership has paid off — remind at renewal"
 LOW_USE_TEXT = "Low usage — at-risk rider, send re-engagement first"
 
 
+@until_as_of
 def member_ytd_savings(
     rides: DataFrame, users: DataFrame, events: DataFrame, p: Params = DEFAULTS, grain_safe: bool = False
 ) -> DataFrame:
@@ -269,6 +274,7 @@ def nudge_days(
     )
 
 
+@until_as_of
 def nudge_guardrails(
     events: DataFrame, rides: DataFrame, app_events: DataFrame, p: Params = DEFAULTS, window_days: int = 28
 ) -> DataFrame:
@@ -301,6 +307,7 @@ def nudge_guardrails(
     ).orderBy("nudge_variant")
 
 
+@until_as_of
 def nudge_guardrails_grain_safe(
     events: DataFrame, rides: DataFrame, app_events: DataFrame, p: Params = DEFAULTS,
     window_days: int = 28, control: str = "control",

@@ -7,6 +7,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 from farewheel.functions.columns import (
     cents, day, flag, is_commute, is_weekend, millis, minutes, money, ratio, rnd, since, ts,
 )
+from farewheel.functions.horizon import until_as_of
 from farewheel.operators.profiles import is_event, ride_totals, zero
 from farewheel.params import (
     CASUAL, CTA_SHOWN, DEFAULTS, EBIKE, EBIKE_ADOPTER, Params, RELUCTANT_COMMUTER,
@@ -74,6 +75,7 @@ def persona_rule() -> Column:
     )
 
 
+@until_as_of
 def score_riders(rides: DataFrame, p: Params = DEFAULTS, lookback: int = 60) -> DataFrame:
     """Persona and conversion score of every rider with at least three rides, unsorted
     as the nightly job writes it."""
@@ -93,6 +95,7 @@ def score_riders(rides: DataFrame, p: Params = DEFAULTS, lookback: int = 60) ->
     )
 
 
+@until_as_of
 def classify_riders(rides: DataFrame, p: Params = DEFAULTS, lookback: int = 60) -> DataFrame:
     return score_riders(rides, p, lookback).orderBy(F.col("conversion_priority_score").desc_nulls_last())
 
@@ -105,6 +108,7 @@ def users_with_personas(users: DataFrame, personas: DataFrame) -> DataFrame:
     ).select(users.columns)
 
 
+@until_as_of
 def persona_summary(
     users: DataFrame, rides: DataFrame, p: Params = DEFAULTS, lookback: int = 90
 ) -> DataFrame:
@@ -141,6 +145,7 @@ def persona_summary(
     ).orderBy(F.col("arr_opportunity_at_5pct_k").desc_nulls_last())
 
 
+@until_as_of
 def ebike_savings(rides: DataFrame, p: Params = DEFAULTS, lookback: int = 90) -> DataFrame:
     """Casual against member price of the e-bike rides actually taken. Costs are linear
     in minutes, so they follow from ride and minute totals."""
@@ -180,6 +185,7 @@ def whole(value: Column) -> Column:
     return rnd(value).cast("long").cast("string")
 
 
+@until_as_of
 def priority_nudge_targets(
     rides: DataFrame, users: DataFrame, events: DataFrame, p: Params = DEFAULTS,
     lookback: int = 30, limit: int = 10_000, grain_safe: bool = False,

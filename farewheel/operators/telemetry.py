@@ -6,16 +6,20 @@ from pyspark.sql import DataFrame, functions as F
 
 from farewheel.functions.blocks import previous_and_running_max, running_sums
 from farewheel.functions.columns import cents, money, seconds_between
+from farewheel.functions.horizon import until_as_of
 from farewheel.operators.profiles import is_event
 from farewheel.params import (
     SIGNUP_ABANDONED, SIGNUP_COMPLETED, SIGNUP_STARTED, STEP_COMPLETED,
 )
 
 
+@until_as_of
 def hashed_user_events(
-    rides: DataFrame, users: DataFrame, events: DataFrame, days: int = 30, salt: str = ""
+    rides: DataFrame, users: DataFrame, events: DataFrame, salt: str, days: int = 30
 ) -> DataFrame:
     """Events with a hashed rider, persona, and rides and spend of the ``days`` before.
+    The ``salt`` is a secret of the caller: without one, small numbers can be hashed until
+    one fits.
 
     A ride counts from its start until ``days`` later, both ends included: it enters as
     +1 and leaves as -1, and the running sum at the event is the answer. Hour blocks
@@ -53,6 +57,7 @@ def hashed_user_events(
     )
 
 
+@until_as_of
 def time_in_step(events: DataFrame) -> DataFrame:
     """Seconds since the step before and since the start of the flow, per sign-up event.
     A flow begins with the latest start; events before any start have no times."""

@@ -460,10 +460,12 @@ def _economics() -> dict[str, str]:
     SELECT *, {r(q('riders', "(SELECT riders FROM s WHERE stage_no = 1)"), 4)} AS share_of_base,
       {r(f"1.0::DOUBLE - {q('riders', 'LAG(riders) OVER (ORDER BY stage_no)')}", 4)} AS drop_from_previous FROM s"""
     out["arr_scenarios"] = f"""{TABLES},
-    m AS (SELECT COUNT(*) / 12.0::DOUBLE AS v FROM rides WHERE {CASUAL} AND started_at >= DATE '2022-12-31')
+    m AS (SELECT COUNT(*) / 12.0::DOUBLE AS v FROM rides WHERE {CASUAL} AND started_at >= DATE '2023-01-01')
     SELECT operator, scenario, rate::DOUBLE AS rate, {r('v', 1)} AS monthly_casual_rides,
       {n('floor(v * rate::DOUBLE)')} AS members_per_month,
-      {r("CAST(floor(v * rate::DOUBLE) AS BIGINT) * price::DOUBLE * 12 / 1000.0::DOUBLE", 3)} AS arr_k
+      {r("CAST(floor(v * rate::DOUBLE) AS BIGINT) * price::DOUBLE * 12 / 1000.0::DOUBLE", 3)} AS arr_k,
+      {n('floor(v * rate::DOUBLE) - floor(v * 0.028::DOUBLE)')} AS incremental_members_per_month,
+      {r("CAST(floor(v * rate::DOUBLE) - floor(v * 0.028::DOUBLE) AS BIGINT) * price::DOUBLE * 12 / 1000.0::DOUBLE", 3)} AS incremental_arr_k
     FROM m, (VALUES ('toronto', 105), ('divvy', 105), ('citibike', 179), ('santander', 120)) o(operator, price),
       (VALUES ('Current (2.8%)', 0.028), ('Post-nudge (4.2%)', 0.042), ('Q3 target (5.0%)', 0.050), ('Stretch (7.5%)', 0.075)) s(scenario, rate)"""
     out["operator_breakeven"] = f"""{TABLES},
@@ -588,7 +590,9 @@ def _nudges() -> dict[str, str]:
     SELECT user_id, k AS rides_30d, s AS spend_30d, {r('8.75', 2)} AS membership_per_month,
       greatest({remaining}, 0) AS rides_to_breakeven,
       CASE WHEN s > 105 THEN 'You''ve already spent more than a membership costs this year'
-           WHEN k = 1 THEN concat('At this pace single rides cost $', {n(r('s * 365.0::DOUBLE / 30.0::DOUBLE'))}, ' a year')
+           WHEN k = 1 AND s * 365.0::DOUBLE / 30.0::DOUBLE > 105
+             THEN concat('At this pace a membership saves you $', {n(r('s * 365.0::DOUBLE / 30.0::DOUBLE - 105.0::DOUBLE'))}, ' a year')
+           WHEN k = 1 OR s = 0 THEN concat('At this pace single rides cost $', {n(r('s * 365.0::DOUBLE / 30.0::DOUBLE'))}, ' a year')
            ELSE concat('Annual membership: $8.75/month. You''re ', {remaining}, ' rides from breaking even.') END AS message
     FROM rec WHERE user_id NOT IN (SELECT user_id FROM membership_events WHERE event_type = 'signup_completed')"""
     out["breakeven_calculator"] = f"""{TABLES}, {recent},
@@ -600,7 +604,7 @@ def _nudges() -> dict[str, str]:
     wm AS (SELECT user_id, CAST(date_trunc('month', MIN(event_at)) AS DATE) AS sm FROM membership_events
            WHERE membership_tier = 'weekend' GROUP BY 1),
     us AS (SELECT user_id, CAST(date_trunc('month', started_at) AS DATE) AS month, COUNT(*) AS k FROM rides
-           WHERE user_type = 'Annual Member' AND isodow(started_at) < 6 AND started_at < {AS_OF} GROUP BY 1, 2),
+           WHERE user_type = 'Annual Member' AND isodow(started_at) < 6 GROUP BY 1, 2),
     slots AS (SELECT z.user_id, CAST(sm + INTERVAL 1 MONTH * CAST(i AS INT) AS DATE) AS month, i, COALESCE(k, 0) AS k
       FROM (SELECT user_id, sm, unnest(range(0, date_diff('month', sm, DATE '2023-12-01') + 1)) AS i FROM wm) z
       LEFT JOIN us y ON y.user_id = z.user_id AND y.month = CAST(sm + INTERVAL 1 MONTH * CAST(i AS INT) AS DATE)),
@@ -652,7 +656,7 @@ def _telemetry() -> dict[str, str]:
     ev AS (SELECT *, ROW_NUMBER() OVER () AS rn FROM membership_events),
     x AS (SELECT rn, COUNT(ride_id) AS k, CAST(COALESCE(SUM(ride_cost_cad), 0) AS DOUBLE) AS s FROM ev LEFT JOIN rides y
           ON y.user_id = ev.user_id AND y.started_at <= event_at AND y.started_at >= event_at - INTERVAL 30 DAY GROUP BY 1)
-    SELECT event_id, event_type, event_at, sha256(CAST(ev.user_id AS VARCHAR)) AS user_hash, persona_segment,
+    SELECT event_id, event_type, event_at, sha256('farewheel check ' || CAST(ev.user_id AS VARCHAR)) AS user_hash, persona_segment,
       k AS ride_count_30d, s AS cumulative_spend_30d FROM ev JOIN x USING (rn) LEFT JOIN users u ON u.user_id = ev.user_id"""
     out["time_in_step"] = f"""{TABLES},
     f AS (SELECT user_id, event_id, event_type, event_at, event_type = 'signup_started' AS s FROM membership_events WHERE event_type LIKE 'signup%'),

@@ -6,6 +6,7 @@ repeated and gives the same rows.
 
 from __future__ import annotations
 
+from calendar import monthrange
 from dataclasses import dataclass, field
 from datetime import date, timedelta
 
@@ -50,6 +51,11 @@ class Params:
     def days_ago(self, days: int) -> date:
         return self.as_of - timedelta(days=days)
 
+    def months_ago(self, months: int) -> date:
+        """The same day of an earlier month, or that month's last day."""
+        year, month = divmod(self.as_of.year * 12 + self.as_of.month - 1 - months, 12)
+        return date(year, month + 1, min(self.as_of.day, monthrange(year, month + 1)[1]))
+
     @property
     def month_start(self) -> date:
         return self.as_of.replace(day=1)

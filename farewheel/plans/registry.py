@@ -20,6 +20,10 @@ from farewheel.streaming import events as live_events, nudges as live_nudges, ru
 Query = Callable[[SparkSession, str], DataFrame]
 
 
+# Known to the check SQL as well; a real job passes a secret.
+CHECK_SALT = "farewheel check "
+
+
 def on_tables(build: Callable[[Tables], DataFrame]) -> Query:
     return lambda spark, sf_dir: build(open_tables(spark, sf_dir))
 
@@ -102,7 +106,8 @@ TABLE_QUERIES: dict[str, Callable[[Tables], DataFrame]] = {
     "experiment_sizing": lambda t: experiments.experiment_sizing(t.rides, t.users, t.membership_events),
     "experiment_readout": lambda t: experiments.experiment_readout(t.membership_events),
     # telemetry
-    "hashed_user_events": lambda t: telemetry.hashed_user_events(t.rides, t.users, t.membership_events),
+    "hashed_user_events": lambda t: telemetry.hashed_user_events(
+        t.rides, t.users, t.membership_events, salt=CHECK_SALT),
     "time_in_step": lambda t: telemetry.time_in_step(t.membership_events),
 }
 
