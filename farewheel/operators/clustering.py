@@ -1,9 +1,13 @@
 """Persona discovery by k-means on the casual rides.
 
-The seven features take few distinct values (durations in seconds, hours, months, flags),
-so equal rides are merged into one weighted point before any iteration. The number of
-points is set by that grid, not by the ride volume, and weighted k-means on the points
-has the same objective as plain k-means on the rides.
+The seven features take few distinct values (durations, hours, months, flags), so equal
+rides are merged into one weighted point before any iteration; weighted k-means on the
+points has the same objective as plain k-means on the rides. The number of points is set
+by that grid: about 600 combinations of the other features for each distinct duration,
+so 36,000 for whole minutes up to an hour and 2 million for whole seconds, whatever the
+ride volume. Points are written once and every restart reads them.
+
+Rides with a NULL among the seven features take no part: they have no place in the space.
 """
 
 from __future__ import annotations
@@ -22,6 +26,7 @@ from farewheel.functions.columns import cents, money, ratio, rnd
 from farewheel.functions.horizon import until_as_of
 from farewheel.operators.exploration import cluster_features
 from farewheel.params import EBIKE_ADOPTER, RELUCTANT_COMMUTER, SEASONAL_VISITOR, WEEKEND_EXPLORER
+from farewheel.sources.storage import scratch_dir
 
 FEATURES = ["duration_min", "hour_of_day", "is_weekend", "is_ebike", "month", "is_summer", "is_peak_hr"]
 
@@ -64,7 +69,7 @@ def feature_scaling(rides: DataFrame) -> DataFrame:
 def weighted_points(rides: DataFrame) -> DataFrame:
     """Distinct feature combinations with their ride count and a scaled vector, in a
     fixed order so that a seed always meets the same rows."""
-    points = cluster_features(rides).groupBy(*FEATURES).agg(
+    points = cluster_features(rides).dropna(subset=FEATURES).groupBy(*FEATURES).agg(
         F.count(F.lit(1)).cast("double").alias("n"),
         F.sum(cents(F.col("ride_cost_cad"))).alias("cents"),
         F.count("ride_cost_cad").alias("priced"),
@@ -78,7 +83,8 @@ def weighted_points(rides: DataFrame) -> DataFrame:
 
 
 # Fits are many small jobs; a few at a time keep the executors busy between them.
-FITS_AT_ONCE = 4
+FITS_AT_ONCE = 8
+RESTARTS, FINAL_RESTARTS, MOST_ITERATIONS = 10, 20, 300
 # The grid of points is far smaller than the rides it came from; tasks are sized to it.
 POINTS_PER_TASK = 20_000
 
@@ -88,10 +94,13 @@ def at_once(points: DataFrame, work: Callable, tasks: list) -> list:
         return pool.map(inheritable_thread_target(points.sparkSession)(work), tasks, chunksize=1)
 
 
-def cached_points(rides: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """The points kept in memory or on disk, and the same in few partitions."""
-    cached = weighted_points(rides).persist(StorageLevel.MEMORY_AND_DISK)
-    return cached, cached.coalesce(cached.count() // POINTS_PER_TASK + 1)
+def cached_points(rides: DataFrame) -> DataFrame:
+    """The points, written to the shared folder and kept in few partitions; unpersist them."""
+    path = scratch_dir(rides.sparkSession, "cluster_points")
+    weighted_points(rides).write.parquet(path)
+    points = rides.sparkSession.read.parquet(path)
+    tasks = points.count() // POINTS_PER_TASK + 1
+    return points.repartition(tasks, *FEATURES).sortWithinPartitions(*FEATURES).persist(StorageLevel.MEMORY_AND_DISK)
 
 
 def fits(points: DataFrame, ks: Iterable[int], n_init: int, seed: int) -> dict[int, KMeansModel]:
@@ -99,7 +108,7 @@ def fits(points: DataFrame, ks: Iterable[int], n_init: int, seed: int) -> dict[i
     def fit(task: tuple[int, int]) -> tuple[int, KMeansModel]:
         k, run = task
         return k, KMeans(
-            k=k, seed=seed + run, weightCol="n", featuresCol="features", predictionCol="cluster", maxIter=50
+            k=k, seed=seed + run, weightCol="n", featuresCol="features", predictionCol="cluster", maxIter=MOST_ITERATIONS
         ).fit(points)
 
     best: dict[int, KMeansModel] = {}
@@ -111,10 +120,10 @@ def fits(points: DataFrame, ks: Iterable[int], n_init: int, seed: int) -> dict[i
 
 @until_as_of
 def cluster_k_sweep(
-    rides: DataFrame, ks: range = range(2, 8), n_init: int = 2, seed: int = 42
+    rides: DataFrame, ks: range = range(2, 8), n_init: int = RESTARTS, seed: int = 42
 ) -> DataFrame:
     """Inertia and silhouette per k over all rides, and which k is best."""
-    cached, points = cached_points(rides)
+    points = cached_points(rides)
     models = fits(points, ks, n_init, seed)
     evaluator = ClusteringEvaluator(
         featuresCol="features", predictionCol="cluster", weightCol="n", metricName="silhouette"
@@ -124,18 +133,23 @@ def cluster_k_sweep(
         return k, models[k].summary.trainingCost, evaluator.evaluate(models[k].transform(points))
 
     rows = at_once(points, score, list(ks))
-    cached.unpersist()
+    points.unpersist()
     result = rides.sparkSession.createDataFrame(rows, "k long, inertia double, silhouette double")
     return result.withColumn(
         "is_best", F.col("silhouette") == F.max("silhouette").over(Window.partitionBy())
     ).orderBy("k")
 
 
-def _clustered(rides: DataFrame, k: int, n_init: int, seed: int) -> DataFrame:
-    cached, points = cached_points(rides)
+@until_as_of
+def clustered_points(rides: DataFrame, k: int = 4, n_init: int = FINAL_RESTARTS, seed: int = 42) -> DataFrame:
+    """The points with the cluster of the best of ``n_init`` fits, written once. Profiles,
+    labels and persona means of one run all start from this table."""
+    points = cached_points(rides)
     model = fits(points, [k], n_init, seed)[k]
-    cached.unpersist()
-    return model.transform(weighted_points(rides))
+    path = scratch_dir(rides.sparkSession, "clustered_points")
+    model.transform(points).drop("features").write.parquet(path)
+    points.unpersist()
+    return rides.sparkSession.read.parquet(path)
 
 
 def weighted_mean(feature: str) -> Column:
@@ -159,9 +173,9 @@ def _profile(clustered: DataFrame) -> DataFrame:
     )
 
 
-@until_as_of
-def cluster_profiles(rides: DataFrame, k: int = 4, n_init: int = 3, seed: int = 42) -> DataFrame:
-    return _profile(_clustered(rides, k, n_init, seed)).orderBy("cluster")
+def cluster_profiles(clustered: DataFrame) -> DataFrame:
+    """Means and shares per cluster, from ``clustered_points``."""
+    return _profile(clustered).orderBy("cluster")
 
 
 # The feature that names a persona, in order of naming.
@@ -187,19 +201,16 @@ def _labels(profile: DataFrame) -> DataFrame:
     return named.groupBy("cluster").agg(F.max_by("persona", "turn").alias("persona"))
 
 
-@until_as_of
-def cluster_labels(rides: DataFrame, k: int = 4, n_init: int = 3, seed: int = 42) -> DataFrame:
+def cluster_labels(clustered: DataFrame) -> DataFrame:
     """Persona per cluster; clusters that win no feature stay without one."""
-    profile = _profile(_clustered(rides, k, n_init, seed))
+    profile = _profile(clustered)
     return profile.join(_labels(profile), "cluster", "left").select(
         "cluster", "persona", "rides", "pct_of_casual"
     ).orderBy("cluster")
 
 
-@until_as_of
-def persona_feature_profile(rides: DataFrame, k: int = 4, n_init: int = 3, seed: int = 42) -> DataFrame:
+def persona_feature_profile(clustered: DataFrame) -> DataFrame:
     """Six means per persona on a common 0 to 10 scale."""
-    clustered = _clustered(rides, k, n_init, seed)
     labels = _labels(_profile(clustered))
     return clustered.join(labels, clustered["cluster"] == labels["cluster"]).groupBy("persona").agg(
         F.sum("n").cast("long").alias("rides"),
@@ -213,10 +224,12 @@ def persona_feature_profile(rides: DataFrame, k: int = 4, n_init: int = 3, seed:
 
 
 @until_as_of
-def cluster_projection(rides: DataFrame) -> DataFrame:
-    """Two principal components per distinct feature combination, with the share of
-    variance they explain. Only the 7 x 7 matrix of products reaches the driver."""
-    points = weighted_points(rides)
+def cluster_projection(rides: DataFrame, clustered: DataFrame) -> DataFrame:
+    """Every casual ride on the two principal components, with its cluster and persona and
+    the share of variance that the components explain. Rides with equal features share a
+    point, so they are joined to the points of ``clustered_points``; only the 7 x 7 matrix
+    of products reaches the driver."""
+    points = clustered.join(_labels(_profile(clustered)), "cluster", "left")
     pairs = [(i, j) for i in range(len(FEATURES)) for j in range(i, len(FEATURES))]
     z = [F.col(f"z_{f}") for f in FEATURES]
     products = points.agg(
@@ -237,9 +250,10 @@ def cluster_projection(rides: DataFrame) -> DataFrame:
             total = total + column * float(weight)
         return total
 
-    return points.select(
-        *FEATURES, F.col("n").cast("long").alias("rides"),
+    placed = points.select(
+        *FEATURES, F.col("cluster").cast("long").alias("cluster"), "persona",
         rnd(component(0), 6).alias("pc1"), rnd(component(1), 6).alias("pc2"),
         F.lit(round(float(share[0]), 6)).alias("pc1_variance_share"),
         F.lit(round(float(share[1]), 6)).alias("pc2_variance_share"),
     )
+    return cluster_features(rides).select("ride_id", *FEATURES).join(placed, FEATURES).drop(*FEATURES)

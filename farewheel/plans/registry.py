@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import functools
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
@@ -28,6 +29,12 @@ def on_tables(build: Callable[[Tables], DataFrame]) -> Query:
     return lambda spark, sf_dir: build(open_tables(spark, sf_dir))
 
 
+@functools.cache
+def personas(tables: Tables) -> DataFrame:
+    """The clustered points of one run's tables, fitted once for the queries on them."""
+    return clustering.clustered_points(tables.rides)
+
+
 # Operators over the canonical tables.
 TABLE_QUERIES: dict[str, Callable[[Tables], DataFrame]] = {
     # funnel
@@ -75,10 +82,10 @@ TABLE_QUERIES: dict[str, Callable[[Tables], DataFrame]] = {
     # clustering
     "feature_scaling": lambda t: clustering.feature_scaling(t.rides),
     "cluster_k_sweep": lambda t: clustering.cluster_k_sweep(t.rides),
-    "cluster_profiles": lambda t: clustering.cluster_profiles(t.rides),
-    "cluster_labels": lambda t: clustering.cluster_labels(t.rides),
-    "cluster_projection": lambda t: clustering.cluster_projection(t.rides),
-    "persona_feature_profile": lambda t: clustering.persona_feature_profile(t.rides),
+    "cluster_profiles": lambda t: clustering.cluster_profiles(personas(t)),
+    "cluster_labels": lambda t: clustering.cluster_labels(personas(t)),
+    "cluster_projection": lambda t: clustering.cluster_projection(t.rides, personas(t)),
+    "persona_feature_profile": lambda t: clustering.persona_feature_profile(personas(t)),
     # economics
     "funnel_shares": lambda t: economics.funnel_shares(t.rides, t.membership_events),
     "arr_scenarios": lambda t: economics.arr_scenarios(t.rides),

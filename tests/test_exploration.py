@@ -52,12 +52,43 @@ def test_missing_rider_type_is_zero_filled(rides):
     assert (row.day_no, row.day_name, row.annual_member, row.casual_member) == (6, "Saturday", 0, len(MINUTES))
 
 
-def test_same_seed_gives_the_same_profile(spark):
+@pytest.fixture(scope="module")
+def clustered(spark):
+    """The registered fit: its own restarts and iterations."""
+    return clustering.clustered_points(open_tables(spark, SMALL).rides)
+
+
+def test_profile_covers_all_rides(spark, clustered):
+    rows = clustering.cluster_profiles(clustered).collect()
     table = open_tables(spark, SMALL).rides
-    once = clustering.cluster_profiles(table, n_init=1).collect()
-    assert once == clustering.cluster_profiles(table, n_init=1).collect()
-    assert sum(r.rides for r in once) == table.filter("user_type = 'Casual Member'").count()
-    assert sum(r.pct_of_casual for r in once) == pytest.approx(100, abs=0.3)
+    assert rows == clustering.cluster_profiles(clustering.clustered_points(table)).collect()
+    assert sum(r.rides for r in rows) == table.filter("user_type = 'Casual Member'").count()
+    assert sum(r.pct_of_casual for r in rows) == pytest.approx(100, abs=0.3)
+    labels = {r.cluster: r.persona for r in clustering.cluster_labels(clustered).collect()}
+    assert set(labels) == {r.cluster for r in rows}
+    means = clustering.persona_feature_profile(clustered).collect()
+    assert sum(r.rides for r in means) <= sum(r.rides for r in rows)
+
+
+def test_points_are_at_their_nearest_centre(clustered):
+    rows = clustered.collect()
+    x = np.array([[r[f"z_{f}"] for f in clustering.FEATURES] for r in rows])
+    n, own = np.array([r.n for r in rows]), np.array([r.cluster for r in rows])
+    centres = np.array([np.average(x[own == c], axis=0, weights=n[own == c]) for c in range(4)])
+    distance = ((x[:, None] - centres[None]) ** 2).sum(2)
+    # at convergence the means of the clusters are the centres that the points were dealt to
+    assert np.average(distance.argmin(1) == own, weights=n) > 0.999
+
+
+def test_more_restarts_and_clusters_cost_no_more(spark):
+    points = clustering.cached_points(open_tables(spark, SMALL).rides)
+    one, many = (clustering.fits(points, [4], n, 42)[4].summary.trainingCost for n in (1, clustering.FINAL_RESTARTS))
+    assert many <= one
+    sweep = clustering.cluster_k_sweep(open_tables(spark, SMALL).rides).collect()
+    inertia = [r.inertia for r in sweep]
+    assert inertia == sorted(inertia, reverse=True)
+    assert sum(r.is_best for r in sweep) == 1
+    points.unpersist()
 
 
 def test_weighted_points_stand_for_all_rides(spark):
@@ -70,11 +101,14 @@ def test_weighted_points_stand_for_all_rides(spark):
     assert (rows**2 * n[:, None]).sum(0) / n.sum() == pytest.approx(np.ones(7))
 
 
-def test_projection_matches_numpy(spark):
+def test_projection_matches_numpy(spark, clustered):
     table = open_tables(spark, SMALL).rides
     scaled = clustering.feature_scaling(table).select(*clustering.FEATURES).toPandas().to_numpy()
     values = np.sort(np.linalg.eigvalsh(np.cov(scaled.T, ddof=0)))[::-1]
-    row = clustering.cluster_projection(table).first()
+    rows = clustering.cluster_projection(table, clustered).collect()
+    assert len(rows) == len(scaled)
+    assert {r.cluster for r in rows} == {0, 1, 2, 3}
+    row = rows[0]
     assert row.pc1_variance_share == pytest.approx(values[0] / values.sum(), abs=1e-4)
     assert row.pc2_variance_share == pytest.approx(values[1] / values.sum(), abs=1e-4)
 
