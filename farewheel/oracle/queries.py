@@ -712,7 +712,9 @@ def _jobs() -> dict[str, str]:
         AND (SELECT COUNT(*) FROM en e WHERE e.user_id = w.user_id AND e.h BETWEEN 32 AND 35 AND e.at_end < w.at_end) < 3
         AND NOT EXISTS (SELECT 1 FROM en e WHERE e.user_id = w.user_id AND e.h BETWEEN 32 AND 35
                         AND e.at_end < w.at_end AND e.at_end + INTERVAL 7 DAY > w.at_end))
-    SELECT user_id, ride_id, at_end AS nudge_at, k AS rides_30d, s AS spend_30d, impression FROM ok WHERE impression <= 3"""
+    SELECT user_id, ride_id, at_end AS nudge_at, k AS rides_30d, s AS spend_30d, impression, 8.75::DOUBLE AS membership_per_month,
+      CASE WHEN s > 0 THEN greatest({n('ceil(' + q('105.0::DOUBLE - s', q('s', 'k')) + ')')}, 0) END AS rides_to_breakeven, persona_segment
+    FROM ok LEFT JOIN users USING (user_id) WHERE impression <= 3"""
     return out
 
 

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import functools
 from collections.abc import Callable
+from datetime import datetime
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
@@ -172,15 +173,30 @@ def stream_event_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return runtime.result_of(live_events.stream_event_dedup(twice), "dedup")
 
 
-def stream_nudge_trigger(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Rides as a stream; the ride's own event suppresses or snoozes later nudges. The
-    micro-batches are bounded, since the processor holds one rider's rows of a batch."""
-    rides = runtime.stream_files(spark, f"{tables_root(spark, sf_dir)}/rides", max_files_per_trigger=64)
-    with_events = rides.withColumn("event_type", F.expr(
-        "CASE WHEN h BETWEEN 32 AND 35 THEN 'signup_abandoned' WHEN h = 36 THEN 'signup_completed' END"
-    ))
-    signals = live_nudges.ride_signals(with_events, None, dismissed="signup_abandoned")
-    return runtime.result_of(live_nudges.stream_nudge_trigger(signals), "nudges")
+# Files of a micro-batch in replays; results do not depend on it.
+FILES_PER_TRIGGER = 16
+
+
+def stream_nudge_trigger(spark: SparkSession, sf_dir: str, files: int | None = FILES_PER_TRIGGER) -> DataFrame:
+    """Rides and membership events as two streams of stored files in any order. Nothing may
+    be late in a replay, so the lateness spans the history and a closing row ends it."""
+    root, tables = tables_root(spark, sf_dir), open_tables(spark, sf_dir)
+    first, last = tables.rides.agg(F.min("started_at"), F.max("ended_at")).first()
+    lateness = (last - first).days + 2 if first else 1
+    end_us = _micros(last) + 2 * lateness * live_nudges.DAY_US
+    closing = spark.sql(f"SELECT -1L AS user_id, '' AS ride_id, {end_us}L AS at_us, 0 AS kind, 0L AS cents")
+
+    def build(end: DataFrame) -> DataFrame:
+        rides = runtime.stream_files(spark, f"{root}/rides", max_files_per_trigger=files)
+        events = runtime.stream_files(spark, f"{root}/membership_events", max_files_per_trigger=files)
+        signals = live_nudges.ride_signals(rides, events, dismissed="signup_abandoned").unionByName(end)
+        return live_nudges.stream_nudge_trigger(signals, tables.users, lateness=f"{lateness} days")
+
+    return runtime.replay(spark, build, closing, "nudges")
+
+
+def _micros(when) -> int:
+    return int((when - datetime(1970, 1, 1)).total_seconds()) * 1_000_000 if when else 0
 
 
 # Queries with their own source or sink.

@@ -11,8 +11,8 @@ from pyspark import cloudpickle
 from pyspark.sql import DataFrame, functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
-from farewheel.functions.columns import cents
-from farewheel.params import CASUAL, SIGNUP_COMPLETED
+from farewheel.functions.columns import cents, ratio, rnd
+from farewheel.params import CASUAL, DEFAULTS, Params, SIGNUP_COMPLETED
 
 # executors get this module with the processor and need not have the package installed
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
@@ -24,6 +24,8 @@ STATE = (
     "impressions int, dismissals int, snooze_until bigint, member boolean, "
     "days array<int>, rides array<int>, cents array<bigint>"
 )
+# Signals that wait for the watermark, one entry per micro-batch.
+WAITING = "at_us array<bigint>, kind array<int>, ride_id array<string>, cents array<bigint>"
 OUTPUT = "user_id bigint, ride_id string, at_us bigint, rides_30d bigint, spend_cents bigint, impression int"
 
 
@@ -56,7 +58,7 @@ def ride_signals(rides: DataFrame, events: DataFrame | None, dismissed: str) ->
     def flat(df: DataFrame, parts: list) -> DataFrame:
         return df.select(
             "user_id", "ride_id", at_us.alias("at_us"), F.explode(F.array_compact(F.array(*parts))).alias("s")
-        ).select("user_id", "ride_id", "at_us", "s.kind", "s.cents")
+        ).select("user_id", "ride_id", "at_us", "s.kind", "s.cents").filter("user_id IS NOT NULL AND at_us IS NOT NULL")
 
     ends = rides.withColumn("at", F.col("ended_at"))
     if events is None:
@@ -66,31 +68,62 @@ def ride_signals(rides: DataFrame, events: DataFrame | None, dismissed: str) ->
 
 
 class NudgeProcessor(StatefulProcessor):
-    """State per rider: impressions, dismissals, snooze, membership, and rides and spend
-    per day of the window. It has at most one entry per day, however much one rides."""
+    """Signals wait until the watermark has passed them and are then taken in order of
+    time, so the decisions do not depend on how the input was cut into micro-batches.
+
+    State per rider: impressions, dismissals, snooze, membership, rides and spend per day
+    of the window (one entry per day, however much one rides), and the waiting signals,
+    about forty bytes each. The window is evicted when no ride has renewed it; the counts
+    that suppress a rider for good stay, and such riders keep nothing else.
+    """
 
     def __init__(self, rules: NudgeRules = NudgeRules()) -> None:
         self.rules = rules
 
     def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
         self.state = handle.getValueState("rider", STATE)
+        self.waiting = handle.getListState("waiting", WAITING)
+
+    def _suppressed(self, saved) -> bool:
+        return bool(saved) and (
+            saved[3] or saved[0] >= self.rules.impression_cap or saved[1] >= self.rules.dismissal_cap)
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
-        rules = self.rules
+        # nothing that a rider who is suppressed for good does later can matter
+        keep = not self._suppressed(self.state.get())
+        earliest = None
+        for part in rows:
+            if keep and len(part):
+                self.waiting.appendValue((part.at_us.tolist(), part.kind.tolist(), part.ride_id.tolist(), part.cents.tolist()))
+                earliest = min(int(part.at_us.min()), earliest or 1 << 62)
+        if earliest is not None:
+            self.handle.registerTimer(earliest // 1000 + 1)
+        return iter(())
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+        reached = timerValues.getCurrentWatermarkInMs() * 1000
         saved = self.state.get()
+        signals = [x for entry in (self.waiting.get() if self.waiting.exists() else ()) for x in zip(*entry)]
+        due = sorted(x for x in signals if x[0] <= reached)
+        later = [x for x in signals if x[0] > reached]
+        self.waiting.clear()
+        shown, now = self._decide(key[0], due, saved)
+        if later and not self._suppressed(now):
+            self.waiting.appendValue(tuple(list(column) for column in zip(*later)))
+            self.handle.registerTimer(min(x[0] for x in later) // 1000 + 1)
+        self._store(now, reached)
+        if shown:
+            yield pd.DataFrame(shown, columns=["user_id", "ride_id", "at_us", "rides_30d", "spend_cents", "impression"])
+
+    def _decide(self, rider: int, due: list, saved) -> tuple[list, tuple]:
+        rules = self.rules
         impressions, dismissals, snooze, member = saved[:4] if saved else (0, 0, 0, False)
-        if member or impressions >= rules.impression_cap or dismissals >= rules.dismissal_cap:
-            # suppressed for good: nothing this rider does later can matter
-            for _ in rows:
-                pass
-            return
-        # the rows of one rider in one micro-batch, whose size the source bounds
-        batch = sorted(
-            row for part in rows for row in zip(part.at_us, part.kind, part.ride_id, part.cents)
-        )
         days = {d: (n, c) for d, n, c in zip(*saved[4:])} if saved else {}
         shown = []
-        for at, kind, ride, cost in batch:
+        for at, kind, ride, cost in due:
+            if member or dismissals >= rules.dismissal_cap or impressions >= rules.impression_cap:
+                break
             if kind == DISMISSED:
                 dismissals, snooze = dismissals + 1, at + rules.snooze_days * DAY_US
                 continue
@@ -102,35 +135,56 @@ class NudgeProcessor(StatefulProcessor):
             days[today] = (n + 1, c + cost)
             if len(days) > rules.window_days or min(days) <= today - rules.window_days:
                 days = {d: v for d, v in days.items() if d > today - rules.window_days}
-            if member or dismissals >= rules.dismissal_cap or impressions >= rules.impression_cap or at < snooze:
-                continue
             recent = sum(v[0] for v in days.values())
-            if recent < rules.min_rides:
+            if at < snooze or recent < rules.min_rides:
                 continue
             impressions += 1
-            shown.append((key[0], ride, at, recent, sum(v[1] for v in days.values()), impressions))
+            shown.append((rider, ride, at, recent, sum(v[1] for v in days.values()), impressions))
+        return shown, (impressions, dismissals, snooze, member, days)
+
+    def _store(self, now: tuple, reached: int) -> None:
+        impressions, dismissals, snooze, member, days = now
+        gone = reached // DAY_US - self.rules.window_days
+        days = {} if self._suppressed(now) else {d: v for d, v in days.items() if d > gone}
+        if days:
+            # looked at again when the window has moved past the last ride
+            self.handle.registerTimer((max(days) + self.rules.window_days + 1) * DAY_US // 1000)
+        elif not (impressions or dismissals or member):
+            self.state.clear()
+            return
         kept = sorted(days)
         self.state.update((
             int(impressions), int(dismissals), int(snooze), bool(member),
             [int(d) for d in kept], [int(days[d][0]) for d in kept], [int(days[d][1]) for d in kept],
         ))
-        if shown:
-            yield pd.DataFrame(
-                shown, columns=["user_id", "ride_id", "at_us", "rides_30d", "spend_cents", "impression"]
-            )
 
     def close(self) -> None:
         pass
 
 
-def stream_nudge_trigger(signals: DataFrame, rules: NudgeRules = NudgeRules()) -> DataFrame:
-    """Nudges to show, at most ``impression_cap`` per rider."""
+def stream_nudge_trigger(
+    signals: DataFrame, users: DataFrame, p: Params = DEFAULTS, rules: NudgeRules = NudgeRules(), lateness: str = "10 seconds"
+) -> DataFrame:
+    """Nudges to show, at most ``impression_cap`` per rider, with what they say: spend and
+    rides of the window, the membership's price per month, rides to break even, persona.
+
+    A nudge comes out when the watermark, ``lateness`` behind the newest signal, has passed
+    the end of its ride; signals that are later than that are dropped.
+    """
     at = F.lit("1970-01-01").cast("timestamp_ntz") + F.make_dt_interval(
         F.lit(0), F.lit(0), F.lit(0), (F.col("at_us") / F.lit(1_000_000)).cast("decimal(18,6)")
     )
-    return signals.groupBy("user_id").transformWithStateInPandas(
-        statefulProcessor=NudgeProcessor(rules), outputStructType=OUTPUT, outputMode="Append", timeMode="None",
-    ).select(
-        "user_id", "ride_id", at.alias("nudge_at"), "rides_30d",
-        (F.col("spend_cents") / 100.0).alias("spend_30d"), F.col("impression").cast("long").alias("impression"),
+    shown = (
+        signals.withColumn("at", F.timestamp_micros("at_us")).withWatermark("at", lateness).groupBy("user_id")
+        .transformWithStateInPandas(
+            statefulProcessor=NudgeProcessor(rules), outputStructType=OUTPUT, outputMode="Append", timeMode="EventTime")
+    )
+    spend, fee = F.col("spend_cents") / 100.0, p.pricing.annual_fee
+    return shown.join(users.select("user_id", "persona_segment"), "user_id", "left").select(
+        "user_id", "ride_id", at.alias("nudge_at"), "rides_30d", spend.alias("spend_30d"),
+        F.col("impression").cast("long").alias("impression"),
+        rnd(F.lit(fee / 12), 2).alias("membership_per_month"),
+        F.when(F.col("spend_cents") > 0, F.greatest(F.ceil(ratio(F.lit(fee) - spend, ratio(spend, F.col("rides_30d")))), F.lit(0)))
+        .alias("rides_to_breakeven"),
+        "persona_segment",
     )

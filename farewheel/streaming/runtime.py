@@ -19,9 +19,8 @@ def stream_files(
 ) -> DataFrame:
     """Parquet files below ``path`` as a stream, with the schema of the files at hand.
 
-    Without ``max_files_per_trigger`` a run over stored history is one micro-batch, in
-    which nothing can be late, so no row is dropped however the files are ordered. With
-    it, a micro-batch holds that many files and lateness counts between them.
+    ``max_files_per_trigger`` bounds a micro-batch. Rows that are later than the stream's
+    lateness are dropped, so a replay of files in any order needs a lateness that spans them.
     """
     schema = spark.read.option("pathGlobFilter", glob).parquet(path).schema
     reader = spark.readStream.schema(schema).option("pathGlobFilter", glob)
@@ -78,3 +77,19 @@ def result_of(df: DataFrame, name: str) -> DataFrame:
     root = scratch_dir(spark, f"streams/{name}")
     run_available(df, f"{root}/table", f"{root}/checkpoint")
     return spark.read.schema(df.schema).parquet(f"{root}/table")
+
+
+def replay(spark: SparkSession, build, last_rows: DataFrame, name: str) -> DataFrame:
+    """Stored history through a stream to its very end.
+
+    ``build(closing)`` makes the stream; ``closing`` is a source that it has to union into
+    its input. When all history has been read, ``last_rows`` arrive there: rows so late in
+    event time that the watermark passes everything before them.
+    """
+    root = scratch_dir(spark, f"streams/{name}")
+    last_rows.limit(0).write.parquet(f"{root}/closing")
+    df = build(spark.readStream.schema(last_rows.schema).parquet(f"{root}/closing"))
+    run_available(df, f"{root}/table", f"{root}/checkpoint")
+    last_rows.write.mode("append").parquet(f"{root}/closing")
+    run_available(df, f"{root}/table", f"{root}/checkpoint")
+    return spark.read.schema(df.schema).parquet(f"{root}/table")

@@ -1,4 +1,5 @@
 import os
+import random
 import tempfile
 from datetime import datetime, timedelta
 
@@ -89,36 +90,78 @@ def test_redelivered_events_come_out_once(feed):
 
 
 SIGNALS = "user_id long, ride_id string, at_us long, kind int, cents long"
+FAR = 10_000
 
 
 def signal(user, name, day, kind=nudges.RIDE, cents=100):
     return (user, name, int(day * nudges.DAY_US), kind, cents)
 
 
+def users(spark):
+    return spark.createDataFrame([(1, "Weekend Explorer"), (2, None)], "user_id long, persona_segment string")
+
+
+def short(rows):
+    return [(r[0], r[1], r[3], r[4], r[5]) for r in rows]
+
+
 def test_nudge_state_survives_batches_and_restart(spark):
     feed = Feed(spark, SIGNALS)
 
     def fired():
-        return [(r[0], r[1], r[3], r[4], r[5]) for r in feed.run(nudges.stream_nudge_trigger)]
+        return short(feed.run(lambda s: nudges.stream_nudge_trigger(s, users(spark))))
 
     feed.add(signal(1, "a", 10.1), signal(1, "b", 12.0), signal(2, "x", 10.0), signal(2, "y", 45.0), signal(3, "m", 10.0))
     # rider 1: second ride in 30 days fires; rider 2's rides are too far apart
     assert fired() == [(1, "b", 2, 2.0, 1)]
     feed.add(
-        signal(1, "c", 13.0), signal(1, "d", 14.0, nudges.DISMISSED), signal(1, "e", 20.9), signal(1, "f", 21.0),
-        signal(1, "g", 22.0), signal(3, "n", 11.0, nudges.CONVERTED), signal(3, "o", 12.0),
+        signal(1, "c", 46.0), signal(1, "d", 46.5, nudges.DISMISSED), signal(1, "e", 47.0), signal(1, "f", 53.5),
+        signal(1, "g", 54.0), signal(3, "m2", 46.2), signal(3, "n", 46.4, nudges.CONVERTED), signal(3, "o", 47.0), signal(9, "z", 80.0),
     )
-    # e is snoozed, f is not; the cap of three stops g; members get none
-    want = [(1, "b", 2, 2.0, 1), (1, "c", 3, 3.0, 2), (1, "f", 5, 5.0, 3)]
-    assert fired() == want
-    feed.add(signal(1, "h", 23.0))
+    # c is alone in its window, e is snoozed, f is not any more; g is the third; members get none
+    want = [(1, "b", 2, 2.0, 1), (1, "f", 3, 3.0, 2), (1, "g", 4, 4.0, 3)]
     assert fired() == want
+    feed.add(signal(1, "h", 81.0), signal(1, "i", 81.1), signal(9, "z2", 200.0))
+    assert fired()[:3] == want and len(fired()) == 3
+
+
+def test_nudge_says_what_a_membership_costs(spark):
+    feed = Feed(spark, SIGNALS)
+    feed.add(signal(1, "a", 1.0, cents=400), signal(1, "b", 2.0, cents=600), signal(2, "c", 1.0, cents=0), signal(2, "d", 2.0, cents=0), signal(9, "z", FAR))
+    rows = feed.run(lambda s: nudges.stream_nudge_trigger(s, users(spark)))
+    assert [r[6:] for r in rows] == [(8.75, 19, "Weekend Explorer"), (8.75, None, None)]
 
 
 def test_third_dismissal_ends_it(spark):
     feed = Feed(spark, SIGNALS)
-    feed.add(signal(1, "a", 1.0), *[signal(1, f"d{i}", 1.1 + i, nudges.DISMISSED) for i in range(3)], signal(1, "b", 20.0), signal(1, "c", 21.0))
-    assert feed.run(nudges.stream_nudge_trigger) == []
+    feed.add(signal(1, "a", 1.0), *[signal(1, f"d{i}", 1.1 + i, nudges.DISMISSED) for i in range(3)], signal(1, "b", 20.0), signal(1, "c", 21.0), signal(9, "z", FAR))
+    assert feed.run(lambda s: nudges.stream_nudge_trigger(s, users(spark))) == []
+
+
+def test_decisions_do_not_depend_on_micro_batches(spark):
+    rnd = random.Random(5)
+    rows = [signal(u, f"{u}-{i}", rnd.randrange(0, 9000) / 100, rnd.choice([nudges.RIDE] * 8 + [nudges.DISMISSED]), rnd.randrange(0, 900))
+            for u in range(12) for i in range(rnd.randrange(1, 25))]
+    rows += [signal(u, f"{u}-m", rnd.randrange(3000, 9000) / 100, nudges.CONVERTED) for u in range(0, 12, 4)]
+    results = []
+    for files, per_trigger in ((1, 1), (13, 1), (13, 3), (13, 64)):
+        rnd.shuffle(rows)
+        feed = Feed(spark, SIGNALS)
+        for i in range(files):
+            feed.add(*rows[i::files])
+        source = lambda: spark.readStream.schema(SIGNALS).option("maxFilesPerTrigger", per_trigger).parquet(feed.source)  # noqa: E731, B023
+        end = spark.createDataFrame([signal(-1, "", FAR)], SIGNALS)
+        shown = runtime.replay(spark, lambda closing: nudges.stream_nudge_trigger(
+            source().unionByName(closing), users(spark), lateness="200 days"), end, "test")  # noqa: B023
+        results.append(sorted(map(tuple, shown.collect())))
+    assert results[0] and all(r == results[0] for r in results)
+
+
+def test_one_rider_with_very_many_rides(spark):
+    processor = nudges.NudgeProcessor(nudges.NudgeRules(impression_cap=10**9))
+    due = sorted(signal(1, str(i), i / 40_000)[2:3] + (nudges.RIDE, str(i), 1) for i in range(200_000))
+    shown, (impressions, _, _, _, days) = processor._decide(1, due, None)
+    assert impressions == len(shown) == 199_999 and len(days) <= 30
 
 
 def test_signals_from_separate_streams_and_fractions_of_a_second(spark, build):
