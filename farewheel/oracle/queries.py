@@ -671,8 +671,7 @@ def _telemetry() -> dict[str, str]:
 FUNNEL_EVENTS = """
     fe AS (SELECT event_id, user_id, ts, CASE event_type WHEN 'view' THEN 'cta_shown' WHEN 'click' THEN 'cta_clicked'
         WHEN 'signup' THEN 'signup_started' WHEN 'purchase' THEN 'signup_completed' WHEN 'error' THEN 'signup_abandoned' END AS kind
-      FROM events),
-    wm AS (SELECT MAX(ts) - INTERVAL 24 HOUR AS closed FROM fe WHERE kind IS NOT NULL)"""
+      FROM events)"""
 
 
 def _jobs() -> dict[str, str]:
@@ -687,19 +686,18 @@ def _jobs() -> dict[str, str]:
     out["funnel_feed"] = f"SELECT *, {AS_OF} AS run_date FROM ({_funnel_daily()})"
     out["stream_funnel"] = f"""WITH {FUNNEL_EVENTS}
     SELECT CAST(ts AS DATE) AS event_day, kind AS event_type, COUNT(DISTINCT user_id) AS riders
-    FROM fe, wm WHERE kind IS NOT NULL AND CAST(CAST(ts AS DATE) + INTERVAL 1 DAY AS TIMESTAMP) <= closed GROUP BY 1, 2"""
+    FROM fe WHERE kind IS NOT NULL GROUP BY 1, 2"""
     out["stream_event_dedup"] = f"""WITH {FUNNEL_EVENTS}
     SELECT DISTINCT event_id, user_id, kind AS event_type, ts AS event_at FROM fe WHERE kind IS NOT NULL"""
     out["stream_signup_sessions"] = f"""WITH {FUNNEL_EVENTS},
     flow AS (SELECT *, MAX(ts) OVER (PARTITION BY user_id ORDER BY ts ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS before
           FROM fe WHERE kind LIKE 'signup%'),
     cut AS (SELECT *, SUM(CASE WHEN before IS NULL OR ts > before + INTERVAL 30 MINUTE THEN 1 ELSE 0 END)
-              OVER (PARTITION BY user_id ORDER BY ts ROWS UNBOUNDED PRECEDING) AS no FROM flow),
-    fin AS (SELECT MAX(ts) - INTERVAL 24 HOUR AS closed FROM flow)
+              OVER (PARTITION BY user_id ORDER BY ts ROWS UNBOUNDED PRECEDING) AS no FROM flow)
     SELECT user_id, MIN(ts) AS session_start, MAX(ts) + INTERVAL 30 MINUTE AS session_end, COUNT(*) AS events,
       COUNT(*) FILTER (kind = 'signup_completed') = 0 AS abandoned
     FROM cut GROUP BY user_id, no
-    HAVING COUNT(*) FILTER (kind = 'signup_started') > 0 AND MAX(ts) + INTERVAL 30 MINUTE <= (SELECT closed FROM fin)"""
+    HAVING COUNT(*) FILTER (kind = 'signup_started') > 0"""
     out["stream_nudge_trigger"] = f"""{TABLES},
     en AS (SELECT *, started_at + INTERVAL 1 MINUTE * CAST(duration_min AS INT) AS at_end FROM rides),
     cs AS (SELECT * FROM en WHERE {CASUAL}),

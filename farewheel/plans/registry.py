@@ -13,10 +13,10 @@ from farewheel.operators import (
     clustering, economics, experiments, exploration, funnel, growth, nudges, retention,
     segmentation, telemetry,
 )
-from farewheel.params import DEFAULTS
+from farewheel.params import DEFAULTS, SIGNUP_STARTED
 from farewheel.sources import storage, trips
 from farewheel.sources.storage import scratch_dir
-from farewheel.sources.warehouse import open_tables, tables_root
+from farewheel.sources.warehouse import open_tables, source_table, tables_root
 from farewheel.streaming import events as live_events, nudges as live_nudges, runtime
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -158,12 +158,22 @@ def _event_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
     return live_events.funnel_events(runtime.stream_files(spark, sf_dir, "events*.parquet"))
 
 
+def _to_the_end(spark: SparkSession, sf_dir: str, operator: Callable[[DataFrame], DataFrame], name: str) -> DataFrame:
+    """All stored events through a stream; a closing event a month after the last one lets
+    the last days and sessions out and is itself never emitted."""
+    stored = live_events.funnel_events(source_table(spark, sf_dir, "events"))
+    last = stored.agg(F.max("event_at").alias("event_at")).withColumns({
+        "event_type": F.lit(SIGNUP_STARTED), "event_at": F.col("event_at") + F.expr("INTERVAL '31' DAY")})
+    closing = stored.limit(0).unionByName(last, allowMissingColumns=True)
+    return runtime.replay(spark, lambda end: operator(_event_stream(spark, sf_dir).unionByName(end)), closing, name)
+
+
 def stream_funnel(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return runtime.result_of(live_events.stream_funnel(_event_stream(spark, sf_dir)), "funnel")
+    return _to_the_end(spark, sf_dir, live_events.stream_funnel, "funnel")
 
 
 def stream_signup_sessions(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return runtime.result_of(live_events.stream_signup_sessions(_event_stream(spark, sf_dir)), "sessions")
+    return _to_the_end(spark, sf_dir, live_events.stream_signup_sessions, "sessions")
 
 
 def stream_event_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
