@@ -1,9 +1,8 @@
 """N-gram Jaccard join with prefix trees.
 
-Documents are sets of word shingles. All shingles have one global order, rare ones first, and
-sets are compared as ordered lists. Two sets with Jaccard similarity of at least 3/4 share a
-shingle among the first few of each list (a quarter of it), so only documents that meet there
-are candidates. The candidates of a neighbourhood go into a trie of their ordered lists; each
+Documents are sets of word shingles. With the shingles in one global order, rare ones first,
+two sets of Jaccard similarity 3/4 or more share a shingle among the first few of each list (a
+quarter of it), so only documents that meet there are candidates. The candidates of a neighbourhood go into a trie of their ordered lists; each
 document walks it once, carries the overlap of the shared beginnings along, and leaves a
 subtree as soon as the remaining lengths cannot make up the needed overlap.
 
@@ -33,17 +32,17 @@ from farewheel.llm.staging import shuffle_parts, staged
 from farewheel.llm.words import hash_words, lower_ascii, mix, slices, text_buffer, windows
 
 WIDTH = 5                   # words of a shingle
-RANGE_SHINGLES = 4_000_000  # shingles of a hash range
-BATCH_BYTES = 8 << 20      # text that is packed at once
+RANGE_SHINGLES = 2_000_000  # shingles of a hash range
+BATCH_BYTES = 3 << 20      # text that is packed at once
 HOT_SHARE, HOT_LEAST = 64, 48   # a shingle in 1/64 of a batch's documents (48 at least) is hot
 BLOCK_DOCS, BLOCK_SHINGLES = 1000, 2_000_000
 MOST_BLOCKS = 32            # neighbourhoods of more blocks are split by shingle first
 _U = np.uint64
-_HOT = np.uint32(2**32 - 1)
+_HOT = 255                  # documents of a shingle are counted up to here
 
 
 def shingle_sets(column: pa.Array, width: int = WIDTH) -> tuple[np.ndarray, np.ndarray]:
-    """Row number and hash of the distinct shingles of each text, sorted by row and hash.
+    """Row number and 56-bit hash of the distinct shingles of each text, sorted by both.
 
     A text of fewer words than ``width`` has its whole word sequence as one shingle; a text
     without words has none."""
@@ -65,7 +64,7 @@ def shingle_sets(column: pa.Array, width: int = WIDTH) -> tuple[np.ndarray, np.n
             row.append(short)
     if not value:
         return np.zeros(0, np.int64), np.zeros(0, _U)
-    value, row = np.concatenate(value), np.concatenate(row)
+    value, row = np.concatenate(value) >> _U(8), np.concatenate(row)
     order = np.lexsort((value, row))
     value, row = value[order], row[order]
     keep = np.ones(len(value), bool)
@@ -126,7 +125,7 @@ def _pack(ids: np.ndarray, marks: np.ndarray, size: np.ndarray, row: np.ndarray,
         "rows": _bytes_of(local.astype(_U)),
         "shingles": _bytes_of(np.diff(value, prepend=_U(0))),
     }
-    return out if df is None else out | {"df": df.astype("<u4").tobytes()}
+    return out if df is None else out | {"df": df.astype("u1").tobytes()}
 
 
 def _unpack(r: dict) -> tuple[np.ndarray, ...]:
@@ -152,7 +151,7 @@ def _deal(ranges: int, hot: np.ndarray):
             known = batch.column("doc_id").is_valid().to_numpy(zero_copy_only=False)
             keep = known[row]
             row, value = row[keep], value[keep]
-            part = (value >> _U(32)) * _U(ranges) >> _U(32)
+            part = (value >> _U(24)) * _U(ranges) >> _U(32)
             if len(hot):
                 at = np.minimum(np.searchsorted(hot, value), len(hot) - 1)
                 is_hot = hot[at] == value
@@ -182,10 +181,10 @@ def _count(parts: int):
         order = np.argsort(value, kind="stable")
         doc, value = doc[order], value[order]
         if part < 0:
-            df = np.full(len(value), _HOT)
+            df = np.full(len(value), _HOT, np.int64)
         else:
             edge = np.flatnonzero(np.concatenate([[True], value[1:] != value[:-1], [True]]))
-            df = np.repeat(np.diff(edge), np.diff(edge)).astype(np.uint32)
+            df = np.minimum(np.repeat(np.diff(edge), np.diff(edge)), _HOT)
         keep = df > 1
         doc, value, df = doc[keep], value[keep], df[keep]
         to = (mix(ids.view(_U)) % _U(parts)).astype(np.int64)[doc]
@@ -200,22 +199,23 @@ def _count(parts: int):
     return run
 
 
-LISTS = "doc_id long, mark long, n long, all_shared boolean, shingles binary, df binary, head array<long>"
+LISTS = "doc_id long, mark long, n long, all_shared boolean, shingles binary, head array<long>"
 _LISTS = pa.schema([
     ("doc_id", pa.int64()), ("mark", pa.int64()), ("n", pa.int64()), ("all_shared", pa.bool_()),
-    ("shingles", pa.binary()), ("df", pa.binary()), ("head", pa.list_(pa.int64()))])
+    ("shingles", pa.binary()), ("head", pa.list_(pa.int64()))])
 
 
 def _order(table: pa.Table) -> pa.Table:
-    """One part of documents: shared shingles in global order, and those among the first
-    ``n - ceil(3n/4) + 1`` of the whole list. Documents without such a head match nothing."""
+    """One part of documents: the shared shingles, and those among the first
+    ``n - ceil(3n/4) + 1`` of the whole list in global order (rare ones first). Documents
+    without such a head match nothing."""
     pieces = table.to_pylist()
     rows = [_unpack(r) for r in pieces]
     base = np.cumsum([0] + [len(r[0]) for r in rows])
     ids, marks, size = (np.concatenate([r[i] for r in rows]) for i in range(3))
     doc = np.concatenate([r[3] + b for r, b in zip(rows, base)])
     value = np.concatenate([r[4] for r in rows])
-    df = np.concatenate([np.frombuffer(r["df"], "<u4") for r in pieces])
+    df = np.concatenate([np.frombuffer(r["df"], "u1") for r in pieces])
     # equal documents (id and set) arrive in several pieces
     key = np.stack([ids.view(_U), marks], 1)
     _, first, same = np.unique(key, axis=0, return_index=True, return_inverse=True)
@@ -234,7 +234,7 @@ def _order(table: pa.Table) -> pa.Table:
         if head > 0:
             out.append({
                 "doc_id": int(ids[at]), "mark": int(marks[at:at + 1].view(np.int64)[0]), "n": n, "all_shared": shared == n,
-                "shingles": value[a:b].tobytes(), "df": df[a:b].tobytes(), "head": value[a:a + head].view(np.int64).tolist()})
+                "shingles": _bytes_of(np.diff(np.sort(value[a:b]), prepend=_U(0))), "head": value[a:a + head].view(np.int64).tolist()})
     return pa.Table.from_pylist(out, _LISTS)
 
 
@@ -342,15 +342,11 @@ def links(lists: list[np.ndarray], sizes: list[int], left: int | None = None) ->
 
 def _compare(table: pa.Table) -> pa.Table:
     """Links inside one block or between two blocks of a neighbourhood."""
-    rows = sorted(table.select(["doc_id", "n", "shingles", "df", "side"]).to_pylist(), key=lambda r: (r["side"], r["n"], r["doc_id"]))
-    value = [np.frombuffer(r["shingles"], _U) for r in rows]
-    df = np.concatenate([np.frombuffer(r["df"], "<u4") for r in rows])
-    flat = np.concatenate(value)
-    # number all shingles of the task in global order
-    distinct, first, code = np.unique(flat, return_index=True, return_inverse=True)
-    rank = np.empty(len(distinct), np.int64)
-    rank[np.lexsort((distinct, df[first]))] = np.arange(len(distinct))
-    numbers = np.split(rank[code], np.cumsum([len(v) for v in value])[:-1])
+    rows = sorted(table.select(["doc_id", "n", "shingles", "side"]).to_pylist(), key=lambda r: (r["side"], r["n"], r["doc_id"]))
+    value = [np.cumsum(_numbers(r["shingles"]), dtype=_U) for r in rows]
+    # number the task's shingles in the global order of their hashes
+    _, code = np.unique(np.concatenate(value), return_inverse=True)
+    numbers = np.split(code, np.cumsum([len(v) for v in value])[:-1])
     left = sum(r["side"] == 0 for r in rows)
     found = links(numbers, [r["n"] for r in rows], left if left < len(rows) else None)
     ids = [r["doc_id"] for r in rows]
@@ -382,7 +378,7 @@ def jaccard_components(docs: DataFrame) -> DataFrame:
     a Jaccard similarity of at least 0.75; ``component_id`` is the smallest doc_id reachable.
     A null or empty text, or one without words, has no shingle and links with nothing.
     Rows of one doc_id are one node of the graph: each row's set can link it. A row without
-    doc_id links with nothing and has no component. Shingles are compared by 64-bit hashes.
+    doc_id links with nothing and has no component. Shingles are compared by 56-bit hashes.
     """
     spark = docs.sparkSession
     texts = docs.select(F.col("doc_id").cast("long"), "text")
@@ -407,7 +403,7 @@ def jaccard_components(docs: DataFrame) -> DataFrame:
     placed = areas.withColumn("own", block).select(
         "doc_id", "area", "by", F.col("own"), F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other")).select(
         "doc_id", "area", "by", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), (F.col("own") > F.col("other")).cast("int").alias("side"))
-    found = placed.join(chosen.select("doc_id", "n", "shingles", "df"), "doc_id").groupBy("area", "by", "i", "j").applyInArrow(_compare, "a long, b long")
+    found = placed.join(chosen.select("doc_id", "n", "shingles"), "doc_id").groupBy("area", "by", "i", "j").applyInArrow(_compare, "a long, b long")
     component = connected_components(found.union(equal.select("a", "b")))
     sizes = measured.filter("kind = 0").select("doc_id", F.col("n").alias("n_shingles"))
     return sizes.join(component, F.col("doc_id") == F.col("id"), "left").select(
