@@ -45,18 +45,6 @@ APP_EVENTS = T.StructType([
     T.StructField("event_at", T.TimestampNTZType()),
 ])
 
-# Published trip files: header names as the operators publish them.
-RAW_TRIPS = T.StructType([
-    T.StructField("Trip Id", T.StringType()),
-    T.StructField("Trip Duration", T.LongType()),
-    T.StructField("Start Station Id", T.LongType()),
-    T.StructField("Start Time", T.TimestampNTZType()),
-    T.StructField("Stop Time", T.TimestampNTZType()),
-    T.StructField("User Type", T.StringType()),
-    T.StructField("Bike Id", T.StringType()),
-])
-
-
 @dataclass(frozen=True)
 class Tables:
     """The four canonical tables. ``rides`` and the two event tables may carry a

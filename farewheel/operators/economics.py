@@ -20,14 +20,16 @@ class Operator(NamedTuple):
     currency: str
     annual_price: float
     casual_ride_cost: float
+    day_pass: float
+    second_annual_price: float | None = None
 
 
 # Published profiles of four operators.
 OPERATORS = [
-    Operator("toronto", "Toronto, ON", "CAD", 105.0, 4.48),
-    Operator("divvy", "Chicago, IL", "USD", 105.0, 3.30),
-    Operator("citibike", "New York, NY", "USD", 179.0, 4.50),
-    Operator("santander", "London, UK", "GBP", 120.0, 3.20),
+    Operator("toronto", "Toronto, ON", "CAD", 105.0, 4.48, 15.0, 120.0),
+    Operator("divvy", "Chicago, IL", "USD", 105.0, 3.30, 15.0),
+    Operator("citibike", "New York, NY", "USD", 179.0, 4.50, 15.0),
+    Operator("santander", "London, UK", "GBP", 120.0, 3.20, 18.0),
 ]
 
 # Conversion scenarios.
@@ -97,6 +99,28 @@ def arr_scenarios(rides: DataFrame, p: Params = DEFAULTS, months: int = 12) -> D
     ).orderBy("operator", "rate")
 
 
+@until_as_of
+def price_ladder(rides: DataFrame, p: Params = DEFAULTS) -> DataFrame:
+    """From the single ride to the annual memberships, per operator, with the rides that
+    pay each step back at the ride cost observed."""
+    share = p.pricing.weekend_tier_share
+    steps = [
+        (o.id, number, step, price)
+        for o in OPERATORS
+        for number, (step, price) in enumerate([
+            ("single_ride", o.casual_ride_cost), ("day_pass", o.day_pass), ("weekend", o.annual_price * share),
+            ("annual", o.annual_price), ("annual_plus", o.second_annual_price)], 1)
+        if price is not None
+    ]
+    observed = casual_only(rides).agg(
+        ratio(money(F.sum(cents(F.col("ride_cost_cad")))), F.count("ride_cost_cad")).alias("cost")
+    )
+    return observed.select("cost", F.inline(_as_rows(["operator", "step_no", "step", "price"], steps))).select(
+        "operator", F.col("step_no").cast("long").alias("step_no"), "step", rnd(F.col("price"), 2).alias("price"),
+        F.ceil(ratio(F.col("price"), F.col("cost"))).alias("rides_to_pay_back"),
+    ).orderBy("operator", "step_no")
+
+
 @until_as_of
 def operator_breakeven(rides: DataFrame, p: Params = DEFAULTS) -> DataFrame:
     """Break-even rides of each operator at its published and at the observed ride cost,

@@ -100,6 +100,28 @@ def classify_riders(rides: DataFrame, p: Params = DEFAULTS, lookback: int = 60)
     return score_riders(rides, p, lookback).orderBy(F.col("conversion_priority_score").desc_nulls_last())
 
 
+# The tier that fits a persona's habits; others go by their weekend share.
+TIERS = {
+    WEEKEND_EXPLORER: "weekend", RELUCTANT_COMMUTER: "annual", EBIKE_ADOPTER: "annual", SEASONAL_VISITOR: "day_pass",
+}
+
+
+@until_as_of
+def tier_recommendation(
+    rides: DataFrame, p: Params = DEFAULTS, lookback: int = 60, weekend_share: float = 0.5
+) -> DataFrame:
+    """The membership to recommend to each classified rider. The weekend tier is hidden
+    from riders who mostly ride on weekdays, commuters among them."""
+    mostly_weekend = F.col("pct_weekend") >= weekend_share
+    shown = mostly_weekend & (F.col("persona_segment") != RELUCTANT_COMMUTER)
+    fitting = F.element_at(F.create_map(*[F.lit(x) for pair in TIERS.items() for x in pair]), F.col("persona_segment"))
+    tier = F.coalesce(fitting, F.when(mostly_weekend, "weekend").otherwise("annual"))
+    return score_riders(rides, p, lookback).select(
+        "user_id", "persona_segment", "pct_weekend", shown.alias("weekend_tier_shown"),
+        F.when((tier == "weekend") & ~shown, "annual").otherwise(tier).alias("recommended_tier"),
+    )
+
+
 def users_with_personas(users: DataFrame, personas: DataFrame) -> DataFrame:
     """Users with the persona of the latest classification; riders it did not cover
     have none. ``personas`` has one row per rider."""

@@ -468,6 +468,14 @@ def _economics() -> dict[str, str]:
       {r("CAST(floor(v * rate::DOUBLE) - floor(v * 0.028::DOUBLE) AS BIGINT) * price::DOUBLE * 12 / 1000.0::DOUBLE", 3)} AS incremental_arr_k
     FROM m, (VALUES ('toronto', 105), ('divvy', 105), ('citibike', 179), ('santander', 120)) o(operator, price),
       (VALUES ('Current (2.8%)', 0.028), ('Post-nudge (4.2%)', 0.042), ('Q3 target (5.0%)', 0.050), ('Stretch (7.5%)', 0.075)) s(scenario, rate)"""
+    out["price_ladder"] = f"""{TABLES},
+    m AS (SELECT {q('CAST(SUM(ride_cost_cad) AS DOUBLE)', 'COUNT(*)')} AS c FROM rides WHERE {CASUAL}),
+    o AS (SELECT * FROM (VALUES ('toronto', 4.48, 15, 105, 120), ('divvy', 3.3, 15, 105, NULL), ('citibike', 4.5, 15, 179, NULL),
+      ('santander', 3.2, 18, 120, NULL)) o(operator, ride, day_pass, annual, plus)),
+    l AS (SELECT operator, 1 AS step_no, 'single_ride' AS step, ride::DOUBLE AS price FROM o UNION ALL SELECT operator, 2, 'day_pass', day_pass FROM o
+      UNION ALL SELECT operator, 3, 'weekend', annual::DOUBLE * 0.6::DOUBLE FROM o UNION ALL SELECT operator, 4, 'annual', annual FROM o
+      UNION ALL SELECT operator, 5, 'annual_plus', plus FROM o WHERE plus IS NOT NULL)
+    SELECT operator, {n('step_no')} AS step_no, step, {r('price', 2)} AS price, {n(f"ceil({q('price', 'c')})")} AS rides_to_pay_back FROM l, m"""
     out["operator_breakeven"] = f"""{TABLES},
     m AS (SELECT {q('CAST(SUM(ride_cost_cad) AS DOUBLE)', 'COUNT(*)')} AS c FROM rides WHERE {CASUAL})
     SELECT operator, city, currency, price::DOUBLE AS annual_price, {n('ceil(price::DOUBLE / cost::DOUBLE)')} AS breakeven_rides_published,
@@ -676,10 +684,13 @@ FUNNEL_EVENTS = """
 
 def _jobs() -> dict[str, str]:
     out = {}
-    out["ingest_trips"] = f"""{TABLES}
-    SELECT ride_id AS trip_id, station_id AS start_station_id, started_at,
-      started_at + INTERVAL 1 MINUTE * CAST(duration_min AS INT) AS ended_at,
-      CAST(CAST(duration_min AS INT) AS DOUBLE) AS duration_min, user_type, bike_type AS bike_id FROM rides"""
+    out["ingest_trips"] = f"""{TABLES},
+    whole AS (SELECT *, CAST(duration_min AS INT) AS m FROM rides)
+    SELECT ride_id, user_id, started_at, started_at + INTERVAL 1 MINUTE * m AS ended_at, CAST(m AS DOUBLE) AS duration_min,
+      user_type, bike_type, station_id,
+      CAST(CASE WHEN user_type = 'Annual Member' AND bike_type = 'EFIT' THEN 0.10 * m WHEN user_type = 'Annual Member' THEN 0
+                WHEN bike_type = 'EFIT' THEN 1.00 + 0.20 * m ELSE 1.00 + 0.12 * m END AS DECIMAL(10,2)) AS ride_cost_cad
+    FROM whole"""
     out["persona_writeback"] = f"""{TABLES}, {RIDER_PROFILE}
     SELECT user_id, persona_segment, conversion_priority_score, {AS_OF} AS run_date FROM named"""
     out["persona_funnel_after_writeback"] = _funnel_by_persona(False, classified=True)
@@ -736,6 +747,12 @@ def oracle_queries() -> dict[str, str]:
         "classify_riders": f"{TABLES}, {RIDER_PROFILE} SELECT * FROM named",
         "persona_summary": _persona_summary(),
         "ebike_savings": _ebike_savings(),
+        "tier_recommendation": f"""{TABLES}, {RIDER_PROFILE}
+    SELECT user_id, persona_segment, pct_weekend,
+      pct_weekend >= 0.5 AND persona_segment <> 'Reluctant Commuter' AS weekend_tier_shown,
+      CASE WHEN persona_segment = 'Seasonal Visitor' THEN 'day_pass'
+           WHEN persona_segment IN ('Reluctant Commuter', 'E-bike Adopter') THEN 'annual'
+           WHEN pct_weekend >= 0.5 THEN 'weekend' ELSE 'annual' END AS recommended_tier FROM named""",
         "priority_nudge_targets": _priority_nudge_targets(False, 10_000),
         "priority_nudge_targets_grain_safe": _priority_nudge_targets(True, 10_000),
     }

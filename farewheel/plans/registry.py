@@ -63,6 +63,7 @@ TABLE_QUERIES: dict[str, Callable[[Tables], DataFrame]] = {
     "classify_riders": lambda t: segmentation.classify_riders(t.rides),
     "persona_summary": lambda t: segmentation.persona_summary(t.users, t.rides),
     "ebike_savings": lambda t: segmentation.ebike_savings(t.rides),
+    "tier_recommendation": lambda t: segmentation.tier_recommendation(t.rides),
     "priority_nudge_targets": lambda t: segmentation.priority_nudge_targets(
         t.rides, t.users, t.membership_events),
     "priority_nudge_targets_grain_safe": lambda t: segmentation.priority_nudge_targets(
@@ -90,6 +91,7 @@ TABLE_QUERIES: dict[str, Callable[[Tables], DataFrame]] = {
     # economics
     "funnel_shares": lambda t: economics.funnel_shares(t.rides, t.membership_events),
     "arr_scenarios": lambda t: economics.arr_scenarios(t.rides),
+    "price_ladder": lambda t: economics.price_ladder(t.rides),
     "operator_breakeven": lambda t: economics.operator_breakeven(t.rides),
     "ebike_price_gap": lambda t: economics.ebike_price_gap(t.rides),
     # growth
@@ -120,11 +122,19 @@ TABLE_QUERIES: dict[str, Callable[[Tables], DataFrame]] = {
 }
 
 
+_TRIP_FILES: dict[str, str] = {}
+
+
 def ingest_trips(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Rides written in the published CSV layout and read back."""
-    path = scratch_dir(spark, "trips")
-    trips.write_trips(open_tables(spark, sf_dir).rides, path)
-    return trips.read_trips(spark, path)
+    """Rides in the published CSV layout, read back into the rides table with riders from
+    a lookup. The files are written once in a session."""
+    key = tables_root(spark, sf_dir)
+    if key not in _TRIP_FILES:
+        path = scratch_dir(spark, "trips")
+        trips.write_trips(open_tables(spark, sf_dir).rides, path)
+        _TRIP_FILES[key] = path
+    riders = open_tables(spark, sf_dir).rides.select("ride_id", "user_id").distinct()
+    return trips.read_trips(spark, _TRIP_FILES[key], riders=riders)
 
 
 def persona_writeback(spark: SparkSession, sf_dir: str) -> DataFrame:
