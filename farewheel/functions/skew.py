@@ -20,10 +20,9 @@ def join_hot_keys(
     Keys are counted first (one narrow, map-side combined aggregate). Those above
     ``rows_per_task`` get one salt per ``rows_per_task`` rows; all others keep salt 0,
     so nothing is replicated for them. The hot list cannot have more than
-    rows / rows_per_task entries (two million for 10**13 rows, some tens of MB), so
-    it is the one thing that is broadcast; ``dim`` itself is left to the optimizer.
+    rows / rows_per_task entries; how it and ``dim`` are joined is left to the planner.
     """
-    hot = F.broadcast(
+    hot = (
         fact.groupBy(key).agg(F.count(F.lit(1)).alias("_n"))
         .filter(F.col("_n") > rows_per_task)
         .select(key, F.ceil(F.col("_n") / F.lit(rows_per_task)).cast("int").alias("_salts"))

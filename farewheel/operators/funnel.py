@@ -237,7 +237,9 @@ def conversion_journeys(
         .select("user_id", "persona_segment", "first_ride_at")
         .join(first_conversion(events), "user_id")
     )
-    casual = rides.filter(F.col("user_type") == CASUAL).select("user_id", "ride_id", "started_at", "ride_cost_cad")
+    # who first rode in the window has no earlier rides
+    recent = since(rides, "started_at", p.days_ago(lookback)).filter(F.col("user_type") == CASUAL)
+    casual = recent.select("user_id", "ride_id", "started_at", "ride_cost_cad")
     before = join_hot_keys(
         casual, converted, "user_id", ["ride_id", "started_at"], rows_per_task
     ).filter(F.col("started_at") < F.col("converted_at"))

@@ -258,6 +258,9 @@ def nudge_days(
     else:
         pre = within("n", -14, -2) + within("at_midnight", -1, -1)
         post = within("n", 0, 12) + within("at_midnight", 13, 13)
+    if grain_safe:
+        # only uninstalls since the window began can matter; as written, every app event counts
+        app_events = since(app_events, "event_at", start).filter(is_event(APP_UNINSTALL))
     app = app_events.groupBy("user_id").agg(
         F.count(F.lit(1)).alias("app_rows"),
         F.max(F.when(is_event(APP_UNINSTALL), F.col("event_at"))).alias("uninstalled_at"),

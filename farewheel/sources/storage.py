@@ -10,19 +10,29 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from farewheel.functions.columns import month_of
 
 
-def scratch_dir(spark: SparkSession, name: str) -> str:
-    """A new directory below the shared folder named in ``spark.checkpoint.dir``.
+_OWN: dict[str, str] = {}
+
+
+def shared_dir(spark: SparkSession) -> str:
+    """The folder named in ``spark.checkpoint.dir``.
 
-    Only a local session without that setting falls back to the machine's temporary
-    folder; on a cluster the setting is required, since executors cannot share one.
+    Only a local session without that setting gets a temporary folder of its own, one per
+    application; on a cluster the setting is required, since executors cannot share one.
     """
     shared = spark.conf.get("spark.checkpoint.dir", None)
     if not shared:
-        if not spark.sparkContext.master.startswith("local"):
+        context = spark.sparkContext
+        if not context.master.startswith("local") or context.master.startswith("local-cluster"):
             raise RuntimeError("set spark.checkpoint.dir to a folder all executors share")
-        shared = tempfile.mkdtemp(prefix="farewheel-")
+        shared = _OWN.setdefault(context.applicationId, "") or tempfile.mkdtemp(prefix="farewheel-")
+        _OWN[context.applicationId] = shared
+    return f"{shared.rstrip('/')}/farewheel"
+
+
+def scratch_dir(spark: SparkSession, name: str) -> str:
+    """A new directory for one result of this application below the shared folder."""
     run = f"{spark.sparkContext.applicationId}-{uuid.uuid4().hex[:8]}"
-    return f"{shared.rstrip('/')}/farewheel/{run}/{name}"
+    return f"{shared_dir(spark)}/{run}/{name}"
 
 
 def write_by_month(df: DataFrame, time_col: str, path: str) -> None:

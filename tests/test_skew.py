@@ -48,7 +48,7 @@ def test_trailing_30_days_against_brute_force(build):
     events += [(7, datetime(2023, 11, 1, 10)), (8, datetime(2023, 11, 1))]
     df = telemetry.hashed_user_events(
         build.rides(*[(u, t.isoformat()) for u, t in rides]), build.users((1, "A")),
-        build.events(*[(u, "cta_shown", t.isoformat()) for u, t in events]),
+        build.events(*[(u, "cta_shown", t.isoformat()) for u, t in events]), salt="s",
     )
     got = {r.event_id: (r.ride_count_30d, r.cumulative_spend_30d) for r in df.collect()}
     assert len(got) == len(events)

@@ -75,7 +75,7 @@ def test_funnel_steps_do_not_outnumber_riders(tables):
 def test_trip_files_round_trip(spark, build):
     path = tempfile.mkdtemp(prefix="farewheel-test-") + "/trips"
     trips.write_trips(build.rides((1, "2023-03-12T02:30", 90), (2, "2023-03-12T02:31", 6)), path)
-    rows = sorted(map(tuple, trips.read_trips(spark, path).select("trip_id", "started_at", "duration_min").collect()))
+    rows = sorted(map(tuple, trips.read_trips(spark, path).select("ride_id", "started_at", "duration_min").collect()))
     assert [(r[0], str(r[1]), r[2]) for r in rows] == [("r0", "2023-03-12 02:30:00", 90.0), ("r1", "2023-03-12 02:31:00", 6.0)]
 
 
