@@ -28,12 +28,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
 from farewheel.llm.staging import parts_of
-from farewheel.llm.words import Words, _powers, _BASE, _INVERSE, hash_words, mix, ragged, slices, text_buffer, windows
+from farewheel.llm.words import Words, _powers, _BASE, _INVERSE, give_back, hash_words, mix, ragged, slices, text_buffer, windows
 
 WIDTH = 13              # words of a window
 ANCHOR = 4              # words of an anchor
-SHARD_BYTES = 4 << 20   # text per shard and per part of documents
-BATCH_BYTES = 8 << 20
+SHARD_BYTES = 3 << 20   # text per shard and per part of documents
+BATCH_BYTES = 2 << 20
 _U = np.uint64
 
 
@@ -218,7 +218,7 @@ def _deal(shards: int, parts: int, width: int):
     def run(batches):
         import zstandard
 
-        press = zstandard.ZstdCompressor(level=1).compress
+        press = zstandard.ZstdCompressor(level=3).compress
         for batch in slices(batches, 10_000, BATCH_BYTES):
             known = np.flatnonzero(batch.column("doc_id").is_valid().to_numpy(zero_copy_only=False))
             own = batch.take(pa.array(known))
@@ -284,6 +284,7 @@ def _search(shards: int, parts: int, width: int):
     def run(table: pa.Table) -> pa.Table:
         import zstandard
 
+        give_back()
         rows = table.to_pylist()
         if rows[0]["part"] < 0:
             return pa.Table.from_pylist([r | {"part": -1 - r["part"]} for r in rows], _DEALT)
@@ -378,6 +379,7 @@ def _cut(keep_text: bool, others: list[str], width: int):
     def run(texts: pa.Table, reports: pa.Table) -> pa.Table:
         import zstandard
 
+        give_back()
         expand = zstandard.ZstdDecompressor().decompress
         found: dict[tuple[int, int], list[tuple[np.ndarray, np.ndarray]]] = {}
         for r in reports.to_pylist():

@@ -244,7 +244,7 @@ DIGESTS = "n_tokens long, ids_sha256 string, decoded_sha256 string"
 def _encoded(path: str, column: str, keep: list[str], digests: bool, with_ids: bool = False):
     def run(batches):
         coder = _coder(path)
-        for batch in slices(batches, 10_000, 6 << 20):
+        for batch in slices(batches, 10_000, 1 << 20):
             ids, at = coder.encode(batch.column(column).to_pylist())
             texts = coder.letters.join(ids, at)
             if digests:

@@ -121,7 +121,7 @@ def _memory(path: str) -> TokenMemory:
     from tokenizers import Tokenizer
 
     tokenizer = Tokenizer.from_file(path)
-    memory = TokenMemory(lambda texts: [e.ids for e in tokenizer.encode_batch(texts, add_special_tokens=False)])
+    memory = TokenMemory(lambda texts: [e.ids for e in tokenizer.encode_batch(texts, add_special_tokens=False)], most=1_500_000)
     memory.tokenizer = tokenizer
     return memory
 
@@ -167,7 +167,7 @@ def _write(tokenizer: str, end_id: int | None, bits: bool, file_ids: int):
             ids, docs, lengths, held, part = [], [], [], 0, part + 1
             return row
 
-        for batch in slices(batches, 10_000, 6 << 20):
+        for batch in slices(batches, 10_000, 3 << 20):
             flat, at = encode_texts(tokenizer, batch.column("text").to_pylist())
             own = batch.column("doc_id").to_pylist()
             if end_id is not None:

@@ -29,7 +29,7 @@ from pyspark.sql import DataFrame, functions as F
 
 from farewheel.llm.components import connected_components
 from farewheel.llm.staging import shuffle_parts, staged
-from farewheel.llm.words import hash_words, lower_ascii, mix, slices, text_buffer, windows
+from farewheel.llm.words import give_back, hash_words, lower_ascii, mix, slices, text_buffer, windows
 
 WIDTH = 5                   # words of a shingle
 RANGE_SHINGLES = 2_000_000  # shingles of a hash range
@@ -172,6 +172,7 @@ def _count(parts: int):
     """One hash range: shingles of at least two documents with their number of documents,
     dealt to parts of documents."""
     def run(table: pa.Table) -> pa.Table:
+        give_back()
         rows = [_unpack(r) for r in table.to_pylist()]
         part = table.column("part")[0].as_py()
         base = np.cumsum([0] + [len(r[0]) for r in rows])
@@ -209,6 +210,7 @@ def _order(table: pa.Table) -> pa.Table:
     """One part of documents: the shared shingles, and those among the first
     ``n - ceil(3n/4) + 1`` of the whole list in global order (rare ones first). Documents
     without such a head match nothing."""
+    give_back()
     pieces = table.to_pylist()
     rows = [_unpack(r) for r in pieces]
     base = np.cumsum([0] + [len(r[0]) for r in rows])

@@ -6,6 +6,7 @@ those six values out of longer characters, so bytes can be scanned without decod
 
 from __future__ import annotations
 
+import ctypes
 import math
 from dataclasses import dataclass
 
@@ -206,7 +207,7 @@ def hash_pieces(data: np.ndarray, offsets: np.ndarray) -> tuple[Words, np.ndarra
 class TokenMemory:
     """Token ids of pieces, found by hash. When ``most`` pieces are kept, it starts anew."""
 
-    def __init__(self, encode, most: int = 2_000_000):
+    def __init__(self, encode, most: int = 300_000):
         self.encode, self.most = encode, most
         self._clear()
 
@@ -237,9 +238,19 @@ class TokenMemory:
         return ids, np.concatenate([[0], np.cumsum(size)])[words.first]
 
 
-def slices(batches, rows: int = 2000, size: int = 8 << 20):
+def give_back() -> None:
+    """Return freed memory to the system. A worker process outlives its task, and what its
+    allocators keep would count against the executor while others work."""
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if trim:
+        trim(0)
+
+
+def slices(batches, rows: int = 2000, size: int = 4 << 20):
     """Record batches cut so that each has at most ``rows`` rows and about ``size`` bytes."""
     for batch in batches:
         step = max(1, min(rows, math.ceil(size * batch.num_rows / max(1, batch.nbytes))))
         for at in range(0, batch.num_rows, step):
             yield batch.slice(at, step)
+        give_back()
