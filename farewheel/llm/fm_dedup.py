@@ -14,8 +14,15 @@ with a smaller id, the interval of words is reported. Reports meet the whole tex
 document, and what they cover is cut out.
 
 Copies of one segment in a batch are decided before the shuffle, except those of the smallest
-document, so a passage that a third of all documents share reaches its shard once per batch.
-Shard and document parts have a bounded number of words; nothing goes through the driver.
+document, so the inside of a passage that a third of all documents share reaches its shard once
+per batch. Where the passage begins and ends, a segment holds a document's own words too and
+differs in each of them. Segments are therefore counted by anchor first (sums per batch, of
+anchors that a batch holds twice). Segments of an anchor above HOT_PART of a shard fall into
+their windows, equal windows of a batch are decided there, and the rest is dealt by the hash of
+the whole window, on which equal windows agree as well. So an anchor brings to its shard no more
+than that share and one segment per batch, a window one copy per batch (of its smallest document
+there, all places). The driver gets the list of hot anchors only: at most one in as many
+segments as make an anchor hot.
 """
 
 from __future__ import annotations
@@ -34,6 +41,7 @@ WIDTH = 13              # words of a window
 ANCHOR = 4              # words of an anchor
 SHARD_BYTES = 3 << 20   # text per shard and per part of documents
 BATCH_BYTES = 2 << 20
+HOT_PART = 512          # an anchor of one segment per so many bytes of a shard is hot
 _U = np.uint64
 
 
@@ -142,6 +150,10 @@ def _smallest(grams: np.ndarray, width: int) -> np.ndarray:
     return at
 
 
+def _anchor_marks(grams: np.ndarray) -> np.ndarray:
+    return mix(grams ^ _U(0x9FB21C651E98DF25))
+
+
 def segments(words: Words, width: int = WIDTH, anchor: int = ANCHOR) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """Row, first word, number of windows and anchor hash of each segment."""
     none = np.zeros(0, np.int64)
@@ -158,7 +170,7 @@ def segments(words: Words, width: int = WIDTH, anchor: int = ANCHOR) -> tuple[np
     # a segment ends before the next one or the next window that crosses texts
     stop = np.concatenate([np.flatnonzero(new[1:] | ~inside[1:]) + 1, [n]])
     count = stop[np.searchsorted(stop, start, side="right")] - start
-    return rows[start], start, count, mix(grams[place[start]] ^ _U(0x9FB21C651E98DF25))
+    return rows[start], start, count, _anchor_marks(grams[place[start]])
 
 
 def _planes(numbers: np.ndarray) -> bytes:
@@ -203,6 +215,11 @@ def _report_rows(ids, marks, row, start, count, parts: int, sign: int) -> list[d
     part = _part_of(ids[row], parts)
     order = np.lexsort((start, row, part))
     part, row, start, count = part[order], row[order], start[order], count[order]
+    # neighbours travel as one
+    new = np.ones(len(row), bool)
+    new[1:] = (row[1:] != row[:-1]) | (start[1:] != start[:-1] + count[:-1])
+    new = np.flatnonzero(new)
+    part, row, start, count = part[new], row[new], start[new], np.add.reduceat(count, new)
     out = []
     for a, b in zip(*_groups(part)):
         used, local = np.unique(row[a:b], return_inverse=True)
@@ -212,32 +229,74 @@ def _report_rows(ids, marks, row, start, count, parts: int, sign: int) -> list[d
     return out
 
 
-def _deal(shards: int, parts: int, width: int):
-    """Segments by shard; reports on copies inside the batch by part of documents, under
-    negative numbers."""
+def _copies(ids: np.ndarray, content: np.ndarray) -> np.ndarray:
+    """Which entries have equal content in a document with a smaller id."""
+    order = np.lexsort((ids, content))
+    begin, stop = _groups(content[order])
+    least = np.empty(len(ids), np.int64)
+    least[order] = np.repeat(ids[order[begin]], stop - begin)
+    return ids > least
+
+
+def _batch_segments(batches, width: int):
+    """Batches of texts with id, cut to bounded size, with their segments, and which of these
+    are copies inside the batch."""
+    for batch in slices(batches, 10_000, BATCH_BYTES):
+        known = np.flatnonzero(batch.column("doc_id").is_valid().to_numpy(zero_copy_only=False))
+        own = batch.take(pa.array(known))
+        data, offsets = text_buffer(own.column("text"))
+        words = hash_words(data, offsets)
+        row, start, count, anchor = segments(words, width)
+        if len(row):
+            content = sequence_marks(words.hash, start, start + count + width - 1)
+            copy = _copies(own.column("doc_id").to_numpy()[row], content)
+            yield own, data, words, row, start, count, anchor, copy
+
+
+ANCHORS = "anchor long, segments long"
+
+
+def _count_anchors(width: int):
+    """Anchors of several segments of a batch, copies inside the batch left out."""
+    def run(batches):
+        for *_, anchor, copy in _batch_segments(batches, width):
+            anchor = np.sort(anchor[~copy])
+            begin, stop = _groups(anchor)
+            size = stop - begin
+            some = size > 1
+            yield pa.RecordBatch.from_arrays([pa.array(anchor[begin[some]].view(np.int64)), pa.array(size[some])], ["anchor", "segments"])
+    return run
+
+
+def _is_hot(anchor: np.ndarray, hot: np.ndarray) -> np.ndarray:
+    if not len(hot):
+        return np.zeros(len(anchor), bool)
+    return hot[np.minimum(np.searchsorted(hot, anchor), len(hot) - 1)] == anchor
+
+
+def _deal(shards: int, parts: int, width: int, hot: np.ndarray):
+    """Segments by shard, those of hot anchors window by window; reports on copies inside the
+    batch by part of documents, under negative numbers."""
     def run(batches):
         import zstandard
 
         press = zstandard.ZstdCompressor(level=3).compress
-        for batch in slices(batches, 10_000, BATCH_BYTES):
-            known = np.flatnonzero(batch.column("doc_id").is_valid().to_numpy(zero_copy_only=False))
-            own = batch.take(pa.array(known))
+        for own, data, words, row, start, count, anchor, copy in _batch_segments(batches, width):
             ids, marks = own.column("doc_id").to_numpy(), _marks(own.column("text"))
-            data, offsets = text_buffer(own.column("text"))
-            words = hash_words(data, offsets)
-            row, start, count, anchor = segments(words, width)
-            if not len(row):
-                continue
-            content = sequence_marks(words.hash, start, start + count + width - 1)
-            # of equal segments only those of the smallest document travel
-            order = np.lexsort((ids[row], content))
-            begin, _ = _groups(content[order])
-            least = np.empty(len(row), np.int64)
-            least[order] = np.repeat(ids[row[order[begin]]], np.diff(np.concatenate([begin, [len(row)]])))
+            split = _is_hot(anchor, hot) & ~copy
+            if split.any():
+                each = np.where(split, count, 1)
+                single = np.repeat(split, each)
+                start = ragged(start, each)
+                row, copy = np.repeat(row, each), np.repeat(copy, each)
+                count, anchor = np.where(single, 1, np.repeat(count, each)), np.repeat(anchor, each)
+                at = np.flatnonzero(single)
+                content = sequence_marks(words.hash, start[at], start[at] + width)
+                copy[at] = _copies(ids[row[at]], content)
+                anchor[at] = content
             in_doc = start - words.first[row]
-            copy = np.flatnonzero(ids[row] > least)
+            copy, keep = np.flatnonzero(copy), np.flatnonzero(~copy)
             out = _report_rows(ids, marks, row[copy], in_doc[copy], count[copy], parts, -1) if len(copy) else []
-            keep = np.flatnonzero(ids[row] <= least)
             shard = ((anchor[keep] >> _U(32)) * _U(shards) >> _U(32)).astype(np.int64)
             order = np.argsort(shard, kind="stable")
             keep, shard = keep[order], shard[order]
@@ -279,7 +338,7 @@ def repeated_windows(sequences: np.ndarray, offsets: np.ndarray, owner: np.ndarr
     return result
 
 
-def _search(shards: int, parts: int, width: int):
+def _search(shards: int, parts: int, width: int, hot: np.ndarray):
     """One shard: reports on its windows. Reports made before pass through."""
     def run(table: pa.Table) -> pa.Table:
         import zstandard
@@ -303,6 +362,10 @@ def _search(shards: int, parts: int, width: int):
         anchor = grams[first]
         for i in range(1, width - ANCHOR + 1):
             anchor = np.minimum(anchor, grams[first + i])
+        anchor = _anchor_marks(anchor)
+        # windows of a hot anchor came alone
+        single = np.flatnonzero(_is_hot(anchor, hot))
+        anchor[single] = sequence_marks(words.hash, first[single], first[single] + width)
         order = np.lexsort((ids[doc], anchor))
         begin, stop = _groups(anchor[order])
         several = ids[doc[order[begin]]] < ids[doc[order[stop - 1]]]
@@ -438,7 +501,10 @@ def remove_repeats(docs: DataFrame, width: int = WIDTH, keep_text: bool = False,
     """
     texts = docs.select(F.col("doc_id").cast("long"), "text")
     parts = parts_of(docs, SHARD_BYTES)
-    reports = texts.mapInArrow(_deal(parts, parts, width), DEALT).groupBy("part").applyInArrow(_search(parts, parts, width), DEALT)
+    counted = texts.mapInArrow(_count_anchors(width), ANCHORS).groupBy("anchor").agg(F.sum("segments").alias("segments"))
+    hot = counted.filter(F.col("segments") > SHARD_BYTES // HOT_PART).select("anchor").collect()
+    hot = np.sort(np.array([r.anchor for r in hot], np.int64).view(_U))
+    reports = texts.mapInArrow(_deal(parts, parts, width, hot), DEALT).groupBy("part").applyInArrow(_search(parts, parts, width, hot), DEALT)
     # kept columns travel under names of their own
     others = [f"keep_{i}" for i in range(len(keep))]
     whole = docs.select(F.col("doc_id").cast("long"), "text", *[F.col(c).alias(o) for c, o in zip(keep, others)])

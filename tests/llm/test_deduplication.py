@@ -161,6 +161,35 @@ def test_repeats_equal_brute_force(docs, clashing, odd, monkeypatch, size):
     assert sum(r.n_chars for r in got) == sum(len(t or "") for _, t in rows)
 
 
+@pytest.mark.parametrize("passage", [13, 40])
+def test_a_common_passage_fills_no_shard(docs, monkeypatch, tmp_path, passage):
+    """Where the passage begins and ends, every document sends a segment of its own."""
+    monkeypatch.setattr(fm_dedup, "SHARD_BYTES", 4000)
+    monkeypatch.setattr(fm_dedup, "BATCH_BYTES", 20_000)
+    rnd = random.Random(5)
+    own = lambda n: [f"w{rnd.randrange(10**6)}" for _ in range(n)]
+    common = own(passage)
+    rows = [(i, " ".join(own(20) + common + own(20) if i % 3 else own(60))) for i in range(600)]
+    search, folder = fm_dedup._search, str(tmp_path)
+
+    def watched(*args):
+        run = search(*args)
+
+        def inner(table):
+            if table.column("part")[0].as_py() >= 0:
+                places = sum(len(x.as_py()) for x in table.column("places")) // 12
+                with open(f"{folder}/{table.column('part')[0].as_py()}", "w") as f:
+                    f.write(str(places))
+            return run(table)
+        return inner
+
+    monkeypatch.setattr(fm_dedup, "_search", watched)
+    got = fm_dedup.remove_repeats(docs(*rows), keep_text=True).collect()
+    assert sorted((r.doc_id, r.n_words, r.n_removed, r.kept_sha256, r.text) for r in got) == brute_repeats(rows)
+    sizes = [int(p.read_text()) for p in tmp_path.iterdir()]
+    assert len(sizes) > 30 and max(sizes) < 2 * np.median(sizes)
+
+
 def test_repeats_of_empty_tables(docs, odd):
     assert fm_dedup.remove_repeats(docs(*odd).limit(0)).count() == 0
 
