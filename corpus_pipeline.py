@@ -26,13 +26,21 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The document with the smallest id of each group of near duplicates, and every document
-    that is like no other. Of repeated rows one stays; rows without id all stay."""
-    components = staged(trie_join.jaccard_components(docs), "components")
-    others = components.filter("doc_id <> component_id").select("doc_id").distinct()
-    left = docs.select(*COLUMNS).join(others, "doc_id", "left_anti")
-    copies = components.filter("doc_id = component_id").groupBy("doc_id").count().filter("count > 1").select("doc_id")
+    that is like no other. Of repeated rows one stays; rows without id all stay. Different texts
+    under one id are documents of their own: they are joined and removed by a 64-bit mark of id
+    and text, and of near duplicates under one id the one with the smallest mark stays."""
+    key = F.when(F.col("doc_id").isNotNull(), F.xxhash64("doc_id", "text"))
+    keyed = docs.select(*COLUMNS, key.alias("row_key"))
+    components = staged(trie_join.jaccard_components(keyed.select(F.col("row_key").alias("doc_id"), "text")), "components")
+    tied = components.filter("doc_id <> component_id").select(F.col("doc_id").alias("row_key"), "component_id")
+    members = tied.union(tied.select("component_id", "component_id")).distinct()
+    ids = members.join(keyed.select("row_key", "doc_id").distinct(), "row_key")
+    first = ids.groupBy("component_id").agg(F.min(F.struct("doc_id", "row_key")).alias("first")).select(F.col("first.row_key").alias("row_key"))
+    others = members.select("row_key").join(first, "row_key", "left_anti")
+    left = keyed.join(others, "row_key", "left_anti")
+    copies = components.filter("doc_id IS NOT NULL").groupBy("doc_id").count().filter("count > 1").select("doc_id")
     if copies.isEmpty():
-        return left
+        return left.select(*COLUMNS)
     first = Window.partitionBy("doc_id", "text").orderBy("source", "lang", "n_chars")
     return left.withColumn("copy", F.row_number().over(first)).filter("copy = 1 OR doc_id IS NULL").select(*COLUMNS)
 

@@ -80,3 +80,20 @@ def test_stages_take_odd_tables(spark, docs, odd):
     for name, stage in pipeline.STAGES:
         assert stage(spark, docs(*odd), SF).count() > 0
         assert stage(spark, docs(*odd).limit(0), SF).count() == 0
+
+
+def test_texts_under_one_id_stay_or_go_alone(spark, docs):
+    words = lambda n: [f"w{n}x{i}" for i in range(40)]
+    near = lambda n: " ".join([*words(n)[:-1], "else"])
+    text = lambda n: " ".join(words(n))
+    rows = [
+        (1, text(1)), (2, near(1)), (2, text(2)),   # only the near copy of id 1 goes
+        (3, text(3)), (3, near(3)),                 # near copies under one id: one stays
+        (4, text(4)), (4, text(4)),                 # a repeated row
+        (-5, near(6)), (6, text(6)),                # the smallest id stays
+        (None, text(7)), (None, text(7)), (8, None), (8, ""),
+    ]
+    got = [(r.doc_id, r.text) for r in pipeline.drop_near_duplicates(spark, docs(*rows), SF).collect()]
+    assert Counter(r for r in got if r[0] != 3) == Counter([
+        (1, text(1)), (2, text(2)), (4, text(4)), (-5, near(6)), (None, text(7)), (None, text(7)), (8, None), (8, "")])
+    assert len([r for r in got if r[0] == 3]) == 1
