@@ -15,9 +15,10 @@ How it is spread out:
    Documents that have too few of them to match anything end here.
 3. Equal sets collapse to one representative. Representatives that share a shingle among
    their first ones form neighbourhoods (connected components of a pruned graph).
-4. A neighbourhood is cut into blocks of bounded size and every pair of blocks is one task;
-   very large ones are first split by the shingles that tie them. A task returns a spanning
-   set of its links, never all pairs.
+4. A neighbourhood is cut into blocks of bounded size and every pair of blocks is one task.
+   Very large ones are first split by the shingles that tie them where that makes fewer copies
+   of their lists than all pairs of blocks; a family of edited copies, whose heads are alike,
+   is not. A task returns a spanning set of its links, never all pairs.
 5. Components of links and equal sets give the result.
 """
 
@@ -36,7 +37,7 @@ RANGE_SHINGLES = 2_000_000  # shingles of a hash range
 BATCH_BYTES = 3 << 20      # text that is packed at once
 HOT_SHARE, HOT_LEAST = 64, 48   # a shingle in 1/64 of a batch's documents (48 at least) is hot
 BLOCK_DOCS, BLOCK_SHINGLES = 1000, 2_000_000
-MOST_BLOCKS = 32            # neighbourhoods of more blocks are split by shingle first
+MOST_BLOCKS = 32            # neighbourhoods of more blocks are split by shingle if that is less work
 _U = np.uint64
 _HOT = 255                  # documents of a shingle are counted up to here
 
@@ -362,12 +363,18 @@ def _neighbourhoods(heads: DataFrame, lists: DataFrame) -> DataFrame:
     near = connected_components(met.filter("doc_id <> low").select(F.col("doc_id").alias("a"), F.col("low").alias("b")).distinct())
     members = lists.select("doc_id", (F.octet_length("shingles") / 8).alias("k")).join(near, F.col("doc_id") == F.col("id")).select("doc_id", "component", "k")
     blocks = F.greatest(F.ceil(F.count("*") / BLOCK_DOCS), F.ceil(F.sum("k") / BLOCK_SHINGLES)).cast("int").alias("blocks")
-    sizes = members.groupBy("component").agg(blocks)
-    plain = members.join(sizes.filter(F.col("blocks") <= MOST_BLOCKS), "component").select(
-        "doc_id", F.col("component").alias("area"), F.lit(0).cast("long").alias("by"), "blocks")
-    # too large to meet as a whole: only those that share a certain shingle meet
-    wide = met.join(members.join(sizes.filter(F.col("blocks") > MOST_BLOCKS), "component").select("doc_id", "component", "k"), "doc_id")
-    ties = wide.groupBy("component", "shingle").agg(blocks).withColumnRenamed("component", "c").withColumnRenamed("shingle", "s")
+    sizes = staged(members.groupBy("component").agg(blocks, F.count("*").alias("docs")), "neighbourhoods")
+    large = sizes.filter(F.col("blocks") > MOST_BLOCKS)
+    area = lambda rows: rows.select("doc_id", F.col("component").alias("area"), F.lit(0).cast("long").alias("by"), "blocks")
+    if large.isEmpty():
+        return area(members.join(sizes, "component"))
+    # only those that share a certain shingle meet, if each list is then copied less often
+    wide = met.join(members.join(large.select("component"), "component"), "doc_id")
+    ties = staged(wide.groupBy("component", "shingle").agg(blocks, F.count("*").alias("docs")), "ties")
+    copies = ties.groupBy("component").agg(F.sum(F.col("docs") * F.col("blocks")).alias("copies"))
+    apart = copies.join(large, "component").filter(F.col("copies") < F.col("docs") * F.col("blocks")).select("component")
+    plain = area(members.join(sizes.join(apart, "component", "left_anti"), "component"))
+    ties = ties.join(apart, "component").select(F.col("component").alias("c"), F.col("shingle").alias("s"), "blocks")
     split = wide.join(ties, (F.col("component") == F.col("c")) & (F.col("shingle") == F.col("s"))).select(
         "doc_id", F.col("component").alias("area"), F.col("shingle").alias("by"), "blocks")
     return plain.union(split)

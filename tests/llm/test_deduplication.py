@@ -75,6 +75,34 @@ def test_small_blocks_and_hot_shingles_give_the_same(docs, monkeypatch):
     assert found(trie_join.jaccard_components(docs(*rows))) == brute_components(rows)
 
 
+def test_a_wide_family_is_not_copied_by_every_shingle(docs, monkeypatch):
+    """Above MOST_BLOCKS a list is placed by shingle only where that makes fewer copies of it."""
+    for name, value in (("BLOCK_DOCS", 4), ("MOST_BLOCKS", 2)):
+        monkeypatch.setattr(trie_join, name, value)
+    placed, seen = trie_join._neighbourhoods, []
+
+    def watched(*args):
+        areas = placed(*args)
+        seen.extend(areas.collect())
+        return areas
+
+    monkeypatch.setattr(trie_join, "_neighbourhoods", watched)
+    rnd = random.Random(4)
+    base = [f"w{i}" for i in range(120)]
+    family = [(i, " ".join(base[:-1] + [f"x{i}"])) for i in range(40)]
+    # every pair of twelve passages: few shingles in a head, each in few texts
+    parts = [" ".join(f"p{i}x{j}" for j in range(12)) for i in range(12)]
+    pairs = [(i, j) for i in range(12) for j in range(i)]
+    tied = [(100 + k, f"{parts[i]} {parts[j]}") for k, (i, j) in enumerate(pairs)]
+    rows = family + tied
+    rnd.shuffle(rows)
+    assert found(trie_join.jaccard_components(docs(*rows))) == brute_components(rows)
+    assert {r.by for r in seen if r.doc_id < 100} == {0}
+    copies = sum(r.blocks for r in seen if r.doc_id < 100)
+    assert copies == 40 * 10
+    assert any(r.by != 0 for r in seen)
+
+
 def test_join_of_empty_tables(docs, odd):
     assert trie_join.jaccard_components(docs(*odd).limit(0)).count() == 0
     assert found(trie_join.jaccard_components(docs((1, None), (None, "x")))) == [(-1, 1, -1), (1, 0, 1)]
