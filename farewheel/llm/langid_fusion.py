@@ -1,12 +1,12 @@
 """Language identification by Bayesian fusion of evidence.
 
 Each page brings a text likelihood (hashed word beginnings under a multinomial model per
-language), the language its markup declares, the country ending of its address, and its host.
-Posterior over languages = host prior x declaration x ending x text, each factor a proper
-conditional distribution, so pieces of evidence that are missing or uninformative drop out.
+language), the language its markup declares, and its host. Posterior over languages = host
+prior x declaration x text, so pieces of evidence that are missing or uninformative drop out.
+The ending of the address is no factor of its own: it acts only as a level of the host prior,
+with little weight for a host or domain of many pages.
 
-The declaration and ending tables and the host priors are estimated from the pages
-themselves by grouped aggregation: pages are first judged by text alone; the soft counts per
+The declaration table and the host priors are estimated from the pages themselves by grouped aggregation: pages are first judged by text alone; the soft counts per
 host are smoothed towards the registered domain, the domain towards the ending, the ending
 towards all pages. Aggregates are sums with partial sums per task, so a host with a third of
 all pages costs one row per task.
