@@ -3,7 +3,7 @@ import pytest
 
 from farewheel.operators import clustering, exploration
 from farewheel.plans.registry import open_tables
-from conftest import SMALL
+from paths import SMALL
 
 MINUTES = [3.0, 61.5, 12.4, 12.4, 29.9, 45.0, 0.5, 90.0]
 

@@ -7,7 +7,7 @@ import duckdb
 import pytest
 from pyspark.sql import functions as F
 
-from conftest import SMALL
+from paths import SMALL
 from farewheel.functions import horizon
 from farewheel.functions.columns import ts
 from farewheel.functions.horizon import known_by

@@ -4,7 +4,7 @@ import pytest
 
 import __spark_entry__ as contract
 from compare import compare, connect
-from conftest import SMALL
+from paths import SMALL
 
 QUERIES, ORACLE = contract.queries(), contract.oracle_sql()
 

@@ -4,7 +4,7 @@ import os
 import subprocess
 import sys
 
-from conftest import ROOT, SMALL
+from paths import ROOT, SMALL
 
 SCRIPT = f"""
 import importlib.util, sys

@@ -2,7 +2,7 @@
 
 import pytest
 
-from conftest import SMALL
+from paths import SMALL
 from farewheel.plans.inspect import plan_shape
 from farewheel.plans.registry import TABLE_QUERIES
 from farewheel.sources.warehouse import open_tables

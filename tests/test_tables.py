@@ -6,7 +6,7 @@ from datetime import date
 import pytest
 from pyspark.sql import functions as F
 
-from conftest import SMALL
+from paths import SMALL
 from farewheel.functions.columns import rnd, seconds_between, whole_days_between
 from farewheel.operators import funnel, retention, segmentation
 from farewheel.sources import storage, trips

@@ -4,7 +4,7 @@ import shutil
 
 import pytest
 
-from conftest import SMALL
+from paths import SMALL
 from farewheel.sources import warehouse
 from farewheel.sources.storage import shared_dir
 
