@@ -1,7 +1,8 @@
 """Toxicity by non-negative positive-unlabelled learning.
 
-Confirmed toxic documents are the positives; all other training documents are unlabelled,
-whatever their labels say. A linear classifier over words and word beginnings is trained with
+Confirmed toxic documents are the positives; the unlabelled texts are a sample of all training
+documents, positives among them, whatever their labels say: the corrected risk takes the toxic
+share out of them and needs it to be there. A linear classifier over words and word beginnings is trained with
 numpy on the class-prior-corrected risk: prior * R+(P) + max(0, R-(U) - prior * R-(P)). When
 the corrected negative part falls below zero, the step goes back against it, which keeps the
 model from calling the unlabelled toxic texts clean.
@@ -17,13 +18,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
 from farewheel.llm.labelled import first_by_hash, held_out, training_labels
+from farewheel.llm.shipping import on_workers
 from farewheel.llm.words import hash_words, lower_ascii, slices, text_buffer
 
 POSITIVES, UNLABELLED = 3000, 9000   # training documents at most
 LEAST = 5            # positives that must hold a feature
-TIMES = 4.0          # how much commoner a feature must be among positives
+TIMES = 2.0          # how much commoner a feature must be among positives
 FEATURES = 50_000    # weights at most
-STEPS, RATE, RIDGE = 600, 0.05, 3e-4
+STEPS, RATE, RIDGE = 600, 0.05, 1.5e-4
 PREFIX = 4           # bytes of a word beginning
 THRESHOLD = 0.5
 _PREFIX_MARK = np.uint64(0xA24BAED4963EE407)
@@ -126,6 +128,7 @@ class PuModel:
         return 1 / (1 + np.exp(-(self.bias + total)))
 
 
+@on_workers
 def fit_toxicity(docs: DataFrame, labels: DataFrame, positives: int = POSITIVES, unlabelled: int = UNLABELLED) -> PuModel:
     """Train on the fold of ``labels`` that is not held out. The class prior is the share of
     toxic ones among all labels of that fold."""
@@ -133,7 +136,7 @@ def fit_toxicity(docs: DataFrame, labels: DataFrame, positives: int = POSITIVES,
     n, prior = toxic.agg(F.count("*"), F.avg("label")).first()
     pool = docs.select("doc_id").filter(F.col("doc_id").isNotNull() & ~held_out(F.col("doc_id")))
     sure = first_by_hash(toxic.filter("label = 1").select("doc_id"), positives).withColumn("positive", F.lit(True))
-    rest = first_by_hash(pool.join(toxic.filter("label = 1"), "doc_id", "left_anti"), unlabelled).withColumn("positive", F.lit(False))
+    rest = first_by_hash(pool, unlabelled).withColumn("positive", F.lit(False))
     chosen = F.broadcast(sure.unionByName(rest))  # at most positives + unlabelled rows
     rows = docs.select("doc_id", "text").join(chosen, "doc_id").select("positive", "text").mapInArrow(
         _distinct, "positive boolean, features binary").toArrow()
@@ -142,6 +145,7 @@ def fit_toxicity(docs: DataFrame, labels: DataFrame, positives: int = POSITIVES,
     return PuModel.fit([p for p, f in zip(parts, flags) if f], [p for p, f in zip(parts, flags) if not f], prior if n else 0.5)
 
 
+@on_workers
 def score_toxicity(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD, keep: tuple[str, ...] = ()) -> DataFrame:
     """doc_id, held_out, score, predicted for every row of ``docs``, and its columns ``keep``.
 

@@ -10,6 +10,7 @@ from farewheel.llm import langid_fusion, quality_gam, toxicity_pu
 from farewheel.llm.labelled import held_out
 
 SF = "/root/testdata/sf0.01"
+LARGE = "/root/testdata/sf0.1"
 
 
 def fold(doc_id):
@@ -72,6 +73,16 @@ def test_held_out_accuracy(spark, query, label, least):
     assert np.mean([r.predicted == r[label] for r in scored]) >= least
 
 
+def test_toxic_rows_are_found_and_clean_ones_kept(spark):
+    """Calling everything clean would be right in nine of ten held-out rows."""
+    from farewheel.llm.queries import QUERIES
+
+    scored = QUERIES["op2_toxicity_pu"](spark, LARGE).join(spark.read.parquet(f"{LARGE}/labels.parquet"), "doc_id")
+    counts = {(r.toxic, r.predicted): r["count"] for r in scored.filter("held_out AND toxic IS NOT NULL").groupBy("toxic", "predicted").count().collect()}
+    of = lambda label, predicted: counts.get((label, predicted), 0) / (counts.get((label, 0), 0) + counts.get((label, 1), 0))
+    assert of(1, 1) >= 0.9 and of(0, 0) >= 0.99
+
+
 def test_near_copies_count_once():
     rng = np.random.default_rng(3)
     one = rng.integers(0, 2**63, 400).astype(np.uint64)
