@@ -34,6 +34,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
+from farewheel.llm.shipping import on_workers
 from farewheel.llm.staging import parts_of
 from farewheel.llm.words import Words, _powers, _BASE, _INVERSE, give_back, hash_words, mix, ragged, slices, text_buffer, windows
 
@@ -487,6 +488,7 @@ def _cut(keep_text: bool, others: list[str], width: int):
     return run
 
 
+@on_workers
 def remove_repeats(docs: DataFrame, width: int = WIDTH, keep_text: bool = False, keep: tuple[str, ...] = ()) -> DataFrame:
     """doc_id, n_words, n_removed, kept_sha256 (and, if asked for, the kept text) per row, and
     the columns ``keep`` as they were.

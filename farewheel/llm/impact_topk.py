@@ -20,6 +20,8 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
+from farewheel.llm.shipping import on_workers
+
 SHARD_ROWS = 8192      # vectors of an index shard
 BLOCK_ROWS = 4096      # queries that visit a shard together
 AT_ONCE = 256          # queries whose accumulators are held at once
@@ -110,6 +112,7 @@ def _meet(k: int):
     return run
 
 
+@on_workers
 def top_k(vectors: DataFrame, queries: DataFrame, k: int = 5) -> DataFrame:
     """query_id, rank, vec_id, score: the ``k`` vectors with the largest inner product with
     each query, exact. Both sides have columns id (long) and v (array<long>).

@@ -18,6 +18,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
+from farewheel.llm.shipping import on_workers
 from farewheel.llm.staging import staged
 from farewheel.llm.words import hash_words, lower_ascii, slices, text_buffer
 
@@ -52,6 +53,7 @@ def _bucket_rows(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return words.rows(), (words.prefix % np.uint64(BUCKETS)).astype(np.int64)
 
 
+@on_workers
 def train_text_model(docs: DataFrame) -> tuple[list[str], np.ndarray, np.ndarray]:
     """Languages, log probability of each bucket per language, and language shares.
 
@@ -85,6 +87,7 @@ def train_text_model(docs: DataFrame) -> tuple[list[str], np.ndarray, np.ndarray
     return langs, np.log(counts / counts.sum(1, keepdims=True)) if langs else counts, texts / max(1.0, texts.sum())
 
 
+@on_workers
 def text_posterior(rows: DataFrame, model: tuple, text: str = "text") -> DataFrame:
     """``rows`` without ``text``, with ``likelihood``: per language the tempered log likelihood
     of the whole text, the best one 0. A text without words leaves all at 0."""
@@ -122,6 +125,7 @@ def _smoothed(counts: Column, parent: Column) -> Column:
     return F.zip_with(counts, parent, lambda c, p: (c + STRENGTH * p) / (total + STRENGTH))
 
 
+@on_workers
 def identify(pages: DataFrame, docs: DataFrame) -> DataFrame:
     """page_id, lang, probability, text_lang, declared, host, one row per row of ``pages``.
 

@@ -20,6 +20,7 @@ import pyarrow as pa
 from pyspark.ml.feature import Bucketizer
 from pyspark.sql import DataFrame, Window, functions as F
 
+from farewheel.llm.shipping import on_workers
 from farewheel.llm.staging import parts_of
 from farewheel.llm.words import mix, slices
 
@@ -204,6 +205,7 @@ def _versions(batches):
         yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds)], names)
 
 
+@on_workers
 def fingerprint_versions(docs: DataFrame) -> DataFrame:
     """Each whole text's fingerprint, that of its edited version, and how alike they are.
 
@@ -219,6 +221,7 @@ def fingerprint_versions(docs: DataFrame) -> DataFrame:
     )
 
 
+@on_workers
 def fingerprints(docs: DataFrame, cells: int = CELLS) -> DataFrame:
     """doc_id and the fingerprint of every whole text; null is empty."""
     def run(batches):

@@ -22,6 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
 from farewheel.llm.labelled import first_by_hash, held_out, training_labels
+from farewheel.llm.shipping import on_workers
 from farewheel.llm.staging import staged
 from farewheel.llm.words import slices
 
@@ -174,6 +175,7 @@ class AdditiveModel:
         return 1 / (1 + np.exp(-logit))
 
 
+@on_workers
 def measured(docs: DataFrame) -> DataFrame:
     """doc_id and the numbers of every whole text, written once."""
     return staged(docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(_measured, "doc_id long, measures array<double>"), "measures")

@@ -23,6 +23,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
+from farewheel.llm.shipping import on_workers
 from farewheel.llm.words import TokenMemory, hash_pieces, ragged, slices
 
 SHORT, LONG = 32, 256
@@ -262,6 +263,7 @@ def _encoded(path: str, column: str, keep: list[str], digests: bool, with_ids: b
     return run
 
 
+@on_workers
 def bpe_encode(docs: DataFrame, tokenizer: str, text: str = "text", keep: tuple[str, ...] = ("doc_id",), digests: bool = False, with_ids: bool = False) -> DataFrame:
     """Token ids (little-endian unsigned 32-bit) and decoded text of every whole text.
 
@@ -276,6 +278,7 @@ def bpe_encode(docs: DataFrame, tokenizer: str, text: str = "text", keep: tuple[
         _encoded(tokenizer, "_text", list(keep), digests, with_ids), f"{schema}, {DIGESTS if digests else SCHEMA}" + (", ids binary" if digests and with_ids else ""))
 
 
+@on_workers
 def bpe_decode(encoded: DataFrame, tokenizer: str, ids: str = "ids", keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
     """Text of each row of little-endian unsigned 32-bit ids; null ids decode to an empty string."""
     def run(batches):

@@ -23,6 +23,7 @@ import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window, functions as F
 
+from farewheel.llm.shipping import on_workers
 from farewheel.llm.staging import parts_of
 from farewheel.llm.words import TokenMemory, hash_pieces, slices
 from farewheel.sources.storage import scratch_dir
@@ -190,6 +191,7 @@ def _write(tokenizer: str, end_id: int | None, bits: bool, file_ids: int):
     return run
 
 
+@on_workers
 def write_ids(docs: DataFrame, tokenizer: str, path: str, end_id: int | None = None, bits: bool = False, file_ids: int = FILE_IDS) -> None:
     """Encode every whole text in ascending doc_id order and write the files to ``path``.
 
@@ -228,11 +230,13 @@ def _ids(batches):
                 ], ["doc_id", "ids"])
 
 
+@on_workers
 def read_ids(files: DataFrame) -> DataFrame:
     """The ids of every document, from files that ``write_ids`` wrote."""
     return files.select("payload").mapInArrow(_ids, "doc_id long, ids array<long>")
 
 
+@on_workers
 def read_positions(files: DataFrame) -> DataFrame:
     """Per document its first position in the whole sequence, its length and the CRC-32 of its
     ids as little-endian unsigned 32-bit integers. Ids before a file are summed over the

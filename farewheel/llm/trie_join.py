@@ -29,6 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
 from farewheel.llm.components import connected_components
+from farewheel.llm.shipping import on_workers
 from farewheel.llm.staging import shuffle_parts, staged
 from farewheel.llm.words import give_back, hash_words, lower_ascii, mix, slices, text_buffer, windows
 
@@ -380,6 +381,7 @@ def _neighbourhoods(heads: DataFrame, lists: DataFrame) -> DataFrame:
     return plain.union(split)
 
 
+@on_workers
 def jaccard_components(docs: DataFrame) -> DataFrame:
     """doc_id, n_shingles and component_id for every row of ``docs``.
 
