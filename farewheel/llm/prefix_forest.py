@@ -276,7 +276,7 @@ def rollup(nodes: DataFrame, paths: DataFrame, most: int = TASK_NODES) -> DataFr
             F.when(F.col("inside"), F.col("child")).otherwise(F.col("component")).alias("component")), "split")
     pieces = None
     for part in small:
-        pieces = part if pieces is None else pieces.union(part)
+        pieces = part if pieces is None else pieces.unionByName(part)
     pieces = staged(pieces, "small_components")
     count = pieces.select("component", "n").distinct().agg(F.sum("n")).first()[0] or 0
     bins = max(1, -(-count // most))
