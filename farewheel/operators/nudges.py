@@ -56,7 +56,30 @@ def nudge_eligibility(
         "user_id", "rides_30d", money(F.col("cents")).alias("spend_30d"),
         zero("impressions").alias("impressions"), zero("dismissals").alias("dismissals"),
         reason.isNull().alias("eligible"), reason.alias("suppressed_by"),
-    ).orderBy("user_id")
+    )
+
+
+# Where a nudge goes.
+IN_APP, RECEIPT = "in_app", "email_receipt"
+
+
+@until_as_of
+def nudge_channels(
+    rides: DataFrame, events: DataFrame, p: Params = DEFAULTS, lookback: int = 30, dismissed: str = DISMISSED, test_salt: str = ""
+) -> DataFrame:
+    """Recent casual riders with the channel that may address them and their arm of the test.
+
+    Eligible riders are nudged in the app. Who has dismissed the nudge for good gets the other
+    call to action in the receipt of a ride, unless they are members. Riders keep the arm they
+    were first seen in; new ones are dealt by a hash of ``test_salt`` and their id.
+    """
+    arm = events.filter(F.col("nudge_variant").isNotNull()).groupBy("user_id").agg(
+        F.min(F.struct("event_at", "nudge_variant"))["nudge_variant"].alias("known"))
+    dealt = F.conv(F.substring(F.md5(F.concat(F.lit(test_salt), F.col("user_id").cast("string")).cast("binary")), 1, 8), 16, 10).cast("long") % 2
+    channel = F.when(F.col("eligible"), IN_APP).when(F.col("suppressed_by") == "dismissed", RECEIPT)
+    return nudge_eligibility(rides, events, p, lookback, dismissed).join(arm, "user_id", "left").select(
+        "user_id", "rides_30d", "spend_30d", "dismissals", channel.alias("channel"),
+        F.coalesce("known", F.when(dealt == 0, "control").otherwise("treatment")).alias("ab_variant"))
 
 
 # Message texts of the nudge.
@@ -90,7 +113,7 @@ def nudge_message(
         rnd(F.lit(fee / 12), 2).alias("membership_per_month"),
         F.when(remaining.isNotNull(), F.greatest(remaining, F.lit(0))).alias("rides_to_breakeven"),
         text.alias("message"),
-    ).orderBy("user_id")
+    )
 
 
 @until_as_of
@@ -117,7 +140,7 @@ def breakeven_calculator(
         F.ceil(ratio(F.lit(fee), F.col("cost") * per_week)).alias("payback_weeks"),
         rnd((yearly - fee) / 12.0, 2).alias("monthly_savings"),
         rnd(yearly - fee, 2).alias("annual_savings"),
-    ).orderBy("user_id", "rides_per_week")
+    )
 
 
 @until_as_of
@@ -160,4 +183,4 @@ def weekday_credit_balance(
     start = F.struct(F.lit(0).cast("long").alias("carry"), empty.alias("rows"))
     return per_rider.select(
         "user_id", F.inline(F.aggregate(months, start, step, lambda acc: acc["rows"]))
-    ).orderBy("user_id", "month")
+    )

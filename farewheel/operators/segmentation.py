@@ -27,16 +27,11 @@ def days_since(last: Column, p: Params) -> Column:
     return F.datediff(day(p.as_of), F.to_date(last)).cast("long")
 
 
-def rider_profiles(rides: DataFrame, p: Params, lookback: int) -> DataFrame:
-    """Trailing behaviour per casual rider in one shuffle.
-
-    Active months are collected as bits of one integer, so the distinct count needs
-    no second aggregation level. Shares and means are rounded here because the rules
-    compare the rounded values.
-    """
-    casual = since(rides, "started_at", p.days_ago(lookback)).filter(F.col("user_type") == CASUAL)
+def behaviour_sums(casual: DataFrame, *more: Column) -> DataFrame:
+    """Sums per rider that profiles are made of; all can be added and subtracted. ``more`` are
+    further aggregates of the same pass."""
     started = F.col("started_at")
-    sums = casual.groupBy("user_id").agg(
+    return casual.groupBy("user_id").agg(
         F.count(F.lit(1)).alias("total_rides"),
         F.sum(millis(F.col("duration_min"))).alias("millis"),
         F.count("duration_min").alias("timed"),
@@ -45,9 +40,20 @@ def rider_profiles(rides: DataFrame, p: Params, lookback: int) -> DataFrame:
         F.sum(flag(is_weekend(started))).alias("weekend"),
         F.sum(flag(is_commute(started))).alias("commute"),
         F.sum(flag(F.col("bike_type") == EBIKE)).alias("ebike"),
-        F.bit_count(F.bit_or(F.expr("shiftleft(1, month(started_at))"))).cast("long").alias("distinct_months_active"),
-        F.max("started_at").alias("last_ride_at"),
+        *more,
     )
+
+
+def _patterns() -> tuple[Column, Column]:
+    """What no sum tells: active months, as bits of one integer, so that the distinct count
+    needs no second aggregation level; and the last ride."""
+    months = F.bit_count(F.bit_or(F.expr("shiftleft(1, month(started_at))"))).cast("long")
+    return months.alias("distinct_months_active"), F.max("started_at").alias("last_ride_at")
+
+
+def profiles_of(sums: DataFrame, p: Params) -> DataFrame:
+    """Profiles from sums. Shares and means are rounded here because the rules compare the
+    rounded values."""
     n = F.col("total_rides")
     return sums.select(
         "user_id", "total_rides",
@@ -58,11 +64,18 @@ def rider_profiles(rides: DataFrame, p: Params, lookback: int) -> DataFrame:
         rnd(ratio(F.col("commute"), n), 3).alias("pct_commute_hours"),
         rnd(ratio(F.col("ebike"), n), 3).alias("pct_ebike"),
         "distinct_months_active",
-        days_since(F.col("last_ride_at"), p).alias("days_since_last_ride"),
+        "days_since_last_ride",
         rnd(money(F.col("cents")) / p.pricing.annual_fee, 3).alias("spend_to_membership_ratio"),
     )
 
 
+def rider_profiles(rides: DataFrame, p: Params, lookback: int) -> DataFrame:
+    """Trailing behaviour per casual rider in one shuffle."""
+    casual = since(rides, "started_at", p.days_ago(lookback)).filter(F.col("user_type") == CASUAL)
+    sums = behaviour_sums(casual, *_patterns())
+    return profiles_of(sums.withColumn("days_since_last_ride", days_since(F.col("last_ride_at"), p)), p)
+
+
 def persona_rule() -> Column:
     """First matching rule wins; e-bike preference comes before the other habits."""
     return (
@@ -79,6 +92,10 @@ def persona_rule() -> Column:
 def score_riders(rides: DataFrame, p: Params = DEFAULTS, lookback: int = 60) -> DataFrame:
     """Persona and conversion score of every rider with at least three rides, unsorted
     as the nightly job writes it."""
+    return score_profiles(rider_profiles(rides, p, lookback))
+
+
+def score_profiles(profiles: DataFrame) -> DataFrame:
     frequency = F.when(F.col("total_rides") >= 8, 0.20).otherwise(F.col("total_rides") * 0.025)
     recency = F.when(F.col("days_since_last_ride") <= 7, 0.10).otherwise(0.0)
     score = (
@@ -88,8 +105,7 @@ def score_riders(rides: DataFrame, p: Params = DEFAULTS, lookback: int = 60) ->
         + recency
     )
     return (
-        rider_profiles(rides, p, lookback)
-        .withColumn("persona_segment", persona_rule())
+        profiles.withColumn("persona_segment", persona_rule())
         .withColumn("conversion_priority_score", rnd(score, 3))
         .filter(F.col("persona_segment") != TOO_FEW)
     )

@@ -4,6 +4,6 @@ The statements join and count rows directly and share no logic with the operator
 reduce both sides before they join.
 """
 
-from farewheel.oracle.queries import oracle_queries
+from farewheel.oracle.upkeep import oracle_queries
 
 __all__ = ["oracle_queries"]

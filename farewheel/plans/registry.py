@@ -4,20 +4,23 @@ from __future__ import annotations
 
 import functools
 from collections.abc import Callable
-from datetime import datetime
+from dataclasses import replace
+from datetime import datetime, timedelta
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from farewheel.model import Tables
+from farewheel.functions.columns import since, ts
 from farewheel.operators import (
-    clustering, economics, experiments, exploration, funnel, growth, nudges, retention,
-    segmentation, telemetry,
+    attribution, clustering, delivery, economics, experiments, exploration, funnel, growth, incremental, nudges, ordered, retention,
+    segmentation, sketches, telemetry,
 )
-from farewheel.params import DEFAULTS, SIGNUP_STARTED
+from farewheel.params import DEFAULTS, SIGNUP_STARTED, Params
 from farewheel.sources import storage, trips
 from farewheel.sources.storage import scratch_dir
+from farewheel.sources.versioned import VersionedTable
 from farewheel.sources.warehouse import open_tables, source_table, tables_root
-from farewheel.streaming import events as live_events, nudges as live_nudges, runtime
+from farewheel.streaming import events as live_events, late, latency, nudges as live_nudges, runtime
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -45,6 +48,7 @@ TABLE_QUERIES: dict[str, Callable[[Tables], DataFrame]] = {
         t.rides, t.users, t.membership_events, grain_safe=True),
     "funnel_by_channel_variant": lambda t: funnel.funnel_by_channel_variant(t.membership_events),
     "signup_step_dropoff": lambda t: funnel.signup_step_dropoff(t.membership_events),
+    "ordered_signup_funnel": lambda t: ordered.ordered_signup_funnel(t.membership_events),
     "signup_step_dropoff_grain_safe": lambda t: funnel.signup_step_dropoff(t.membership_events, grain_safe=True),
     "time_to_convert": lambda t: funnel.time_to_convert(t.users, t.membership_events, t.rides),
     # retention
@@ -100,6 +104,7 @@ TABLE_QUERIES: dict[str, Callable[[Tables], DataFrame]] = {
     "ctr_by_surface": lambda t: growth.ctr_by_surface(t.membership_events),
     "step_completion": lambda t: growth.step_completion(t.membership_events),
     "conversion_by_persona": lambda t: growth.conversion_by_persona(t.rides, t.users, t.membership_events),
+    "conversion_by_last_touch": lambda t: attribution.conversion_by_last_touch(t.membership_events),
     "active_members": lambda t: growth.active_members(t.rides, t.users, t.membership_events),
     "renewal_rate": lambda t: growth.renewal_rate(t.membership_events),
     "post_conversion_rides_90d": lambda t: growth.post_conversion_rides_90d(
@@ -109,6 +114,8 @@ TABLE_QUERIES: dict[str, Callable[[Tables], DataFrame]] = {
     # nudges; the tables hold no dismissals, so abandoned sign-ups stand for them
     "nudge_eligibility": lambda t: nudges.nudge_eligibility(
         t.rides, t.membership_events, dismissed="signup_abandoned"),
+    "nudge_channels": lambda t: nudges.nudge_channels(
+        t.rides, t.membership_events, dismissed="signup_abandoned"),
     "nudge_message": lambda t: nudges.nudge_message(t.rides, t.membership_events),
     "breakeven_calculator": lambda t: nudges.breakeven_calculator(t.rides),
     "weekday_credit_balance": lambda t: nudges.weekday_credit_balance(t.rides, t.membership_events),
@@ -164,6 +171,174 @@ def funnel_feed(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(path).filter(f"run_date = DATE'{run}'")
 
 
+# Days that the nightly run adds to the stored sketches of all days before.
+NIGHTLY_DAYS = 7
+
+
+def _sketch_runs(spark: SparkSession, name: str, before: DataFrame, nightly: DataFrame) -> DataFrame:
+    """Day sketches as two runs have stored them: the backfill and a later run."""
+    path = scratch_dir(spark, name)
+    cut = DEFAULTS.days_ago(NIGHTLY_DAYS)
+    storage.write_run(before, "run_date", str(cut), path)
+    storage.write_run(nightly, "run_date", str(DEFAULTS.as_of), path)
+    return spark.read.schema(before.schema).parquet(path)
+
+
+def _split(rows: DataFrame, time_column: str) -> tuple[DataFrame, DataFrame]:
+    cut = DEFAULTS.days_ago(NIGHTLY_DAYS)
+    return rows.filter(F.col(time_column) < ts(cut)), since(rows, time_column, cut)
+
+
+def funnel_reach_sketched(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Distinct riders of 30 and 90 days from stored day sketches."""
+    runs = [sketches.step_sketches(part) for part in _split(open_tables(spark, sf_dir).membership_events, "event_at")]
+    return sketches.funnel_reach(_sketch_runs(spark, "step_sketches", *runs))
+
+
+def time_to_convert_sketched(spark: SparkSession, sf_dir: str) -> DataFrame:
+    tables, cut = open_tables(spark, sf_dir), DEFAULTS.days_ago(NIGHTLY_DAYS)
+    days = sketches.conversion_sketches(tables.users, tables.membership_events, tables.rides)
+    border = F.lit(str(cut)).cast("date")
+    return sketches.conversion_quantiles(
+        _sketch_runs(spark, "conversion_sketches", days.filter(F.col("day") < border), days.filter(F.col("day") >= border)))
+
+
+def _ride_sketches(spark: SparkSession, sf_dir: str) -> DataFrame:
+    runs = [sketches.ride_sketches(part) for part in _split(open_tables(spark, sf_dir).rides, "started_at")]
+    return _sketch_runs(spark, "ride_sketches", *runs)
+
+
+def ride_quantiles_sketched(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sketches.ride_quantiles(_ride_sketches(spark, sf_dir))
+
+
+def ride_quantile_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sketches.ride_quantile_audit(_ride_sketches(spark, sf_dir), open_tables(spark, sf_dir).rides)
+
+
+def _night(days_before: int) -> Params:
+    return replace(DEFAULTS, as_of=DEFAULTS.days_ago(days_before))
+
+
+def persona_upsert(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The users table after two nightly classifications, the second of them run twice. Riders
+    whom a night does not classify keep what they had."""
+    tables = open_tables(spark, sf_dir)
+    users = VersionedTable.create(
+        tables.users.select("user_id", "first_ride_at", "persona_segment"), scratch_dir(spark, "users"), "user_id", "source")
+    for p in (_night(1), _night(0), _night(0)):
+        found = segmentation.score_riders(tables.rides, p).select("user_id", "persona_segment")
+        users.upsert(found, str(p.as_of), insert=False)
+    return users.read()
+
+
+def incremental_profiles(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Scored riders from a state that was built three nights ago and advanced night by night."""
+    rides = open_tables(spark, sf_dir).rides
+    state = incremental.start_profiles(rides, scratch_dir(spark, "profile_state"), _night(3))
+    for days_before in (2, 1, 0):
+        incremental.advance_profiles(state, rides, _night(days_before))
+    return segmentation.score_profiles(incremental.profiles_from_state(state.read()))
+
+
+def event_delivery_rate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The stored events as a client with losses delivers them: some numbers never arrive, some
+    events come twice."""
+    events = source_table(spark, sf_dir, "events")
+    arrived = events.filter("event_id % 131 NOT BETWEEN 50 AND 52 AND event_id % 211 <> 0")
+    return delivery.delivery_rate(arrived.union(arrived.filter("event_id % 7 = 0")))
+
+
+# Days of arrivals that reach the streams together.
+DAYS_PER_BATCH = 6
+
+
+def deliveries(events: DataFrame) -> DataFrame:
+    """The stored events in the batches in which they arrive: hours late by their number, every
+    fifth once more a day and two hours later."""
+    hours = F.expr("CASE event_id % 10 WHEN 7 THEN 20 WHEN 8 THEN 30 WHEN 9 THEN 120 ELSE event_id % 4 END")
+    again = events.filter("event_id % 5 = 0").withColumn("hours", hours + 26)
+    arrival = F.col("ts") + F.make_dt_interval(F.lit(0), F.col("hours"))
+    day_no = F.datediff(F.to_date(arrival), F.lit("2024-01-01").cast("date"))
+    return events.withColumn("hours", hours).union(again).withColumn("arrives", F.floor(day_no / DAYS_PER_BATCH).cast("int")).drop("hours")
+
+
+def _admitted(spark: SparkSession, sf_dir: str) -> tuple[str, DataFrame]:
+    """Deliveries through the admission: one micro-batch each, with a stop after every one."""
+    root = scratch_dir(spark, "streams/admission")
+    arriving = deliveries(source_table(spark, sf_dir, "events"))
+    numbers = sorted(r.arrives for r in arriving.select("arrives").distinct().collect())  # one per DAYS_PER_BATCH days
+    for number in numbers:
+        arriving.filter(F.col("arrives") == number).drop("arrives").write.mode("append").parquet(f"{root}/feed")
+        feed = live_events.funnel_events(runtime.stream_files(spark, f"{root}/feed"))
+        late.admit(feed, f"{root}/judged", f"{root}/checkpoint")
+    return f"{root}/judged", live_events.funnel_events(source_table(spark, sf_dir, "events"))
+
+
+def late_events(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Events that came more than a day behind the newest one of the batches before."""
+    path, like = _admitted(spark, sf_dir)
+    behind = late.judged_rows(spark, path, like.schema, late=True)
+    return behind.groupBy(runtime.event_day("event_at").alias("event_day"), "event_type").agg(
+        F.count("*").alias("late_events"), F.max(F.floor("hours_behind")).cast("long").alias("most_hours_behind"))
+
+
+def _behind_admission(spark: SparkSession, sf_dir: str, operator: Callable[..., DataFrame], name: str) -> DataFrame:
+    """What a stream makes of the admitted rows, read in several micro-batches to the very end."""
+    path, like = _admitted(spark, sf_dir)
+    lateness = late.downstream_lateness(spark, path)
+    last = like.agg(F.max("event_at").alias("event_at")).withColumns({
+        "event_type": F.lit(SIGNUP_STARTED), "event_at": F.col("event_at") + F.expr("INTERVAL '62' DAY")})
+    closing = like.limit(0).unionByName(last, allowMissingColumns=True)
+    rows = lambda: late.admitted_stream(spark, path, like.schema, max_files_per_trigger=12)
+    return runtime.replay(spark, lambda end: operator(rows().unionByName(end), lateness=lateness), closing, name)
+
+
+def stream_funnel_admitted(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _behind_admission(spark, sf_dir, live_events.stream_funnel, "funnel_admitted")
+
+
+def stream_sessions_admitted(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _behind_admission(spark, sf_dir, live_events.stream_signup_sessions, "sessions_admitted")
+
+
+def stream_dedup_admitted(spark: SparkSession, sf_dir: str) -> DataFrame:
+    once = _behind_admission(spark, sf_dir, live_events.stream_event_dedup, "dedup_admitted")
+    return once.filter("event_id IS NOT NULL")  # without the closing row
+
+
+LATENCY_BATCHES = 6
+
+
+def stream_nudge_latency(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Rides and nudges as two streams that arrive in stretches of the history, joined, and the
+    rides counted by how soon their nudge came. The tables hold no times of display, so a nudge
+    is taken to be shown up to 700 seconds after its ride, by its number."""
+    tables, root = open_tables(spark, sf_dir), scratch_dir(spark, "streams/latency")
+    rides = tables.rides.select("user_id", "ride_id", "user_type", "ended_at")
+    delay = F.pmod(F.split("event_id", "-")[2].cast("long") * 13, F.lit(700))
+    events = tables.membership_events.select(
+        "user_id", "event_type", (F.col("event_at") + F.make_dt_interval(F.lit(0), F.lit(0), F.lit(0), delay.cast("decimal(18,6)"))).alias("event_at"))
+    first, last = rides.agg(F.min("ended_at"), F.max("ended_at")).first()
+    if first is None:
+        first = last = datetime(1970, 1, 1)
+    span = (last - first) / LATENCY_BATCHES + timedelta(days=1)
+    end = last + timedelta(days=30)
+    for i in range(LATENCY_BATCHES + 1):
+        start, stop = first + i * span, first + (i + 1) * span
+        closing = i == LATENCY_BATCHES
+        mark = lambda schema, **v: spark.createDataFrame([tuple(v.get(f.name) for f in schema)], schema)
+        stretch = lambda df, t: df.filter((F.col(t) >= F.lit(start)) & (F.col(t) < F.lit(stop)))  # noqa: E731, B023
+        part = mark(rides.schema, user_id=-1, ride_id="end", user_type="Casual Member", ended_at=end) if closing else stretch(rides, "ended_at")
+        shown = mark(events.schema, user_id=-2, event_type="cta_shown", event_at=end) if closing else stretch(events, "event_at")
+        part.write.mode("append").parquet(f"{root}/rides")
+        shown.write.mode("append").parquet(f"{root}/nudges")
+        pairs = latency.stream_nudge_latency(runtime.stream_files(spark, f"{root}/rides"), runtime.stream_files(spark, f"{root}/nudges"))
+        runtime.run_available(pairs, f"{root}/table", f"{root}/checkpoint")
+    firsts = latency.first_nudges(spark.read.schema(pairs.schema).parquet(f"{root}/table").filter("user_id >= 0"))
+    return firsts.groupBy("latency_class").agg(F.count("*").alias("rides"), F.max("latency_seconds").alias("longest_seconds"))
+
+
 def _event_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
     return live_events.funnel_events(runtime.stream_files(spark, sf_dir, "events*.parquet"))
 
@@ -225,6 +400,18 @@ JOB_QUERIES: dict[str, Query] = {
     "persona_writeback": persona_writeback,
     "persona_funnel_after_writeback": persona_funnel_after_writeback,
     "funnel_feed": funnel_feed,
+    "funnel_reach_sketched": funnel_reach_sketched,
+    "time_to_convert_sketched": time_to_convert_sketched,
+    "ride_quantiles_sketched": ride_quantiles_sketched,
+    "ride_quantile_audit": ride_quantile_audit,
+    "persona_upsert": persona_upsert,
+    "incremental_profiles": incremental_profiles,
+    "event_delivery_rate": event_delivery_rate,
+    "late_events": late_events,
+    "stream_funnel_admitted": stream_funnel_admitted,
+    "stream_sessions_admitted": stream_sessions_admitted,
+    "stream_dedup_admitted": stream_dedup_admitted,
+    "stream_nudge_latency": stream_nudge_latency,
     "stream_funnel": stream_funnel,
     "stream_signup_sessions": stream_signup_sessions,
     "stream_event_dedup": stream_event_dedup,

@@ -9,7 +9,7 @@ from farewheel.operators.profiles import is_event
 from farewheel.params import (
     CTA_CLICKED, CTA_SHOWN, SIGNUP_ABANDONED, SIGNUP_COMPLETED, SIGNUP_STARTED, STEP_COMPLETED,
 )
-from farewheel.streaming.runtime import LATENESS, utc_as_wall_clock, wall_clock_as_utc
+from farewheel.streaming.runtime import LATENESS, event_day, utc_as_wall_clock, wall_clock_as_utc
 
 # Activity name in the event table -> event type of the funnel.
 ACTIVITY = {
@@ -39,7 +39,7 @@ def stream_funnel(events: DataFrame, lateness: str = LATENESS) -> DataFrame:
     kept and these are counted. Two events of one day are less than a day apart, hence
     with a lateness of a day the first one is always still remembered.
     """
-    day_start = F.date_from_unix_date(F.floor(F.unix_seconds("event_at") / 86400).cast("int"))
+    day_start = event_day("event_at")
     return (
         events.withWatermark("event_at", lateness)
         .withColumn("event_day", day_start)

@@ -45,6 +45,11 @@ def utc_as_wall_clock(when: Column) -> Column:
     )
 
 
+def event_day(when: str) -> Column:
+    """Calendar day of a wall clock that was read as UTC, in every session time zone."""
+    return F.date_from_unix_date(F.floor(F.unix_seconds(when) / 86400).cast("int"))
+
+
 def start(
     df: DataFrame, path: str, checkpoint: str, **trigger: str | bool
 ) -> StreamingQuery:
