@@ -328,7 +328,7 @@ def stream_nudge_latency(spark: SparkSession, sf_dir: str) -> DataFrame:
         start, stop = first + i * span, first + (i + 1) * span
         closing = i == LATENCY_BATCHES
         mark = lambda schema, **v: spark.createDataFrame([tuple(v.get(f.name) for f in schema)], schema)
-        stretch = lambda df, t: df.filter((F.col(t) >= F.lit(start)) & (F.col(t) < F.lit(stop)))  # noqa: E731, B023
+        stretch = lambda df, t: df.filter((F.col(t) >= ts(start)) & (F.col(t) < ts(stop)))  # noqa: E731, B023
         part = mark(rides.schema, user_id=-1, ride_id="end", user_type="Casual Member", ended_at=end) if closing else stretch(rides, "ended_at")
         shown = mark(events.schema, user_id=-2, event_type="cta_shown", event_at=end) if closing else stretch(events, "event_at")
         part.write.mode("append").parquet(f"{root}/rides")
