@@ -135,13 +135,13 @@ def furthest_steps(events: DataFrame, limits: Sequence[int] = LIMITS, rows_per_t
 @until_as_of
 def ordered_signup_funnel(events: DataFrame, p: Params = DEFAULTS, limits: Sequence[int] = LIMITS, rows_per_task: int = ROWS_PER_TASK // 100) -> DataFrame:
     """Riders who reached each step in order and in time, beside those who reached it at all."""
-    furthest = furthest_steps(events, limits, rows_per_task).groupBy("furthest").agg(F.count("*").alias("riders"))
-    reached = furthest.agg(*[F.coalesce(F.sum(F.when(F.col("furthest") >= i, F.col("riders"))), F.lit(0)).alias(f"in_order_{i}") for i in range(1, len(STEPS) + 1)])
     flags = events.filter(F.col("user_id").isNotNull()).groupBy("user_id").agg(*[F.max(flag(is_event(s))).alias(s) for s in STEPS])
-    any_ = flags.agg(*[F.coalesce(F.sum(s), F.lit(0)).alias(f"any_{i}") for i, s in enumerate(STEPS, 1)])
-    # one row each
-    both = reached.crossJoin(any_)
+    riders = flags.join(furthest_steps(events, limits, rows_per_task), "user_id", "left")
+    count = lambda c: F.coalesce(F.sum(c), F.lit(0))
+    totals = riders.agg(
+        *[count(flag(F.col("furthest") >= i)).alias(f"in_order_{i}") for i in range(1, len(STEPS) + 1)],
+        *[count(s).alias(f"any_{i}") for i, s in enumerate(STEPS, 1)])
     rows = [F.struct(
         F.lit(i).cast("long").alias("step_no"), F.lit(s).alias("step"), F.col(f"in_order_{i}").alias("riders_in_order"), F.col(f"any_{i}").alias("riders_any_order"),
         rnd(ratio(F.col(f"in_order_{i}"), F.col(f"in_order_{max(1, i - 1)}")), 4).alias("share_of_step_before")) for i, s in enumerate(STEPS, 1)]
-    return both.select(F.inline(F.array(*rows)))
+    return totals.select(F.inline(F.array(*rows)))
