@@ -95,7 +95,7 @@ class FmIndex:
         n = len(sequences) + len(size)
         text = np.zeros(n, np.int64)  # every sequence ends with 0
         text[ragged(offsets[:-1] + np.arange(len(size)), size)] = sequences
-        self.owner = np.repeat(np.arange(len(size)), size + 1)
+        self.owner = np.repeat(np.arange(len(size), dtype=np.int32), size + 1)
         # rank of each suffix by its first 1, 2, 4, ... and at last ``limit`` words
         rank, have = text, 1
         while have < limit:
@@ -103,15 +103,18 @@ class FmIndex:
             after = np.concatenate([rank[step:], np.zeros(step, np.int64)])
             _, rank = np.unique(rank * (int(rank.max()) + 1) + after, return_inverse=True)
             have += step
-        self.suffixes = np.argsort(rank, kind="stable")
+        self.suffixes = np.argsort(rank, kind="stable").astype(np.int32)
         last = text[self.suffixes - 1]  # the word before each suffix
         self.tree = WaveletTree(last, alphabet)
         self.below = np.concatenate([[0], np.cumsum(np.bincount(text, minlength=alphabet))])
         self.limit = limit
 
-    def matching_statistics(self, words: np.ndarray, begin: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    def matching_statistics(
+        self, words: np.ndarray, begin: np.ndarray, end: np.ndarray, occurrences: int = 1
+    ) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Of each end place, the longest match that ends before it, not longer than the limit
-        and not reaching before ``begin``; and the interval of its occurrences."""
+        and not reaching before ``begin``; and the interval of its occurrences. Matches are
+        extended as long as they occur at least ``occurrences`` times."""
         n = len(end)
         length, low, high = np.zeros(n, np.int64), np.zeros(n, np.int64), np.full(n, len(self.suffixes))
         live = np.flatnonzero(end > begin)
@@ -123,7 +126,7 @@ class FmIndex:
                 lo, hi = self.below[symbol] + ranks[:len(live)], self.below[symbol] + ranks[len(live):]
             else:
                 lo, hi = self.below[symbol], self.below[symbol + 1]
-            found = hi > lo
+            found = hi - lo >= occurrences
             live, lo, hi = live[found], lo[found], hi[found]
             length[live], low[live], high[live] = step + 1, lo, hi
             more = end[live] - begin[live] > step + 1
@@ -301,17 +304,15 @@ def _deal(shards: int, parts: int, width: int, hot: np.ndarray):
             shard = ((anchor[keep] >> _U(32)) * _U(shards) >> _U(32)).astype(np.int64)
             order = np.argsort(shard, kind="stable")
             keep, shard = keep[order], shard[order]
+            raw, begin = data.tobytes(), words.start[start[keep]].tolist()
+            end = words.end[start[keep] + count[keep] + width - 2].tolist()
             for a, b in zip(*_groups(shard)):
                 some = keep[a:b]
-                first, last = start[some], start[some] + count[some] + width - 2
-                size = words.end[last] - words.start[first] + 1
-                at = ragged(words.start[first], size)
-                text = data[np.minimum(at, len(data) - 1)]
-                text[np.cumsum(size) - 1] = 10
+                text = b"\n".join([raw[x:y] for x, y in zip(begin[a:b], end[a:b])])
                 used, local = np.unique(row[some], return_inverse=True)
                 out.append({
                     "part": int(shard[a]), "docs": _docs(ids[used], marks[used]),
-                    "places": _planes(np.concatenate([local, in_doc[some], count[some]])), "text": press(text.tobytes())})
+                    "places": _planes(np.concatenate([local, in_doc[some], count[some]])), "text": press(text + b"\n")})
             yield pa.RecordBatch.from_pylist(out, _DEALT)
     return run
 
@@ -324,8 +325,9 @@ def repeated_windows(sequences: np.ndarray, offsets: np.ndarray, owner: np.ndarr
     index = FmIndex(symbols, offsets, len(distinct) + 1, width)
     count = np.maximum(np.diff(offsets) - width + 1, 0)
     end = ragged(offsets[:-1] + width, count)
-    length, low, high = index.matching_statistics(symbols, np.repeat(offsets[:-1], count), end)
-    result = np.full(len(end), np.iinfo(np.int64).max)
+    # what occurs once is found at its own place: only what occurs again is followed
+    length, low, high = index.matching_statistics(symbols, np.repeat(offsets[:-1], count), end, occurrences=2)
+    result = np.repeat(owner, count)
     whole = np.flatnonzero(length == width)
     holders = owner[index.owner[index.suffixes]]
     # full-length intervals are equal or disjoint
