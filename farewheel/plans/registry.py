@@ -140,7 +140,8 @@ def ingest_trips(spark: SparkSession, sf_dir: str) -> DataFrame:
         path = scratch_dir(spark, "trips")
         trips.write_trips(open_tables(spark, sf_dir).rides, path)
         _TRIP_FILES[key] = path
-    riders = open_tables(spark, sf_dir).rides.select("ride_id", "user_id").distinct()
+    # one row per ride, dealt by ride already as the join wants it
+    riders = open_tables(spark, sf_dir).rides.groupBy("ride_id").agg(F.min("user_id").alias("user_id"))
     return trips.read_trips(spark, _TRIP_FILES[key], riders=riders)
 
 
@@ -307,9 +308,6 @@ def stream_dedup_admitted(spark: SparkSession, sf_dir: str) -> DataFrame:
     return once.filter("event_id IS NOT NULL")  # without the closing row
 
 
-LATENCY_BATCHES = 6
-
-
 def stream_nudge_latency(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Rides and nudges as two streams that arrive in stretches of the history, joined, and the
     rides counted by how soon their nudge came. The tables hold no times of display, so a nudge
@@ -322,16 +320,18 @@ def stream_nudge_latency(spark: SparkSession, sf_dir: str) -> DataFrame:
     first, last = rides.agg(F.min("ended_at"), F.max("ended_at")).first()
     if first is None:
         first = last = datetime(1970, 1, 1)
-    span = (last - first) / LATENCY_BATCHES + timedelta(days=1)
     end = last + timedelta(days=30)
-    for i in range(LATENCY_BATCHES + 1):
-        start, stop = first + i * span, first + (i + 1) * span
-        closing = i == LATENCY_BATCHES
-        mark = lambda schema, **v: spark.createDataFrame([tuple(v.get(f.name) for f in schema)], schema)
-        stretch = lambda df, t: df.filter((F.col(t) >= ts(start)) & (F.col(t) < ts(stop)))  # noqa: E731, B023
-        part = mark(rides.schema, user_id=-1, ride_id="end", user_type="Casual Member", ended_at=end) if closing else stretch(rides, "ended_at")
-        shown = mark(events.schema, user_id=-2, event_type="cta_shown", event_at=end) if closing else stretch(events, "event_at")
-        part.write.mode("append").parquet(f"{root}/rides")
+
+    def closing(schema, **values) -> DataFrame:
+        return spark.createDataFrame([tuple(values.get(f.name) for f in schema)], schema)
+
+    pairs = None
+    for i, (start, stop) in enumerate(_stretches(first, last), 1):
+        ended, shown = _between(rides, "ended_at", start, stop), _between(events, "event_at", start, stop)
+        if i == STRETCHES:
+            ended = ended.union(closing(rides.schema, user_id=-1, ride_id="end", user_type="Casual Member", ended_at=end))
+            shown = shown.union(closing(events.schema, user_id=-2, event_type="cta_shown", event_at=end))
+        ended.write.mode("append").parquet(f"{root}/rides")
         shown.write.mode("append").parquet(f"{root}/nudges")
         pairs = latency.stream_nudge_latency(runtime.stream_files(spark, f"{root}/rides"), runtime.stream_files(spark, f"{root}/nudges"))
         runtime.run_available(pairs, f"{root}/table", f"{root}/checkpoint")
@@ -368,26 +368,44 @@ def stream_event_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return runtime.result_of(live_events.stream_event_dedup(twice), "dedup")
 
 
-# Files of a micro-batch in replays; results do not depend on it.
-FILES_PER_TRIGGER = 16
+# Stretches of the history that reach the nudge stream one after the other.
+STRETCHES = 3
+NUDGE_LATENESS = "1 hour"
 
 
-def stream_nudge_trigger(spark: SparkSession, sf_dir: str, files: int | None = FILES_PER_TRIGGER) -> DataFrame:
-    """Rides and membership events as two streams of stored files in any order. Nothing may
-    be late in a replay, so the lateness spans the history and a closing row ends it."""
-    root, tables = tables_root(spark, sf_dir), open_tables(spark, sf_dir)
-    first, last = tables.rides.agg(F.min("started_at"), F.max("ended_at")).first()
-    lateness = (last - first).days + 2 if first else 1
-    end_us = _micros(last) + 2 * lateness * live_nudges.DAY_US
-    closing = spark.sql(f"SELECT -1L AS user_id, '' AS ride_id, {end_us}L AS at_us, 0 AS kind, 0L AS cents")
+def _stretches(first: datetime, last: datetime, count: int = STRETCHES) -> list[tuple[datetime, datetime]]:
+    span = (last - first) / count + timedelta(days=1)
+    return [(first + i * span, first + (i + 1) * span) for i in range(count)]
 
-    def build(end: DataFrame) -> DataFrame:
-        rides = runtime.stream_files(spark, f"{root}/rides", max_files_per_trigger=files)
-        events = runtime.stream_files(spark, f"{root}/membership_events", max_files_per_trigger=files)
-        signals = live_nudges.ride_signals(rides, events, dismissed="signup_abandoned").unionByName(end)
-        return live_nudges.stream_nudge_trigger(signals, tables.users, lateness=f"{lateness} days")
 
-    return runtime.replay(spark, build, closing, "nudges")
+def _between(df: DataFrame, column: str, start: datetime, stop: datetime) -> DataFrame:
+    return df.filter((F.col(column) >= ts(start)) & (F.col(column) < ts(stop)))
+
+
+def stream_nudge_trigger(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Rides and membership events as two streams that arrive in stretches of the history, each in
+    any order, with a stop after every one. State holds the signals of one stretch and of the
+    lateness; a closing row lets the last ones out."""
+    tables, root = open_tables(spark, sf_dir), scratch_dir(spark, "streams/nudges")
+    first, last = tables.rides.agg(F.min("started_at"), F.max("ended_at")).first()
+    if first is None:
+        first = last = datetime(1970, 1, 1)
+    end_us = _micros(last) + 62 * live_nudges.DAY_US
+    closing = spark.sql(f"SELECT -1L AS user_id, '' AS ride_id, {end_us}L AS at_us, 0 AS kind, 0L AS cents")
+    closing.limit(0).write.parquet(f"{root}/closing")
+    rides, events = (df.drop(f"{c}_month") for df, c in ((tables.rides, "started_at"), (tables.membership_events, "event_at")))
+    shown = None
+    for i, (start, stop) in enumerate(_stretches(first, last), 1):
+        _between(rides, "ended_at", start, stop).write.mode("append").parquet(f"{root}/rides")
+        _between(events, "event_at", start, stop).write.mode("append").parquet(f"{root}/events")
+        if i == STRETCHES:
+            closing.write.mode("append").parquet(f"{root}/closing")
+        signals = live_nudges.ride_signals(
+            runtime.stream_files(spark, f"{root}/rides"), runtime.stream_files(spark, f"{root}/events"), dismissed="signup_abandoned"
+        ).unionByName(spark.readStream.schema(closing.schema).parquet(f"{root}/closing"))
+        shown = live_nudges.stream_nudge_trigger(signals, tables.users, lateness=NUDGE_LATENESS)
+        runtime.run_available(shown, f"{root}/table", f"{root}/checkpoint")
+    return spark.read.schema(shown.schema).parquet(f"{root}/table")
 
 
 def _micros(when) -> int:
