@@ -216,7 +216,8 @@ def fingerprint_versions(docs: DataFrame) -> DataFrame:
     shards = parts_of(docs, SHARD_BYTES)
     dealt = shards_by_id(docs.select(F.col("doc_id").cast("long"), "text"), shards)
     return (
-        dealt.repartition(shards, "shard").sortWithinPartitions("shard", "guest", F.desc("key"), "text")
+        # by number, not by its hash: every shard gets a task of its own
+        dealt.repartitionById(shards, "shard").sortWithinPartitions("shard", "guest", F.desc("key"), "text")
         .select("shard", "guest", "doc_id", "text").mapInArrow(_versions, RESULT)
     )
 
