@@ -1,15 +1,17 @@
 """Language identification by Bayesian fusion of evidence.
 
 Each page brings a text likelihood (hashed word beginnings under a multinomial model per
-language), the language its markup declares, and its host. Posterior over languages = host
-prior x declaration x text, so pieces of evidence that are missing or uninformative drop out.
-The ending of the address is no factor of its own: it acts only as a level of the host prior,
-with little weight for a host or domain of many pages.
-
-The declaration table and the host priors are estimated from the pages themselves by grouped aggregation: pages are first judged by text alone; the soft counts per
-host are smoothed towards the registered domain, the domain towards the ending, the ending
-towards all pages. Aggregates are sums with partial sums per task, so a host with a third of
-all pages costs one row per task.
+language), the language its markup declares, the ending of its address, and its host. Posterior
+over languages = host prior x declaration x ending x text, so pieces of evidence that are
+missing or uninformative drop out.
+
+The tables of declarations and endings and the host priors are estimated from the pages
+themselves by grouped aggregation: pages are first judged by text alone; the soft counts per host
+are smoothed towards the registered domain, the domain towards all pages. A declaration or ending
+weighs by how its pages' languages differ from those of all pages. A page's own judgement is
+taken out of every sum that it meets again, so its text counts once and no page votes for itself.
+Aggregates are sums with partial sums per task; a host with a third of all pages costs one row
+per task there, and its pages are spread by salt where they meet its prior.
 """
 
 from __future__ import annotations
@@ -18,6 +20,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
+from farewheel.functions.skew import join_hot_keys
 from farewheel.llm.shipping import on_workers
 from farewheel.llm.staging import staged
 from farewheel.llm.words import hash_words, lower_ascii, slices, text_buffer
@@ -27,6 +30,7 @@ PREFIX = 3           # bytes of a word beginning
 ADD = 0.5            # added to every count of the text model
 TEMPER = 0.25        # words of a page are far from independent
 STRENGTH = 8.0       # pages' worth of prior at each level of the host hierarchy
+EVIDENCE = 1.0       # pages' worth of neutral evidence for a declaration or an ending
 CERTAIN = 0.5        # a page below this posterior is left undecided
 
 
@@ -97,7 +101,8 @@ def text_posterior(rows: DataFrame, model: tuple, text: str = "text") -> DataFra
     def run(batches):
         for batch in slices(batches):
             row, bucket = _bucket_rows(batch.column("_text"))
-            out = np.stack([np.bincount(row, TEMPER * l[bucket], batch.num_rows) for l in logs], 1)
+            # without any word bincount counts in whole numbers
+            out = np.stack([np.bincount(row, TEMPER * l[bucket], batch.num_rows) for l in logs], 1).astype(np.float64)
             out -= out.max(1, keepdims=True)
             made = pa.ListArray.from_arrays(pa.array(np.arange(batch.num_rows + 1, dtype=np.int32) * len(langs)), pa.array(out.ravel()))
             yield pa.RecordBatch.from_arrays([*(batch.column(f"_{i}") for i in range(len(fields))), made], [*(f"_{i}" for i in range(len(fields))), "_likelihood"])
@@ -120,9 +125,9 @@ def _sums(rows: DataFrame, keys: list[str], n: int) -> DataFrame:
     return out.select(*keys, F.array(*[f"_{i}" for i in range(n)]).alias("counts"))
 
 
-def _smoothed(counts: Column, parent: Column) -> Column:
+def _smoothed(counts: Column, parent: Column, strength: float) -> Column:
     total = F.aggregate(counts, F.lit(0.0), lambda a, b: a + b)
-    return F.zip_with(counts, parent, lambda c, p: (c + STRENGTH * p) / (total + STRENGTH))
+    return F.zip_with(counts, parent, lambda c, p: (c + strength * p) / (total + strength))
 
 
 @on_workers
@@ -145,35 +150,40 @@ def identify(pages: DataFrame, docs: DataFrame) -> DataFrame:
     if not langs:
         none = F.lit(None).cast("string")
         return facts.select("page_id", none.alias("lang"), F.lit(None).cast("double").alias("probability"), none.alias("text_lang"), "declared", "host")
+    read = staged(text_posterior(facts, model), "pages_read")
+    return fuse(read, langs, shares)
+
+
+def fuse(read: DataFrame, langs: list[str], shares: np.ndarray) -> DataFrame:
+    """The answers of ``identify`` from pages with page_id, host, domain, ending, declared and
+    the log likelihood of their text in each of ``langs``."""
     n = len(langs)
     names = F.array(*map(F.lit, langs))
-    read = staged(text_posterior(facts, model), "pages_read")
-    soft = read.withColumn("soft", _normal(F.zip_with("likelihood", F.array(*[F.lit(float(np.log(max(s, 1e-9)))) for s in shares]), lambda a, b: a + b)))
+    prior = F.array(*[F.lit(float(np.log(max(s, 1e-9)))) for s in shares])
+    soft = read.withColumn("soft", _normal(F.zip_with("likelihood", prior, lambda a, b: a + b)))
     overall = _sums(soft, [], n).first()
-    total = [float(x or 0) for x in overall["counts"]] if overall else [0.0] * n
-    base = [(t + 1) / (sum(total) + n) for t in total]
-    root = F.array(*[F.lit(b) for b in base])
-    # ending -> domain -> host, each smoothed towards the level above
-    hosts = _sums(soft, ["ending", "domain", "host"], n)
-    lift = lambda rows, keys: rows.groupBy(*keys).agg(*[F.sum(F.element_at("counts", i + 1)).alias(f"_{i}") for i in range(n)]).select(*keys, F.array(*[f"_{i}" for i in range(n)]).alias("counts"))
-    domains = lift(hosts, ["ending", "domain"])
-    endings = lift(domains, ["ending"]).select("ending", _smoothed(F.col("counts"), root).alias("ending_prior"))
-    domains = domains.join(endings, "ending").select("ending", "domain", _smoothed(F.col("counts"), F.col("ending_prior")).alias("domain_prior"))
-    hosts = hosts.join(domains, ["ending", "domain"]).select("host", _smoothed(F.col("counts"), F.col("domain_prior")).alias("prior"))
-    # P(declared | language): which declaration a page of each language carries
-    said = soft.groupBy("declared").agg(*[F.sum(F.element_at("soft", i + 1)).alias(f"_{i}") for i in range(n)])
-    said = said.filter("declared IS NOT NULL").select(
-        F.col("declared").alias("_declared"), F.array(*[(F.col(f"_{i}") + 0.1) / F.lit(total[i] + 1.0) for i in range(n)]).alias("told"))
-    flat = F.array(*[F.lit(1.0)] * n)
-    fused = (
-        soft.join(hosts.withColumnRenamed("host", "_host"), F.col("host") == F.col("_host"), "left")
-        .join(said, F.col("declared") == F.col("_declared"), "left")
-        .withColumn("logs", F.zip_with(
-            F.zip_with("likelihood", F.coalesce("prior", root), lambda a, b: a + F.log(b)),
-            F.coalesce("told", flat), lambda a, b: a + F.log(b)))
-        .withColumn("posterior", _normal(F.col("logs")))
-        .withColumn("probability", F.array_max("posterior"))
-    )
+    total = F.array(*[F.lit(float(x or 0)) for x in (overall["counts"] if overall else [0.0] * n)])
+    lift = lambda rows, key, name: rows.groupBy(key).agg(*[F.sum(F.element_at("counts", i + 1)).alias(f"_{i}") for i in range(n)]).select(
+        key, F.array(*[f"_{i}" for i in range(n)]).alias(name))
+    hosts = staged(_sums(soft.filter("host IS NOT NULL"), ["ending", "domain", "host"], n), "host_counts")
+    hosts = hosts.join(lift(hosts, "domain", "of_domain"), "domain").join(lift(hosts, "ending", "of_ending"), "ending").select(
+        "host", F.col("counts").alias("of_host"), "of_domain", "of_ending")
+    # two or three letters each
+    said = lift(_sums(soft.filter("declared IS NOT NULL"), ["declared"], n), "declared", "of_declared")
+    kinds = "array<double>"
+    placed = join_hot_keys(soft.filter("host IS NOT NULL"), hosts, "host", ["page_id"]).unionByName(
+        soft.filter("host IS NULL").withColumns({c: F.lit(None).cast(kinds) for c in ("of_host", "of_domain", "of_ending")}))
+    others = lambda counts: F.zip_with(counts, "soft", lambda c, own: F.greatest(c - own, F.lit(0.0)))
+    rest = others(total)
+    everywhere = F.transform(rest, lambda x: (x + 1.0) / (F.aggregate(rest, F.lit(0.0), lambda a, b: a + b) + float(n)))
+    weighed = placed.join(F.broadcast(said), "declared", "left").withColumn("root", everywhere)
+    logs = lambda p: F.transform(p, lambda x: F.log(x))
+    plus = lambda a, b: F.zip_with(a, b, lambda x, y: x + y)
+    weight = lambda counts: F.coalesce(
+        F.zip_with(logs(_smoothed(others(counts), F.col("root"), EVIDENCE)), logs(F.col("root")), lambda a, b: a - b), F.array(*[F.lit(0.0)] * n))
+    host_prior = _smoothed(others(F.col("of_host")), _smoothed(others(F.col("of_domain")), F.col("root"), STRENGTH), STRENGTH)
+    score = plus(plus(F.col("likelihood"), logs(F.coalesce(host_prior, F.col("root")))), plus(weight(F.col("of_declared")), weight(F.col("of_ending"))))
+    fused = weighed.withColumn("posterior", _normal(score)).withColumn("probability", F.array_max("posterior"))
     best = F.element_at(names, F.array_position("posterior", F.col("probability")).cast("int"))
     text_best = F.element_at(names, F.array_position("soft", F.array_max("soft")).cast("int"))
     return fused.select(

@@ -114,3 +114,59 @@ def test_languages(spark, docs):
     assert len({(r.lang, r.probability) for r in got if r.page_id == 2}) == 1
     assert langid_fusion.identify(pages.limit(0), learn).count() == 0
     assert {r.lang for r in langid_fusion.identify(pages, learn.limit(0)).collect()} == {None}
+
+
+def brute_fusion(pages, shares, strength, evidence):
+    """Posterior of every page, from all other pages."""
+    n = len(shares)
+    norm = lambda logs: (lambda w: w / w.sum())(np.exp(logs - logs.max()))
+    smooth = lambda counts, parent, k: (counts + k * parent) / (counts.sum() + k)
+    soft = [norm(np.array(p["likelihood"]) + np.log(shares)) for p in pages]
+    out = []
+    for i, page in enumerate(pages):
+        others = lambda column: sum((soft[j] for j, q in enumerate(pages) if j != i and q[column] is not None and q[column] == page[column]), np.zeros(n))  # noqa: E731, B023
+        rest = sum((s for j, s in enumerate(soft) if j != i), np.zeros(n))
+        root = (rest + 1) / (rest.sum() + n)
+        logs = np.array(page["likelihood"], float)
+        if page["host"] is None:
+            logs = logs + np.log(root)
+        else:
+            logs = logs + np.log(smooth(others("host"), smooth(others("domain"), root, strength), strength))
+            logs = logs + np.log(smooth(others("ending"), root, evidence)) - np.log(root)
+        if page["declared"] is not None:
+            logs = logs + np.log(smooth(others("declared"), root, evidence)) - np.log(root)
+        out.append((page["page_id"], norm(logs)))
+    return out
+
+
+def test_fusion_equals_bayes_page_by_page(spark):
+    rng = np.random.default_rng(11)
+    langs, shares = ["de", "en", "fr"], np.array([0.5, 0.3, 0.2])
+    pages = []
+    for i in range(200):
+        truth = int(rng.integers(0, 3))
+        domain = f"site{rng.integers(0, 12)}.{['de', 'com', 'fr'][truth if rng.random() < 0.6 else 1]}"
+        host = None if i % 19 == 0 else domain if i % 3 else f"www.{domain}"
+        logs = rng.normal(0, 2, 3) + 3 * (np.arange(3) == truth) * (i % 5 > 0)
+        pages.append({
+            "page_id": i, "host": host, "domain": domain if host else None, "ending": domain.split(".")[-1] if host else None,
+            "declared": [None, langs[truth], "en"][i % 3], "likelihood": [float(x) for x in logs - logs.max()]})
+    pages += [{**pages[5], "page_id": 500}] * 2 + [{"page_id": None, "host": "lone.example", "domain": "lone.example", "ending": "example", "declared": "xx", "likelihood": [0.0] * 3}]
+    rows = spark.createDataFrame(
+        [tuple(p.values()) for p in pages], "page_id long, host string, domain string, ending string, declared string, likelihood array<double>")
+    got = langid_fusion.fuse(rows.repartition(5), langs, shares).collect()
+    want = brute_fusion(pages, shares, langid_fusion.STRENGTH, langid_fusion.EVIDENCE)
+    key = lambda r: (r[0] is None, r[0] or 0, round(r[1], 6))
+    got = sorted(((r.page_id, r.probability, r.lang) for r in got), key=key)
+    want = sorted(((i, p.max(), langs[int(p.argmax())] if p.max() >= langid_fusion.CERTAIN else None) for i, p in want), key=key)
+    assert [g[0] for g in got] == [w[0] for w in want]
+    assert [g[1] for g in got] == pytest.approx([w[1] for w in want], abs=1e-8)
+    assert [g[2] for g in got] == [w[2] for w in want]
+
+
+def test_languages_with_clashing_columns(spark, docs):
+    learn = docs((1, "the cat and the dog"), (2, "a house with a door")).withColumn("soft", F.lit("clash"))
+    pages = spark.createDataFrame(
+        [(1, "https://a.org", "<html>the cat</html>", "x", "y", "z"), (1, None, None, "x", "y", "z")],
+        "page_id long, url string, html string, soft string, likelihood string, of_host string")
+    assert sorted((r.page_id, r.lang) for r in langid_fusion.identify(pages, learn).collect()) == [(1, "en"), (1, "en")]
