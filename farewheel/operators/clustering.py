@@ -5,25 +5,22 @@ rides are merged into one weighted point before any iteration; weighted k-means
 points has the same objective as plain k-means on the rides. The number of points is set
 by that grid: about 600 combinations of the other features for each distinct duration,
 so 36,000 for whole minutes up to an hour and 2 million for whole seconds, whatever the
-ride volume. Points are written once and every restart reads them.
+ride volume. Points are written once and every restart reads them. ``lloyd.py`` moves the centres
+of all restarts in one job per round, on whole numbers, so a fit has the same digits however
+the points are dealt, and plain SQL can repeat it.
 
 Rides with a NULL among the seven features take no part: they have no place in the space.
 """
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterable
-from multiprocessing.pool import ThreadPool
-
 import numpy as np
-from pyspark import StorageLevel, inheritable_thread_target
-from pyspark.ml.clustering import KMeans, KMeansModel
-from pyspark.ml.evaluation import ClusteringEvaluator
-from pyspark.ml.feature import VectorAssembler
+from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from farewheel.functions.columns import cents, money, ratio, rnd
+from farewheel.functions.columns import cents, millis, money, ratio, rnd
 from farewheel.functions.horizon import until_as_of
+from farewheel.operators import lloyd
 from farewheel.operators.exploration import cluster_features
 from farewheel.params import EBIKE_ADOPTER, RELUCTANT_COMMUTER, SEASONAL_VISITOR, WEEKEND_EXPLORER
 from farewheel.sources.storage import scratch_dir
@@ -66,32 +63,27 @@ def feature_scaling(rides: DataFrame) -> DataFrame:
     )
 
 
+# The whole-number columns that fits read in place of the features, and their units.
+WHOLE = ["duration_ms", *FEATURES[1:]]
+UNITS = [60_000.0] + [1.0] * (len(FEATURES) - 1)
+
+
 def weighted_points(rides: DataFrame) -> DataFrame:
-    """Distinct feature combinations with their ride count and a scaled vector, in a
-    fixed order so that a seed always meets the same rows."""
+    """Distinct feature combinations with their ride count, money and scaled features."""
     points = cluster_features(rides).dropna(subset=FEATURES).groupBy(*FEATURES).agg(
-        F.count(F.lit(1)).cast("double").alias("n"),
+        F.count(F.lit(1)).alias("n"),
         F.sum(cents(F.col("ride_cost_cad"))).alias("cents"),
         F.count("ride_cost_cad").alias("priced"),
     )
-    ready = with_moments(points, F.col("n")).select(
-        *FEATURES, "n", "cents", "priced", *[scaled(f).alias(f"z_{f}") for f in FEATURES]
+    return with_moments(points, F.col("n")).select(
+        *FEATURES, millis(F.col("duration_min")).alias("duration_ms"), "n", "cents", "priced",
+        *[scaled(f).alias(f"z_{f}") for f in FEATURES],
     )
-    return VectorAssembler(inputCols=[f"z_{f}" for f in FEATURES], outputCol="features").transform(
-        ready
-    ).sortWithinPartitions(*FEATURES)
 
 
-# Fits are many small jobs; a few at a time keep the executors busy between them.
-FITS_AT_ONCE = 8
-RESTARTS, FINAL_RESTARTS, MOST_ITERATIONS = 10, 20, 300
+RESTARTS, FINAL_RESTARTS = 10, 20
 # The grid of points is far smaller than the rides it came from; tasks are sized to it.
-POINTS_PER_TASK = 20_000
-
-
-def at_once(points: DataFrame, work: Callable, tasks: list) -> list:
-    with ThreadPool(FITS_AT_ONCE) as pool:
-        return pool.map(inheritable_thread_target(points.sparkSession)(work), tasks, chunksize=1)
+POINTS_PER_TASK = 4_000
 
 
 def cached_points(rides: DataFrame) -> DataFrame:
@@ -99,59 +91,88 @@ def cached_points(rides: DataFrame) -> DataFrame:
     path = scratch_dir(rides.sparkSession, "cluster_points")
     weighted_points(rides).write.parquet(path)
     points = rides.sparkSession.read.parquet(path)
-    tasks = points.count() // POINTS_PER_TASK + 1
-    return points.repartition(tasks, *FEATURES).sortWithinPartitions(*FEATURES).persist(StorageLevel.MEMORY_AND_DISK)
+    return points.repartition(points.count() // POINTS_PER_TASK + 1, *FEATURES).persist(StorageLevel.MEMORY_AND_DISK)
 
 
-def fits(points: DataFrame, ks: Iterable[int], n_init: int, seed: int) -> dict[int, KMeansModel]:
-    """For each k the model with the lowest cost of ``n_init`` seeded runs."""
-    def fit(task: tuple[int, int]) -> tuple[int, KMeansModel]:
-        k, run = task
-        return k, KMeans(
-            k=k, seed=seed + run, weightCol="n", featuresCol="features", predictionCol="cluster", maxIter=MOST_ITERATIONS
-        ).fit(points)
-
-    best: dict[int, KMeansModel] = {}
-    for k, model in at_once(points, fit, [(k, run) for k in ks for run in range(n_init)]):
-        if k not in best or model.summary.trainingCost < best[k].summary.trainingCost:
-            best[k] = model
-    return best
+def space_of(points: DataFrame) -> lloyd.Space:
+    """The scaled space of the points: one row of deviations reaches the driver."""
+    moments = feature_moments(points, F.col("n")).first()
+    return lloyd.Space(tuple(WHOLE), tuple(UNITS), tuple(float(moments[f"std_{f}"] or 0.0) for f in FEATURES))
 
 
 @until_as_of
 def cluster_k_sweep(
     rides: DataFrame, ks: range = range(2, 8), n_init: int = RESTARTS, seed: int = 42
 ) -> DataFrame:
-    """Inertia and silhouette per k over all rides, and which k is best."""
+    """Inertia and silhouette per k over all rides, and which k is best. Without rides there
+    are no rows."""
     points = cached_points(rides)
-    models = fits(points, ks, n_init, seed)
-    evaluator = ClusteringEvaluator(
-        featuresCol="features", predictionCol="cluster", weightCol="n", metricName="silhouette"
-    )
-
-    def score(k: int) -> tuple[int, float, float]:
-        return k, models[k].summary.trainingCost, evaluator.evaluate(models[k].transform(points))
-
-    rows = at_once(points, score, list(ks))
+    space = space_of(points)
+    best = lloyd.best_fits(points, space, list(ks), n_init, seed)
+    scores = lloyd.silhouettes(points, space, list(best.values())) if best else []
     points.unpersist()
-    result = rides.sparkSession.createDataFrame(rows, "k long, inertia double, silhouette double")
+    rows = [(k, fit.cost / lloyd.MILLIONTHS, score) for (k, fit), score in zip(best.items(), scores)]
+    result = rides.sparkSession.createDataFrame(rows, "k long, inertia double, silhouette double").select(
+        "k", rnd(F.col("inertia"), 4).alias("inertia"), rnd(F.col("silhouette"), 6).alias("silhouette"))
     return result.withColumn(
         "is_best", F.col("silhouette") == F.max("silhouette").over(Window.partitionBy())
     ).orderBy("k")
 
 
+def nearest_cluster(centres: list[tuple[int, list[float]]], spread: list[float]) -> Column:
+    """Number of the nearest of a few centres to a row's features, the first one on ties."""
+    def apart(centre: list[float]) -> Column:
+        total = F.lit(0.0)
+        for f, at, deviation in zip(FEATURES, centre, spread):
+            if deviation:
+                step = (F.col(f).cast("double") - F.lit(at)) / F.lit(deviation)
+                total = total + step * step
+        return total
+
+    distances = F.array(*[apart(c) for _, c in centres])
+    numbers = F.array(*[F.lit(number) for number, _ in centres])
+    return F.element_at(numbers, F.array_position(distances, F.array_min(distances)).cast("int"))
+
+
 @until_as_of
 def clustered_points(rides: DataFrame, k: int = 4, n_init: int = FINAL_RESTARTS, seed: int = 42) -> DataFrame:
-    """The points with the cluster of the best of ``n_init`` fits, written once. Profiles,
-    labels and persona means of one run all start from this table."""
+    """The points with the cluster of the best of ``n_init`` fits, that cluster's centre and
+    the deviations that scale distances, written once. Centres, profiles, labels, persona
+    means and the projection of one run all start from this table."""
     points = cached_points(rides)
-    model = fits(points, [k], n_init, seed)[k]
+    space = space_of(points)
+    best = lloyd.best_fits(points, space, [k], n_init, seed)
+    centres = [[float(v) for v in row] for row in best[k].centres] if best else [[0.0] * len(FEATURES)] * k
+    own = nearest_cluster(list(enumerate(centres)), list(space.spread))
+    placed = points.withColumn("cluster", own.cast("long"))
+    by_cluster = [F.array(*[F.lit(c[i]) for c in centres]) for i in range(len(FEATURES))]
     path = scratch_dir(rides.sparkSession, "clustered_points")
-    model.transform(points).drop("features").write.parquet(path)
+    placed.select(
+        "*",
+        *[by_cluster[i][F.col("cluster").cast("int")].alias(f"centre_{f}") for i, f in enumerate(FEATURES)],
+        *[F.lit(space.spread[i]).alias(f"std_{f}") for i, f in enumerate(FEATURES)],
+    ).write.parquet(path)
     points.unpersist()
     return rides.sparkSession.read.parquet(path)
 
 
+def cluster_centres(clustered: DataFrame) -> DataFrame:
+    """Centre of each cluster in units of the features, its rides, and their mean squared
+    scaled distance to it, from ``clustered_points``."""
+    apart = F.lit(0.0)
+    for f in FEATURES:
+        step = F.coalesce(ratio(F.col(f) - F.col(f"centre_{f}"), F.col(f"std_{f}")), F.lit(0.0))
+        apart = apart + step * step
+    cost = F.floor(F.col("n") * apart * lloyd.MILLIONTHS + 0.5)
+    return clustered.groupBy("cluster").agg(
+        F.sum("n").alias("rides"), *[F.first(f"centre_{f}").alias(f) for f in FEATURES],
+        F.sum(cost).alias("cost"),
+    ).select(
+        "cluster", "rides", *[rnd(F.col(f), 6).alias(f) for f in FEATURES],
+        rnd(ratio(F.col("cost").cast("double") / lloyd.MILLIONTHS, F.col("rides")), 6).alias("mean_square"),
+    ).orderBy("cluster")
+
+
 def weighted_mean(feature: str) -> Column:
     return ratio(F.sum(F.col(feature) * F.col("n")), F.sum("n"))
 
@@ -226,15 +247,18 @@ def persona_feature_profile(clustered: DataFrame) -> DataFrame:
 @until_as_of
 def cluster_projection(rides: DataFrame, clustered: DataFrame) -> DataFrame:
     """Every casual ride on the two principal components, with its cluster and persona and
-    the share of variance that the components explain. Rides with equal features share a
-    point, so they are joined to the points of ``clustered_points``; only the 7 x 7 matrix
-    of products reaches the driver."""
-    points = clustered.join(_labels(_profile(clustered)), "cluster", "left")
+    the share of variance that the components explain. Axes, centres and personas are a few
+    numbers that the plan carries, so rides are read once and meet no other table; only the
+    7 x 7 matrix of products and one row per cluster reach the driver."""
+    points = clustered
     pairs = [(i, j) for i in range(len(FEATURES)) for j in range(i, len(FEATURES))]
     z = [F.col(f"z_{f}") for f in FEATURES]
     products = points.agg(
         F.sum("n").alias("n"), *[F.sum(z[i] * z[j] * F.col("n")).alias(f"p{i}_{j}") for i, j in pairs]
     ).first()
+    if not products["n"]:
+        empty = "ride_id string, cluster long, persona string, pc1 double, pc2 double, pc1_variance_share double, pc2_variance_share double"
+        return rides.sparkSession.createDataFrame([], empty)
     matrix = np.zeros((len(FEATURES), len(FEATURES)))
     for i, j in pairs:
         matrix[i, j] = matrix[j, i] = products[f"p{i}_{j}"] / products["n"]
@@ -242,6 +266,15 @@ def cluster_projection(rides: DataFrame, clustered: DataFrame) -> DataFrame:
     order = np.argsort(values)[::-1]
     share = values[order] / values.sum()
 
+    clusters = clustered.groupBy("cluster").agg(
+        *[F.first(f"centre_{f}").alias(f) for f in FEATURES], *[F.first(f"std_{f}").alias(f"std_{f}") for f in FEATURES],
+    ).join(_labels(_profile(clustered)), "cluster", "left").orderBy("cluster").collect()
+    spread = [clusters[0][f"std_{f}"] for f in FEATURES]
+    own = nearest_cluster([(c["cluster"], [c[f] for f in FEATURES]) for c in clusters], spread)
+    persona = F.lit(None).cast("string")
+    for c in clusters:
+        persona = F.when(F.col("cluster") == c["cluster"], F.lit(c["persona"]).cast("string")).otherwise(persona)
+
     def component(rank: int) -> Column:
         axis = vectors[:, order[rank]]
         axis = axis * np.sign(axis[np.argmax(np.abs(axis))])
@@ -250,10 +283,12 @@ def cluster_projection(rides: DataFrame, clustered: DataFrame) -> DataFrame:
             total = total + column * float(weight)
         return total
 
-    placed = points.select(
-        *FEATURES, F.col("cluster").cast("long").alias("cluster"), "persona",
-        rnd(component(0), 6).alias("pc1"), rnd(component(1), 6).alias("pc2"),
+    moments = feature_moments(clustered, F.col("n")).first().asDict()
+    known = F.struct(*[F.lit(float(v)).alias(name) for name, v in moments.items()])
+    placed = cluster_features(rides).dropna(subset=FEATURES).withColumn("cluster", own.cast("long")).withColumn("m", known)
+    scaled_rides = placed.select("ride_id", "cluster", persona.alias("persona"), *[scaled(f).alias(f"z_{f}") for f in FEATURES])
+    return scaled_rides.select(
+        "ride_id", "cluster", "persona", rnd(component(0), 6).alias("pc1"), rnd(component(1), 6).alias("pc2"),
         F.lit(round(float(share[0]), 6)).alias("pc1_variance_share"),
         F.lit(round(float(share[1]), 6)).alias("pc2_variance_share"),
     )
-    return cluster_features(rides).select("ride_id", *FEATURES).join(placed, FEATURES).drop(*FEATURES)

@@ -89,6 +89,7 @@ TABLE_QUERIES: dict[str, Callable[[Tables], DataFrame]] = {
     "feature_scaling": lambda t: clustering.feature_scaling(t.rides),
     "cluster_k_sweep": lambda t: clustering.cluster_k_sweep(t.rides),
     "cluster_profiles": lambda t: clustering.cluster_profiles(personas(t)),
+    "cluster_centres": lambda t: clustering.cluster_centres(personas(t)),
     "cluster_labels": lambda t: clustering.cluster_labels(personas(t)),
     "cluster_projection": lambda t: clustering.cluster_projection(t.rides, personas(t)),
     "persona_feature_profile": lambda t: clustering.persona_feature_profile(personas(t)),

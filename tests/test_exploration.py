@@ -1,7 +1,10 @@
 import numpy as np
 import pytest
+from pyspark.ml.clustering import KMeans
+from pyspark.ml.evaluation import ClusteringEvaluator
+from pyspark.ml.feature import VectorAssembler
 
-from farewheel.operators import clustering, exploration
+from farewheel.operators import clustering, exploration, lloyd
 from farewheel.plans.registry import open_tables
 from paths import SMALL
 
@@ -80,22 +83,59 @@ def test_points_are_at_their_nearest_centre(clustered):
     assert np.average(distance.argmin(1) == own, weights=n) > 0.999
 
 
-def test_more_restarts_and_clusters_cost_no_more(spark):
+@pytest.fixture(scope="module")
+def points(spark):
     points = clustering.cached_points(open_tables(spark, SMALL).rides)
-    one, many = (clustering.fits(points, [4], n, 42)[4].summary.trainingCost for n in (1, clustering.FINAL_RESTARTS))
+    yield points
+    points.unpersist()
+
+
+def test_more_restarts_and_clusters_cost_no_more(spark, points):
+    space = clustering.space_of(points)
+    one, many = (lloyd.best_fits(points, space, [4], n, 42)[4].cost for n in (1, clustering.FINAL_RESTARTS))
     assert many <= one
     sweep = clustering.cluster_k_sweep(open_tables(spark, SMALL).rides).collect()
     inertia = [r.inertia for r in sweep]
     assert inertia == sorted(inertia, reverse=True)
     assert sum(r.is_best for r in sweep) == 1
-    points.unpersist()
+
+
+def test_fit_is_as_good_as_the_library_and_scored_alike(points):
+    space = clustering.space_of(points)
+    fits = lloyd.best_fits(points, space, [3, 4], clustering.RESTARTS, 42)
+    vectors = VectorAssembler(inputCols=[f"z_{f}" for f in clustering.FEATURES], outputCol="features").transform(points)
+    evaluator = ClusteringEvaluator(weightCol="n", metricName="silhouette")
+    for (k, fit), score in zip(fits.items(), lloyd.silhouettes(points, space, list(fits.values()))):
+        other = min(KMeans(k=k, seed=s, weightCol="n").fit(vectors).summary.trainingCost for s in range(3))
+        assert fit.cost / lloyd.MILLIONTHS <= other * 1.01
+        own = clustering.nearest_cluster(list(enumerate(fit.centres.tolist())), list(space.spread))
+        assert score == pytest.approx(evaluator.evaluate(vectors.withColumn("prediction", own)), abs=1e-4)
+
+
+def test_fit_does_not_depend_on_how_points_are_dealt(points):
+    space = clustering.space_of(points)
+    one, other = (lloyd.best_fits(points.repartition(parts, "month"), space, [5], 3, 42)[5] for parts in (1, 7))
+    assert (one.centres == other.centres).all() and (one.sums == other.sums).all()
+
+
+def test_fits_of_odd_tables(spark, build):
+    same = build.rides(*[(1, "2023-07-08T08:00", 5.0)] * 3)
+    sweep = clustering.cluster_k_sweep(same, range(2, 4), 2).collect()
+    assert [(r.inertia, r.silhouette) for r in sweep] == [(0.0, 0.0), (0.0, 0.0)]
+    placed = clustering.clustered_points(same)
+    assert [(r.cluster, r.rides, r.mean_square) for r in clustering.cluster_centres(placed).collect()] == [(0, 3, 0.0)]
+    none = same.limit(0)
+    assert clustering.cluster_k_sweep(none, range(2, 4), 2).count() == 0
+    empty = clustering.clustered_points(none)
+    assert clustering.cluster_centres(empty).count() == 0
+    assert clustering.cluster_projection(none, empty).count() == 0
 
 
 def test_weighted_points_stand_for_all_rides(spark):
     table = open_tables(spark, SMALL).rides
-    points = clustering.weighted_points(table)
-    rows = np.array([r.features.toArray() for r in points.collect()])
-    n = np.array([r.n for r in points.collect()])
+    points = clustering.weighted_points(table).collect()
+    rows = np.array([[r[f"z_{f}"] for f in clustering.FEATURES] for r in points])
+    n = np.array([r.n for r in points])
     assert n.sum() == table.filter("user_type = 'Casual Member'").count()
     assert (rows * n[:, None]).sum(0) == pytest.approx(np.zeros(7), abs=1e-6)
     assert (rows**2 * n[:, None]).sum(0) / n.sum() == pytest.approx(np.ones(7))
