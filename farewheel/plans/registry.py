@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from farewheel.model import Tables
 from farewheel.functions.columns import since, ts
 from farewheel.operators import (
-    attribution, clustering, delivery, economics, experiments, exploration, funnel, growth, incremental, nudges, ordered, retention,
+    attribution, clustering, coreset, delivery, economics, experiments, exploration, funnel, growth, incremental, nudges, ordered, retention,
     segmentation, sketches, telemetry,
 )
 from farewheel.params import DEFAULTS, SIGNUP_STARTED, Params
@@ -90,6 +90,7 @@ TABLE_QUERIES: dict[str, Callable[[Tables], DataFrame]] = {
     "cluster_k_sweep": lambda t: clustering.cluster_k_sweep(t.rides),
     "cluster_profiles": lambda t: clustering.cluster_profiles(personas(t)),
     "cluster_centres": lambda t: clustering.cluster_centres(personas(t)),
+    "cluster_continuous": lambda t: coreset.cluster_continuous(t.rides),
     "cluster_labels": lambda t: clustering.cluster_labels(personas(t)),
     "cluster_projection": lambda t: clustering.cluster_projection(t.rides, personas(t)),
     "persona_feature_profile": lambda t: clustering.persona_feature_profile(personas(t)),

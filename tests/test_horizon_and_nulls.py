@@ -19,7 +19,7 @@ from farewheel.sources.warehouse import open_tables
 
 AS_OF = date(2023, 6, 30)
 # iterative fits are slow and read the same cut features as cluster_features
-FITS = {"cluster_k_sweep", "cluster_profiles", "cluster_centres", "cluster_labels", "persona_feature_profile"}
+FITS = {"cluster_k_sweep", "cluster_profiles", "cluster_centres", "cluster_continuous", "cluster_labels", "persona_feature_profile"}
 
 
 @pytest.fixture(scope="module")

@@ -7,7 +7,7 @@ from farewheel.plans.inspect import plan_shape
 from farewheel.plans.registry import TABLE_QUERIES
 from farewheel.sources.warehouse import open_tables
 
-ML = {"cluster_k_sweep", "cluster_profiles", "cluster_centres", "cluster_labels", "cluster_projection", "persona_feature_profile"}
+ML = {"cluster_k_sweep", "cluster_profiles", "cluster_centres", "cluster_continuous", "cluster_labels", "cluster_projection", "persona_feature_profile"}
 
 
 @pytest.mark.parametrize("name", sorted(set(TABLE_QUERIES) - ML))
