@@ -21,7 +21,7 @@ from farewheel.sources.warehouse import tables_root
 
 # Jobs that iterate or stream take seconds each and run once, without a warm-up.
 ONCE = [
-    "cluster_k_sweep", "cluster_profiles", "cluster_labels", "cluster_projection",
+    "cluster_k_sweep", "cluster_profiles", "cluster_centres", "cluster_continuous", "cluster_labels", "cluster_projection",
     "persona_feature_profile", *JOB_QUERIES,
 ]
 
