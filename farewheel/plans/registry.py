@@ -5,11 +5,12 @@ from __future__ import annotations
 import functools
 from collections.abc import Callable
 from dataclasses import replace
-from datetime import datetime, timedelta
+from datetime import date, datetime, timedelta
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from farewheel.model import Tables
+from farewheel.functions import horizon
 from farewheel.functions.columns import since, ts
 from farewheel.operators import (
     attribution, clustering, coreset, delivery, economics, experiments, exploration, funnel, growth, incremental, nudges, ordered, retention,
@@ -34,9 +35,13 @@ def on_tables(build: Callable[[Tables], DataFrame]) -> Query:
 
 
 @functools.cache
+def _personas(tables: Tables, as_of: date) -> DataFrame:
+    return clustering.clustered_points(tables.rides, as_of=as_of)
+
+
 def personas(tables: Tables) -> DataFrame:
-    """The clustered points of one run's tables, fitted once for the queries on them."""
-    return clustering.clustered_points(tables.rides)
+    """The clustered points of one run's tables and day, fitted once for the queries on them."""
+    return _personas(tables, horizon.DEFAULTS.as_of)
 
 
 # Operators over the canonical tables.
