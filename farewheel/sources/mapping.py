@@ -14,29 +14,35 @@ from farewheel.params import SIGNUP_COMPLETED
 RIDE_KEYS = ["ok", "ln", "pk", "sk", "h"]
 
 
-def rides_with_keys(lineitem: DataFrame, orders: DataFrame) -> DataFrame:
-    """Rides plus the source keys from which the event tables are derived."""
-    base = lineitem.join(
-        orders.select("o_orderkey", "o_custkey"),
-        F.col("l_orderkey") == F.col("o_orderkey"),
-    ).select(
+def ride_numbers(lineitem: DataFrame, orders: DataFrame) -> DataFrame:
+    """What a ride is made of, numbers only: everything else about it follows row by row in
+    ``rides_of_numbers``, so this is what travels."""
+    return lineitem.select(
         F.col("l_orderkey").alias("ok"),
         F.col("l_linenumber").alias("ln"),
         F.col("l_partkey").alias("pk"),
         F.col("l_suppkey").alias("sk"),
-        F.col("o_custkey").alias("user_id"),
         F.col("l_quantity").alias("duration_min"),
         F.expr("l_returnflag = 'A'").alias("member"),
-        F.expr("l_partkey % 5 = 0 OR o_custkey % 11 = 0").alias("ebike"),
-        F.expr("(o_custkey * 37) % 640").alias("start_offset"),
-    )
-    return base.select(
-        F.concat_ws("-", "ok", "ln", "pk", "sk").alias("ride_id"),
-        "user_id",
+    ).join(
+        orders.select(F.col("o_orderkey").alias("ok"), F.col("o_custkey").alias("user_id")), "ok"
+    ).withColumn("start_offset", F.expr("(user_id * 37) % 640")).select(
+        "ok", "ln", "pk", "sk", "user_id", "duration_min", "member",
         F.expr("""timestampadd(MINUTE,
             CAST((start_offset + (ok * 31 + ln * 17 + pk * 7) % (730 - start_offset)) * 1440
                  + ((ok * 7 + ln * 5) % 18 + 5) * 60 + pk % 60 AS INT),
             TIMESTAMP_NTZ'2022-01-01 00:00:00')""").alias("started_at"),
+    )
+
+
+def rides_of_numbers(numbers: DataFrame) -> DataFrame:
+    """Rides plus the source keys from which the event tables are derived, row by row; columns
+    that are not of a ride stay behind its own."""
+    own = ["ok", "ln", "pk", "sk", "user_id", "duration_min", "member", "started_at"]
+    return numbers.withColumn("ebike", F.expr("pk % 5 = 0 OR user_id % 11 = 0")).select(
+        F.concat_ws("-", "ok", "ln", "pk", "sk").alias("ride_id"),
+        "user_id",
+        "started_at",
         "duration_min",
         F.expr("CASE WHEN member THEN 'Annual Member' ELSE 'Casual Member' END").alias("user_type"),
         F.expr("CASE WHEN ebike THEN 'EFIT' ELSE 'ICONIC' END").alias("bike_type"),
@@ -49,28 +55,45 @@ def rides_with_keys(lineitem: DataFrame, orders: DataFrame) -> DataFrame:
             AS DECIMAL(10,2))""").alias("ride_cost_cad"),
         "ok", "ln", "pk", "sk",
         F.expr("(ok * 3 + ln * 7 + pk) % 60").alias("h"),
-    ).withColumn(
-        "ended_at", F.expr("timestampadd(MINUTE, CAST(duration_min AS INT), started_at)")
+        F.expr("timestampadd(MINUTE, CAST(duration_min AS INT), started_at)").alias("ended_at"),
+        *[c for c in numbers.columns if c not in own],
     )
 
 
-def membership_events(keyed_rides: DataFrame) -> DataFrame:
+def rides_with_keys(lineitem: DataFrame, orders: DataFrame) -> DataFrame:
+    """Rides plus the source keys from which the event tables are derived."""
+    return rides_of_numbers(ride_numbers(lineitem, orders))
+
+
+def event_numbers(keyed_rides: DataFrame) -> DataFrame:
+    """What an event is made of, like ``ride_numbers``."""
     return keyed_rides.filter("h < 37").select(
-        F.col("ride_id").alias("event_id"),
+        "ok", "ln", "pk", "sk", "h", "user_id", F.col("ended_at").alias("event_at"))
+
+
+def events_of_numbers(numbers: DataFrame) -> DataFrame:
+    own = ["ok", "ln", "pk", "sk", "h", "user_id", "event_at"]
+    return numbers.select(
+        F.concat_ws("-", "ok", "ln", "pk", "sk").alias("event_id"),
         "user_id",
         F.expr("""CASE WHEN h < 14 THEN 'cta_shown' WHEN h < 22 THEN 'cta_clicked'
             WHEN h < 27 THEN 'signup_started' WHEN h < 32 THEN 'signup_step_completed'
             WHEN h < 36 THEN 'signup_abandoned' ELSE 'signup_completed' END""").alias("event_type"),
-        F.col("ended_at").alias("event_at"),
+        "event_at",
         F.expr("CASE WHEN h = 36 THEN IF(sk % 3 = 0, 'weekend', 'annual') END").alias("membership_tier"),
         F.expr("CASE WHEN h = 36 THEN CAST(IF(sk % 3 = 0, 63, 105) AS DECIMAL(10,2)) END").alias("price_cad"),
         F.expr("""CASE ok % 4 WHEN 0 THEN 'post_ride_nudge' WHEN 1 THEN 'email'
             WHEN 2 THEN 'geo_offer' ELSE 'organic' END""").alias("source_channel"),
         F.expr("IF(user_id % 2 = 0, 'control', 'treatment')").alias("nudge_variant"),
         F.expr("""concat('{"step": "', pk % 3 + 2, '"}')""").alias("event_metadata"),
+        *[c for c in numbers.columns if c not in own],
     )
 
 
+def membership_events(keyed_rides: DataFrame) -> DataFrame:
+    return events_of_numbers(event_numbers(keyed_rides))
+
+
 def app_events(keyed_rides: DataFrame) -> DataFrame:
     return keyed_rides.filter("(pk + ln) % 4 = 0").select(
         "user_id",

@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from farewheel.model import Tables, USERS
 from farewheel.sources import mapping
-from farewheel.sources.storage import shared_dir, write_by_month
+from farewheel.sources.storage import rewrite_by_month, shared_dir, write_by_month
 
 # folder per application and source directory; table handles per session
 _ROOTS: dict[tuple[str, str], str] = {}
@@ -37,14 +37,15 @@ def _stored(spark: SparkSession, root: str) -> Tables:
 
 
 def build(spark: SparkSession, sf_dir: str, root: str) -> None:
-    """Derive and write the tables. The join runs once, for rides; the rest read it."""
-    keyed = mapping.rides_with_keys(
+    """Derive and write the tables. The join runs once, for rides; the rest read it. Rides
+    travel to their month as numbers; events are written where their rides are read."""
+    numbers = mapping.ride_numbers(
         source_table(spark, sf_dir, "lineitem"), source_table(spark, sf_dir, "orders")
     )
-    write_by_month(keyed, "started_at", f"{root}/rides")
+    write_by_month(numbers, "started_at", f"{root}/rides", finish=mapping.rides_of_numbers)
     rides = spark.read.parquet(f"{root}/rides")
-    write_by_month(mapping.membership_events(rides), "event_at", f"{root}/membership_events")
-    write_by_month(mapping.app_events(rides), "event_at", f"{root}/app_events")
+    rewrite_by_month(mapping.event_numbers(rides), "event_at", f"{root}/membership_events", finish=mapping.events_of_numbers)
+    rewrite_by_month(mapping.app_events(rides), "event_at", f"{root}/app_events")
     events = spark.read.parquet(f"{root}/membership_events")
     mapping.users(
         source_table(spark, sf_dir, "customer"), source_table(spark, sf_dir, "nation"), rides, events
