@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, functions as F
+from collections.abc import Callable
 
-from farewheel.functions.blocks import previous_and_running_max, running_sums
+from pyspark.sql import Column, DataFrame, functions as F
+
+from farewheel.functions.blocks import ROWS_PER_USER, previous_and_running_max, running_sums, running_sums_of_users
 from farewheel.functions.columns import cents, money, seconds_between
 from farewheel.functions.horizon import until_as_of
 from farewheel.operators.profiles import is_event
@@ -15,40 +17,45 @@ from farewheel.params import (
 
 @until_as_of
 def hashed_user_events(
-    rides: DataFrame, users: DataFrame, events: DataFrame, salt: str, days: int = 30
+    rides: DataFrame, users: DataFrame, events: DataFrame, salt: str, days: int = 30, rows_per_user: int = ROWS_PER_USER
 ) -> DataFrame:
     """Events with a hashed rider, persona, and rides and spend of the ``days`` before.
     The ``salt`` is a secret of the caller: without one, small numbers can be hashed until
     one fits.
 
     A ride counts from its start until ``days`` later, both ends included: it enters as
-    +1 and leaves as -1, and the running sum at the event is the answer. Hour blocks
-    keep any single rider's history out of one task.
+    +1 and leaves as -1, and the running sum at the event is the answer. Rides and events
+    are dealt by rider once, and a ride becomes two changes after that. Riders with more than
+    ``rows_per_user`` rows are cut into hour blocks, so no such history is in one task.
     """
-    ride = rides.select(
+    history = events.select(
+        "user_id", F.col("event_at").alias("at"), "event_id", "event_type", F.lit(None).cast("long").alias("cents"),
+    ).unionByName(rides.select(
         "user_id", F.col("started_at").alias("at"),
         F.coalesce(cents(F.col("ride_cost_cad")), F.lit(0).cast("long")).alias("cents"),
-    )
-    changes = ride.select(
-        "user_id", "cents",
-        F.explode(F.array(
-            F.struct(F.col("at").alias("at"), F.lit(0).alias("rank"), F.lit(1).alias("sign")),
-            F.struct((F.col("at") + F.expr(f"INTERVAL '{days}' DAY")).alias("at"), F.lit(2).alias("rank"), F.lit(-1).alias("sign")),
-        )).alias("c"),
-    ).select(
-        "user_id", "c.at", "c.rank", F.col("c.sign").alias("ride"), (F.col("cents") * F.col("c.sign")).alias("spend")
-    )
-    marks = events.select(
-        "user_id", F.col("event_at").alias("at"), F.lit(1).alias("rank"),
-        F.lit(0).alias("ride"), F.lit(0).cast("long").alias("spend"), "event_id", "event_type",
-    )
-    timeline = marks.unionByName(changes, allowMissingColumns=True)
-    summed = running_sums(
-        timeline, "user_id", "at", [F.col("at"), F.col("rank")],
-        {"rides_before": "ride", "spend_before": "spend"},
-        attach=users.select("user_id", "persona_segment"),
-    ).filter(F.col("rank") == 1)
-    return summed.select(
+    ), allowMissingColumns=True).filter("user_id IS NOT NULL AND at IS NOT NULL")
+    hot = history.groupBy("user_id").agg(F.count(F.lit(1)).alias("_n")).filter(F.col("_n") > rows_per_user).select("user_id")
+    few = history.join(F.broadcast(hot), "user_id", "left_anti").repartition("user_id")
+    many = history.join(F.broadcast(hot), "user_id", "left_semi")
+
+    def change(at: Column, rank: int, sign: int) -> Column:
+        return F.struct(at.alias("at"), F.lit(rank).alias("rank"), F.lit(sign).alias("ride"),
+                        (F.coalesce("cents", F.lit(0).cast("long")) * sign).alias("spend"))
+
+    left = F.col("at") + F.expr(f"INTERVAL '{days}' DAY")
+    changes = F.when(F.col("cents").isNull(), F.array(change(F.col("at"), 1, 0))).otherwise(
+        F.array(change(F.col("at"), 0, 1), change(left, 2, -1)))
+
+    def summed(part: DataFrame, sums: Callable[..., DataFrame]) -> DataFrame:
+        timeline = part.select("user_id", "event_id", "event_type", F.explode(changes).alias("c")).select(
+            "user_id", "event_id", "event_type", "c.*")
+        return sums(
+            timeline, "user_id", "at", [F.col("at"), F.col("rank")],
+            {"rides_before": "ride", "spend_before": "spend"},
+            attach=users.select("user_id", "persona_segment"),
+        ).filter(F.col("rank") == 1)
+
+    return summed(few, running_sums_of_users).unionByName(summed(many, running_sums)).select(
         "event_id", "event_type", F.col("at").alias("event_at"),
         F.sha2(F.concat(F.lit(salt), F.col("user_id").cast("string")), 256).alias("user_hash"),
         "persona_segment",

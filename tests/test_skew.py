@@ -91,3 +91,25 @@ def test_post_conversion_rides_with_split_rider(build):
     for rows_per_task in (4, 10**6):
         row = growth.post_conversion_rides_90d(rides, users, events, rows_per_task=rows_per_task).collect()[0]
         assert (row.members, row.avg_rides_90d, row.members_at_target) == (2, 10.5, 1)
+
+
+def test_hot_and_other_riders_alike(spark, build):
+    rides, events = stamps(5, 9, 300), stamps(6, 9, 150)
+    tables = (
+        build.rides(*[(u, t.isoformat()) for u, t in rides], (None, "2023-10-05T10:00")), build.users((1, "A"), (2, "B"), (2, "C")),
+        build.events(*[(u, "cta_shown", t.isoformat()) for u, t in events], (None, "cta_shown", "2023-10-05T10:00")),
+    )
+    got = [sorted(map(tuple, telemetry.hashed_user_events(*tables, salt="s", rows_per_user=most).collect()), key=repr)
+           for most in (0, 100, 10**6)]
+    assert len(got[0]) == len(events) + sum(u == 2 for u, _ in events) and got[0] == got[1] == got[2]
+
+
+def test_a_riders_history_is_shuffled_once(spark, build):
+    df = telemetry.hashed_user_events(
+        build.rides((1, "2023-10-05T10:00")), build.users((1, "A")), build.events((1, "cta_shown", "2023-10-05T11:00")), salt="s", rows_per_user=10**6)
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    try:
+        cold = df._jdf.queryExecution().executedPlan().toString().split("LeftAnti")[0]
+    finally:
+        spark.conf.unset("spark.sql.adaptive.enabled")
+    assert cold.count("Exchange hashpartitioning(user_id") == 1
