@@ -338,8 +338,8 @@ def stream_nudge_latency(spark: SparkSession, sf_dir: str) -> DataFrame:
         if i == STRETCHES:
             ended = ended.union(closing(rides.schema, user_id=-1, ride_id="end", user_type="Casual Member", ended_at=end))
             shown = shown.union(closing(events.schema, user_id=-2, event_type="cta_shown", event_at=end))
-        ended.write.mode("append").parquet(f"{root}/rides")
-        shown.write.mode("append").parquet(f"{root}/nudges")
+        storage.append_rows(ended, f"{root}/rides")
+        storage.append_rows(shown, f"{root}/nudges")
         pairs = latency.stream_nudge_latency(runtime.stream_files(spark, f"{root}/rides"), runtime.stream_files(spark, f"{root}/nudges"))
         runtime.run_available(pairs, f"{root}/table", f"{root}/checkpoint")
     firsts = latency.first_nudges(spark.read.schema(pairs.schema).parquet(f"{root}/table").filter("user_id >= 0"))
@@ -400,11 +400,13 @@ def stream_nudge_trigger(spark: SparkSession, sf_dir: str) -> DataFrame:
     end_us = _micros(last) + 62 * live_nudges.DAY_US
     closing = spark.sql(f"SELECT -1L AS user_id, '' AS ride_id, {end_us}L AS at_us, 0 AS kind, 0L AS cents")
     closing.limit(0).write.parquet(f"{root}/closing")
-    rides, events = (df.drop(f"{c}_month") for df, c in ((tables.rides, "started_at"), (tables.membership_events, "event_at")))
+    # only what ``ride_signals`` reads is copied
+    rides = tables.rides.select("user_id", "ride_id", "user_type", "ended_at", "ride_cost_cad")
+    events = tables.membership_events.select("user_id", "event_id", "event_type", "event_at")
     shown = None
     for i, (start, stop) in enumerate(_stretches(first, last), 1):
-        _between(rides, "ended_at", start, stop).write.mode("append").parquet(f"{root}/rides")
-        _between(events, "event_at", start, stop).write.mode("append").parquet(f"{root}/events")
+        storage.append_rows(_between(rides, "ended_at", start, stop), f"{root}/rides")
+        storage.append_rows(_between(events, "event_at", start, stop), f"{root}/events")
         if i == STRETCHES:
             closing.write.mode("append").parquet(f"{root}/closing")
         signals = live_nudges.ride_signals(

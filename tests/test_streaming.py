@@ -6,7 +6,9 @@ from datetime import datetime, timedelta
 import pytest
 from pyspark.sql import functions as F, types as T
 
+from farewheel.plans import registry
 from farewheel.streaming import events as live, nudges, runtime
+from paths import SMALL
 
 SCHEMA = T.StructType([
     T.StructField("event_id", T.LongType()), T.StructField("user_id", T.LongType()),
@@ -180,3 +182,29 @@ def test_wall_clock_round_trip(spark):
     row = df.first()
     assert row.back == row.ts
     assert df.select(F.unix_micros(runtime.wall_clock_as_utc("ts"))).first()[0] % 86_400_000_000 == (2 * 3600 + 1800) * 1_000_000 + 500_000
+
+
+def test_the_nudge_stream_copies_only_what_it_reads(spark, monkeypatch):
+    class Enough(Exception):
+        pass
+
+    copied = []
+
+    def append(rows, path):
+        copied.append(rows.columns)
+        if len(copied) == 2:
+            raise Enough
+
+    monkeypatch.setattr(registry.storage, "append_rows", append)
+    with pytest.raises(Enough):
+        registry.stream_nudge_trigger(spark, SMALL)
+    assert copied == [
+        ["user_id", "ride_id", "user_type", "ended_at", "ride_cost_cad"], ["user_id", "event_id", "event_type", "event_at"]]
+
+
+def test_rows_for_a_stream_are_added_compressed(spark, tmp_path):
+    for i in range(2):
+        registry.storage.append_rows(spark.range(i, i + 1).coalesce(1), str(tmp_path / "feed"))
+    files = [f for f in os.listdir(tmp_path / "feed") if f.endswith(".parquet")]
+    assert len(files) == 2 and all(".zstd." in f for f in files)
+    assert sorted(r.id for r in spark.read.parquet(str(tmp_path / "feed")).collect()) == [0, 1]
