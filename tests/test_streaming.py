@@ -159,6 +159,26 @@ def test_decisions_do_not_depend_on_micro_batches(spark):
     assert results[0] and all(r == results[0] for r in results)
 
 
+def test_riders_share_state_keys_and_are_decided_alone(spark):
+    rnd = random.Random(7)
+    rows = {signal(u, f"{u}-{i}", rnd.randrange(0, 9000) / 100, rnd.choice([nudges.RIDE] * 8 + [nudges.DISMISSED, nudges.CONVERTED]), rnd.randrange(0, 900))
+            for u in range(300) for i in range(rnd.randrange(1, 12))}
+    alone = nudges.NudgeProcessor()
+    want = sorted(x for u in range(300) for x in alone._decide(u, sorted(r[2:3] + (r[3], r[1], r[4]) for r in rows if r[0] == u), None)[0])
+    feed = Feed(spark, SIGNALS)
+    for month in range(3):  # the last five days of each wait for the next
+        feed.add(*[r for r in rows if r[2] // nudges.DAY_US // 30 == month])
+    for day in (100, 200):  # at the second nothing waits any more, windows end
+        feed.add(signal(-1, "", day))
+    df = nudges.stream_nudge_trigger(feed.stream(), users(spark), lateness="5 days", groups=4)
+    query = runtime.start(df, feed.table, feed.checkpoint, availableNow=True)
+    query.awaitTermination()
+    got = sorted((r.user_id, r.ride_id, r.rides_30d, r.spend_30d, r.impression) for r in spark.read.schema(df.schema).parquet(feed.table).collect())
+    assert got == sorted((u, ride, n, c / 100, i) for u, ride, _, n, c, i in want) and len(got) > 300
+    # of each group riders, waiting signals and two rows for the timer
+    assert max(o.numRowsTotal for p in query.recentProgress for o in p.stateOperators) <= 4 * 5
+
+
 def test_one_rider_with_very_many_rides(spark):
     processor = nudges.NudgeProcessor(nudges.NudgeRules(impression_cap=10**9))
     due = sorted(signal(1, str(i), i / 40_000)[2:3] + (nudges.RIDE, str(i), 1) for i in range(200_000))
